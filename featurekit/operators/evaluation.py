@@ -72,26 +72,29 @@ def _scored(df: DataFrame, label, score) -> DataFrame:
 
 
 def _profile(scored: DataFrame, probs: Sequence[float], ranges: int = 0):
-    """Counts, score range and sketches in one pass."""
-    aggregates = [
+    """Counts, score range and sketches. The sketches are their own pass: next to them the
+    counts would not be compiled."""
+    counts = [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("y") == 1).alias("pos"),
         F.count_if(F.col("y") == 0).alias("neg"),
         F.count_if(F.col("y").isNull() | F.col("score").isNull()).alias("missing"),
         F.count_if(F.col("score") >= DECISION_THRESHOLD).alias("called"),
         F.count_if((F.col("score") >= DECISION_THRESHOLD) & (F.col("y") == 1)).alias("hits"),
-        *sketch_aggregates(["score"], probs),
     ]
-    if ranges:
-        inner = [i / ranges for i in range(1, ranges)]
-        aggregates.append(
-            F.percentile_approx("score", inner, max(1000, 10 * ranges)).alias("ranges")
-        )
-    row = scored.agg(*aggregates).first()
+    row = scored.agg(*counts, F.min("score").alias("low"), F.max("score").alias("high"))
+    row = row.first().asDict()
     if row["rows"] == 0:
         raise ValueError("the table is empty")
     if row["missing"]:
         raise ValueError(f"{row['missing']} rows miss the label or the score")
+    sketches = sketch_aggregates(["score"], probs) if probs else []
+    if ranges:
+        inner = [i / ranges for i in range(1, ranges)]
+        accuracy = max(1000, 10 * ranges)
+        sketches.append(F.percentile_approx("score", inner, accuracy).alias("ranges"))
+    if sketches:
+        row |= scored.agg(*sketches).first().asDict()
     return row
 
 
@@ -110,7 +113,7 @@ def _curve(scored: DataFrame, profile) -> DataFrame:
         F.when(F.col("y") == 0, 1).otherwise(0).cast("long").alias("neg"),
     )
     groups = counted.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    bounds = range_bounds(profile["ranges"], profile["__hi0"])
+    bounds = range_bounds(profile["ranges"], profile["high"])
     points = running_totals(counted, groups, "score", ("pos", "neg"), bounds)
     first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     last = F.col("next_pos").isNull()
@@ -242,7 +245,7 @@ def biclassification_eval(df: DataFrame, label, score, **attributes) -> BiclassR
     frequency = distinct_edges(
         resolve_quantiles(scored.select("score"), ["score"], probs, profile)["score"]
     )
-    width = equal_width_edges(profile["__lo0"], profile["__hi0"], p["bucket_num"])
+    width = equal_width_edges(profile["low"], profile["high"], p["bucket_num"])
     found = _bins(scored, [frequency, width], right_closed=False)
     numbers, head = {"ks": None, "auc": UNDEFINED}, []
     if pos and neg:
@@ -276,7 +279,7 @@ def prediction_bias_eval(df: DataFrame, label, score, **attributes) -> DataFrame
     probs = equal_frequency_probs(p["bucket_num"])
     profile = _profile(scored, probs if p["bucket_method"] == "equal_frequency" else ())
     if p["bucket_method"] == "equal_width":
-        edges = equal_width_edges(profile["__lo0"], profile["__hi0"], p["bucket_num"])
+        edges = equal_width_edges(profile["low"], profile["high"], p["bucket_num"])
     else:
         quantiles = resolve_quantiles(scored.select("score"), ["score"], probs, profile)
         edges = distinct_edges(quantiles["score"])

@@ -95,8 +95,8 @@ def _numeric_statistics(row, i: int, quartiles: Sequence[float]) -> dict[str, fl
 def table_statistics(df: DataFrame, feature_selects: Sequence[str] | None = ()) -> DataFrame:
     """One row per feature with its type, counts, moments and exact quartiles.
 
-    Missing values are left out; bool and text columns have counts only. Two narrow passes
-    over each column: moments with a quantile sketch, then the exact quartiles.
+    Missing values are left out; bool and text columns have counts only. Three
+    narrow passes over each column: moments, quantile sketch, exact quartiles.
     """
     features = selected_features(df, feature_selects)
     found: dict[str, dict] = {}
@@ -107,12 +107,14 @@ def table_statistics(df: DataFrame, feature_selects: Sequence[str] | None = ())
             + [is_missing(df, c).alias(c) for c in chunk if c not in numeric]
         )
         others = [c for c in chunk if c not in numeric]
+        # The sketches are their own pass: next to them the moments would not be compiled.
         row = part.agg(
             F.count(F.lit(1)).alias("rows"),
-            *sketch_aggregates(numeric, QUARTILES),
             *_moment_aggregates(numeric),
             *[F.count_if(col(c)).alias(f"missing{i}") for i, c in enumerate(others)],
-        ).first()
+        ).first().asDict()
+        if numeric:
+            row |= part.agg(*sketch_aggregates(numeric, QUARTILES)).first().asDict()
         quartiles = resolve_quantiles(part, numeric, QUARTILES, row)
         for i, name in enumerate(numeric):
             n = row[f"__n{i}"]
