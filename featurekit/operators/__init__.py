@@ -1,0 +1 @@
+"""The operators, each a function from tables to tables or models."""

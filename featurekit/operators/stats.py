@@ -161,13 +161,14 @@ def correlation_matrix(
         row = data.agg(
             missing,
             *[F.var_pop(x[i]).alias(f"v{i}") for i in range(k)],
-            *[F.corr(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs],
+            *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs],
         ).first()
         reject_missing(row["missing"], operator)
         varying = [i for i in range(k) if row[f"v{i}"]]
         for i, j in pairs:
             if i in varying and j in varying:
-                corr[i, j] = corr[j, i] = row[f"r{i}_{j}"]
+                r = row[f"c{i}_{j}"] / (row[f"v{i}"] ** 0.5 * row[f"v{j}"] ** 0.5)
+                corr[i, j] = corr[j, i] = min(1.0, max(-1.0, r))
     else:
         row = data.agg(
             missing,
@@ -202,11 +203,15 @@ def pearsonr(df: DataFrame, feature_selects: Sequence[str] | None = ()) -> DataF
 
 
 def pearsonr_wide(df: DataFrame, feature_selects: Sequence[str] | None = ()) -> DataFrame:
-    """The same as a square table with one column per feature."""
-    long = pearsonr(df, feature_selects)
-    names = selected_features(df, feature_selects)
-    wide = long.groupBy("feature_a").pivot("feature_b", numeric_columns(df, names)).agg(F.first("r"))
-    return wide.withColumnRenamed("feature_a", "feature")
+    """The same as a square table: a row and a column per feature, in table order."""
+    features, corr = correlation_matrix(df, feature_selects, "pearsonr")
+    corr = np.where(np.isnan(corr), UNDEFINED_CORRELATION, corr)
+    schema = T.StructType(
+        [T.StructField("feature", T.StringType())]
+        + [T.StructField(f, T.DoubleType()) for f in features]
+    )
+    rows = [(f, *map(float, corr[i])) for i, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def vif(df: DataFrame, feature_selects: Sequence[str] | None = ()) -> DataFrame:

@@ -1,0 +1 @@
+"""Operator names and file-to-file tasks."""
