@@ -290,6 +290,42 @@ def _gbdt_stump(spark, sf_dir):
     return _rounded(found, 6, "threshold", "left_value", "right_value")
 
 
+def _quantity_prices(spark, sf_dir):
+    return fk.with_roles(
+        _table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"
+        ),
+        ids=["l_orderkey", "l_linenumber"],
+        labels=["l_extendedprice"],
+    )
+
+
+def _group_means(train, predict, **attributes):
+    """A tree deep enough to part all values of its one feature predicts their means."""
+
+    def run(spark, sf_dir):
+        df = _quantity_prices(spark, sf_dir)
+        model = train(df, "l_extendedprice", **attributes)
+        scored = predict(df, model, save_id=True, col_names=["l_linenumber", "l_quantity"])
+        return _rounded(scored, 3, "pred")
+
+    return run
+
+
+def _lr_logistic_groups(spark, sf_dir):
+    """Without a penalty, one yes/no feature gives each group its share of positives."""
+    df = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_returnflag") == "R").cast("int").alias("returned"),
+        (F.col("l_quantity") > 20).cast("int").alias("many"),
+    )
+    df = fk.with_roles(df, ids=["l_orderkey", "l_linenumber"], labels=["many"])
+    model = fk.lr_train(df, "many", l2_norm=0.0, max_iter=100, tol=1e-12)
+    scored = fk.lr_predict(df, model, save_label=True, label_name="many", col_names=["returned"])
+    return _rounded(scored, 5, "pred")
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 
@@ -582,7 +618,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gblinear_predict": _predicted(
             fk.xgb_predict, fk.xgb_train, booster="gblinear", **{"lambda": 0.01}, **scaled
         ),
+        "lr_logistic_groups": _lr_logistic_groups,
         "gbdt_stump": _gbdt_stump,
+        "gbdt_group_means": _group_means(
+            fk.xgb_train, fk.xgb_predict, objective="reg:squarederror", num_boost_round=1,
+            max_depth=16, max_bin=253, learning_rate=1.0, **{"lambda": 0.0},
+        ),
+        "leafwise_group_means": _group_means(
+            fk.lgbm_train, fk.lgbm_predict, objective="regression", n_estimators=1,
+            num_leaves=64, learning_rate=1.0,
+        ),
         "gbdt_predict": _predicted(fk.xgb_predict, fk.xgb_train, num_boost_round=3, max_depth=3),
         "gbdt_leafwise_predict": _predicted(
             fk.lgbm_predict, fk.lgbm_train, n_estimators=3, num_leaves=8
@@ -609,6 +654,8 @@ def oracle_sql() -> dict[str, str]:
     numeric = [(c, "float64") for c in _CORRELATED]
     shuffled = "md5('1024|' || o_orderkey)"
     edges = _quantile_edges
+    means = """SELECT round(avg(l_extendedprice) OVER (PARTITION BY l_quantity), 3) AS pred,
+        l_orderkey AS id, l_linenumber, l_quantity FROM lineitem"""
     regression = """SELECT regr_sxy(l_extendedprice, l_quantity) AS sxy,
         regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS mx,
         avg(l_extendedprice) AS my FROM lineitem"""
@@ -679,7 +726,12 @@ def oracle_sql() -> dict[str, str]:
         "lr_linear_predict": f"""SELECT round(my + sxy / (sxx + 1) * (l_quantity - mx), 3) AS pred,
             l_orderkey AS "order", l_extendedprice AS price, l_linenumber
             FROM lineitem, ({regression})""",
+        "lr_logistic_groups": """SELECT round(avg(CAST(l_quantity > 20 AS INT)) OVER (
+            PARTITION BY l_returnflag = 'R'), 5) AS pred, CAST(l_quantity > 20 AS INT) AS many,
+            CAST(l_returnflag = 'R' AS INT) AS returned FROM lineitem""",
         "gbdt_stump": _STUMP_SQL,
+        "gbdt_group_means": means,
+        "leafwise_group_means": means,
         "roc_curve": f"""WITH {_CURVE_SQL} SELECT round(threshold, 9) AS threshold,
             round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM kept""",
         "biclass_summary": f"""WITH {_CURVE_SQL} SELECT
