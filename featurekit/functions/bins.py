@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import quoted
@@ -25,6 +25,11 @@ def double_sql(value: float) -> str:
     return f"{value!r}D"
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """Literal array, parsed in one go instead of built element by element."""
+    return F.expr(f"array({', '.join(map(double_sql, values))})")
+
+
 def bin_number_sql(name: str, edges: Sequence[float], right_closed: bool = True) -> str:
     """SQL text for the number of edges below the value (``< x``, or ``<= x`` when the
     bins are left-closed); a balanced comparison tree, so log2(edges) steps per row."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import col
-from .bins import with_bin_number
+from .bins import double_array, with_bin_number
 
 MAX_RANGES = 2048
 COLLECT_LIMIT = 100_000
@@ -46,7 +46,7 @@ def running_totals(
     part = "__range"
     inner = bounds[:-1]
     totals_of = with_bin_number(rows, part, key, inner)
-    top = F.get(F.array([F.lit(b) for b in bounds]), F.col(part))
+    top = F.get(double_array(bounds), F.col(part))
     per_range = {
         r[part]: r
         for r in totals_of.groupBy(part)
@@ -72,8 +72,9 @@ def running_totals(
 
     def lookup(table: dict, i: int) -> Column:
         width = max(order) + 1
-        entries = [F.lit(table[p][i] if p in table else None).cast("long") for p in range(width)]
-        return F.get(F.array(entries), F.col(part))
+        entries = [table[p][i] if p in table else None for p in range(width)]
+        text = ", ".join("NULL" if e is None else f"{e}L" for e in entries)
+        return F.get(F.expr(f"CAST(array({text}) AS array<bigint>)"), F.col(part))
 
     inside = Window.partitionBy(part).orderBy(col(key).desc())
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -15,14 +15,16 @@ from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import as_double, col
-from .bins import with_bin_number
+from .bins import double_array, with_bin_number
 
 ACCURACY = 10_000
-COLLECT_LIMIT = 200_000
+COLLECT_LIMIT = 1_000_000
 COLUMNS_PER_JOB = 16
 _CELLS = 200
 _MAX_ROUNDS = 40
@@ -122,7 +124,7 @@ def _coded(df: DataFrame, columns: Mapping[int, str], state: Mapping[int, _Colum
         cuts = state[i].cuts()
         df = with_bin_number(df, f"__below{i}", name, cuts)
         below = F.col(f"__below{i}")
-        next_cut = F.get(F.array([F.lit(e) for e in cuts]), below)
+        next_cut = F.get(double_array(cuts), below)
         code = below * 2 + F.when(next_cut == col(name), 1).otherwise(0)
         wanted = sorted(state[i].wanted(cuts))
         inside = code.isin(wanted) if wanted else F.lit(False)
@@ -137,8 +139,7 @@ def _coded(df: DataFrame, columns: Mapping[int, str], state: Mapping[int, _Colum
 def _step(df: DataFrame, columns: Mapping[int, str], state: Mapping[int, _Column]) -> None:
     open_columns = {i: name for i, name in columns.items() if state[i].brackets}
     coded = _coded(df, open_columns, state)
-    collect = sum(state[i].expected() for i in open_columns) <= COLLECT_LIMIT
-    if collect:
+    if sum(state[i].expected() for i in open_columns) <= COLLECT_LIMIT:
         found = coded.groupBy("c", "code", "v").agg(F.count(F.lit(1)).alias("n"))
     else:
         cells = [i / _CELLS for i in range(_CELLS + 1)]
@@ -148,40 +149,42 @@ def _step(df: DataFrame, columns: Mapping[int, str], state: Mapping[int, _Column
             F.max("v").alias("high"),
             F.percentile_approx("v", cells, ACCURACY).alias("grid"),
         )
-    groups: dict[int, dict[int, list]] = {i: {} for i in open_columns}
-    for row in found.collect():
-        groups[row["c"]].setdefault(row["code"], []).append(row)
+    table = found.toArrow()
+    number = table["c"].to_numpy()
     for i in open_columns:
-        column, cuts = state[i], state[i].cuts()
-        ranks, column.brackets = sorted(column.brackets), {}
-        base = 0
-        for code in sorted(groups[i]):
-            rows = groups[i][code]
-            size = sum(r["n"] for r in rows)
-            inside = [r for r in ranks if base <= r < base + size]
-            if code % 2:
-                column.known.update(dict.fromkeys(inside, cuts[code // 2]))
-            elif inside and collect and rows[0]["v"] is not None:
-                below = base
-                for r in sorted(rows, key=lambda r: r["v"]):
-                    for rank in inside:
-                        if below <= rank < below + r["n"]:
-                            column.known[rank] = r["v"]
-                    below += r["n"]
-            elif inside:
-                # Values of this interval were not read: it becomes the bracket.
-                slot = code // 2
-                low = cuts[slot - 1] if slot else column.low
-                high = cuts[slot] if slot < len(cuts) else column.high
-                grid = None
-                if not collect and rows[0]["low"] is not None:
-                    low, high, grid = rows[0]["low"], rows[0]["high"], rows[0]["grid"]
-                for rank in inside:
-                    if low == high:
-                        column.known[rank] = low
-                    else:
-                        column.refine(rank, base, size, low, high, grid)
-            base += size
+        _settle(state[i], table.filter(pa.array(number == i)))
+
+
+def _settle(column: _Column, table: pa.Table) -> None:
+    """Find the open ranks among the counted values and intervals of one column."""
+    cuts, ranks = column.cuts(), sorted(column.brackets)
+    column.brackets = {}
+    read = "v" in table.column_names
+    if read:
+        order = np.lexsort((table["v"].to_numpy(), table["code"].to_numpy()))
+    else:
+        order = np.argsort(table["code"].to_numpy())
+    table = table.take(pa.array(order))
+    code, upto = table["code"].to_numpy(), np.cumsum(table["n"].to_numpy())
+    for rank, at in zip(ranks, np.searchsorted(upto, ranks, side="right")):
+        slot = int(code[at]) // 2
+        if code[at] % 2:
+            column.known[rank] = cuts[slot]
+            continue
+        if read and table["v"][at].is_valid:
+            column.known[rank] = table["v"][at].as_py()
+            continue
+        # Values of this interval were not read: it becomes the bracket.
+        size = table["n"][at].as_py()
+        low = cuts[slot - 1] if slot else column.low
+        high = cuts[slot] if slot < len(cuts) else column.high
+        grid = None
+        if not read and table["low"][at].is_valid:
+            low, high, grid = (table[c][at].as_py() for c in ("low", "high", "grid"))
+        if low == high:
+            column.known[rank] = low
+        else:
+            column.refine(rank, int(upto[at]) - size, size, low, high, grid)
 
 
 def resolve_quantiles(

@@ -38,8 +38,7 @@ def _broadcast_limit(df: DataFrame) -> int:
 
 def _hot_keys(df: DataFrame, keys: Sequence[str]) -> set[tuple]:
     """Keys that hold much of a sample. A wrong guess costs time only, never rows."""
-    # About 100 bytes a row: a rough sample size is all that is needed.
-    share = min(1.0, SAMPLE_ROWS * 100 / max(_plan_bytes(df), 1))
+    share = min(1.0, SAMPLE_ROWS / max(df.count(), 1))
     columns = [col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     names = [f"k{i}" for i, _ in enumerate(keys)]
     sample = df.select(columns).sample(fraction=share, seed=7)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bins import (
+    double_array,
     distinct_edges,
     equal_frequency_probs,
     equal_width_edges,
@@ -217,7 +218,7 @@ def woe_substitution(df: DataFrame, rules: DataFrame | Sequence[dict]) -> DataFr
         woes = [float(b["woe"]) for b in rule["bins"]]
         searches.append((number, x, [float(b["right"]) for b in rule["bins"]][:-1]))
         if woes:
-            known = F.get(F.array([F.lit(w) for w in woes]), F.col(number))
+            known = F.get(double_array(woes), F.col(number))
         else:
             known = F.raise_error(F.lit(f"the rule of {field.name} has no bins")).cast("double")
         if rule.get("else_woe") is None:
