@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import featurekit as fk  # noqa: E402
 from featurekit.operators.stats import COUNTS, STATISTICS  # noqa: E402
 from featurekit.session import shared_folder  # noqa: E402
-from featurekit.sources.tables import read_csv, write_csv  # noqa: E402
+from featurekit.sources.tables import read_csv, read_parquet, write_csv, write_parquet  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -386,8 +386,9 @@ def _profile_joined(spark, sf_dir):
 
 
 def _chain_join_to_report(spark, sf_dir):
-    """Join, split, train, score the held-out part, evaluate."""
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    """Join, split, train, score the held-out part, evaluate: tasks chained by tables in the
+    shared folder, so that each step reads its input once written."""
+    folder = shared_folder(spark)
     items = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
@@ -395,14 +396,48 @@ def _chain_join_to_report(spark, sf_dir):
         "l_discount",
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 40000).cast("int").alias("big"),
     )
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 1000000).alias("order_total")
+    )
     joined = fk.psi(
         fk.with_roles(items, ids=["l_orderkey", "l_linenumber"], labels=["big"]),
         fk.with_roles(orders, ids=["o_orderkey"]),
         keys=[["l_orderkey"], ["o_orderkey"]],
-    ).withColumn("o_totalprice", F.col("o_totalprice") / 1000000)
-    train, test = fk.train_test_split(joined, key=["l_orderkey", "l_linenumber"], train_size=0.8)
-    model = fk.lr_train(train, "big", max_iter=20)
-    scored = fk.lr_predict(test, model, save_label=True)
+    )
+    write_parquet(joined, f"{folder}/joined")
+
+    def parquet(name):
+        return {"data_path": f"{folder}/{name}", "format": "parquet"}
+
+    fk.run_task(
+        spark,
+        {
+            "component_name": "train_test_split",
+            "train_size": 0.8,
+            "key": ["l_orderkey", "l_linenumber"],
+            "inputs": [parquet("joined")],
+            "outputs": [parquet("train"), parquet("test")],
+        },
+    )
+    fk.run_task(
+        spark,
+        {
+            "component_name": "lr_train",
+            "max_iter": 20,
+            "inputs": [{**parquet("train"), "label": ["big"]}],
+            "outputs": [{"data_path": f"{folder}/model"}],
+        },
+    )
+    fk.run_task(
+        spark,
+        {
+            "component_name": "lr_predict",
+            "save_label": True,
+            "inputs": [parquet("test"), {"data_path": f"{folder}/model"}],
+            "outputs": [parquet("scored")],
+        },
+    )
+    scored = read_parquet(spark, f"{folder}/scored")
     return fk.biclassification_eval(scored, "label", "pred").summary
 
 

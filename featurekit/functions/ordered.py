@@ -7,9 +7,10 @@ ordered by itself, and range totals, at most one row per range, shift the sums.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from ..schema import col
 from .bins import double_array, with_bin_number
 
 MAX_RANGES = 2048
-COLLECT_LIMIT = 100_000
+COLLECT_LIMIT = 20_000
 
 
 def range_bounds(sketch: Sequence[float], highest: float) -> list[float]:
@@ -86,35 +87,33 @@ def running_totals(
     return out.withColumns(added).drop(part)
 
 
-def hash_cutoff(df: DataFrame, digest: Column, n: int) -> tuple[str, int, int]:
-    """Where the n-th row (from 1) lies in the order of a hexadecimal digest.
+def hash_cutoff(
+    df: DataFrame, digest: Column, rank: Callable[[int], int]
+) -> tuple[str, int, int, int]:
+    """Where a row lies in the order of a hexadecimal digest; ``rank`` turns the number of
+    rows into the place wanted (from 1).
 
-    Returns its digest, the rows below that digest and the rows that carry it. Counts per
-    digest prefix narrow the search; whole digests are read only from a prefix that few
-    rows share, or that cannot be told apart further."""
+    Returns that place, the digest there, the rows below that digest and the rows that
+    carry it. Counts per digest prefix narrow the search; whole digests are read only from
+    a prefix that few rows share, or that cannot be told apart further."""
     digests = df.select(digest.alias("h"))
-    prefix, below, width = "", 0, 32
+    prefix, below, n, width = "", 0, None, 32
+    step = 4
     while True:
-        step = min(len(prefix) + 4, width)
         part = digests.where(F.col("h").startswith(prefix)) if prefix else digests
         counts = part.groupBy(F.substring("h", 1, step).alias("p")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        for row in sorted(counts.collect()):
-            if below + row["n"] >= n:
-                prefix, found = row["p"], row["n"]
-                break
-            below += row["n"]
-        else:
-            raise ValueError(f"fewer than {n} rows")
+        table = counts.toArrow().sort_by("p")
+        upto = below + np.cumsum(table["n"].to_numpy())
+        if n is None:
+            n = rank(int(upto[-1]) if len(upto) else 0)
+        at = int(np.searchsorted(upto, n))
+        prefix, found = table["p"][at].as_py(), table["n"][at].as_py()
+        below = int(upto[at]) - found
         if step == width:
-            return prefix, below, found
-        if found <= COLLECT_LIMIT:
-            rest = digests.where(F.col("h").startswith(prefix)).groupBy("h")
-            for row in sorted(rest.agg(F.count(F.lit(1)).alias("n")).collect()):
-                if below + row["n"] >= n:
-                    return row["h"], below, row["n"]
-                below += row["n"]
+            return n, prefix, below, found
+        step = width if found <= COLLECT_LIMIT else step + 4
 
 
 def _literal(value, data_type: T.DataType) -> Column:

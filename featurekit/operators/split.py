@@ -38,7 +38,7 @@ def _divide(df: DataFrame, n: int, order: Column, cut: Column, below: int, equal
     if missing == equal:
         return df.where(order <= cut), df.where(order > cut)
     content = _content(df)
-    digest, before, copies = hash_cutoff(df.where(order == cut), content, missing)
+    _, digest, before, copies = hash_cutoff(df.where(order == cut), content, lambda _: missing)
     taken = missing - before
     tied = order == cut
     if taken == copies:
@@ -72,8 +72,7 @@ def train_test_split(
     if not p["shuffle"]:
         columns = column_list("order_by", order_by, low=1)
         require_columns(df, columns)
-        n = int(df.count() * share)
-        _require_rows(n)
+        n = _train_rows(df.count(), share)
         cut, below, equal = order_cutoff(df, columns, n)
         order = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)])
         return _divide(df, n, order, cut, below, equal)
@@ -85,12 +84,12 @@ def train_test_split(
         return df.where(F.substring(digest, 1, 12) < cut), df.where(
             F.substring(digest, 1, 12) >= cut
         )
-    n = int(df.count() * share)
-    _require_rows(n)
-    cut, below, equal = hash_cutoff(df, digest, n)
+    n, cut, below, equal = hash_cutoff(df, digest, lambda rows: _train_rows(rows, share))
     return _divide(df, n, digest, F.lit(cut), below, equal)
 
 
-def _require_rows(n: int) -> None:
+def _train_rows(rows: int, share: float) -> int:
+    n = int(rows * share)
     if n < 1:
         raise ValueError(f"the training part needs at least 1 row, got {n}")
+    return n

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,55 +134,26 @@ def woe_binning(
     edges = bin_edges(df, features, p["binning_method"], p["bin_num"])
     counts = _bin_counts(df, edges, features, label, p["positive_label"])
 
-    # From here on tables have one row per bin.
-    bins = []
-    for at, f in enumerate(features):
-        shown = edges[f] if exact_edges else rounded_edges(edges[f])
-        named = rounded_edges(edges[f])
-        for b in range(len(edges[f]) - 1):
-            bins.append((at, f, b, float(shown[b + 1]), f"({named[b]}, {named[b + 1]}]"))
-        bins.append((at, f, -1, None, ELSE))
-    listed = df.sparkSession.createDataFrame(
-        bins, "at int, feature string, bin int, right double, label string"
-    )
-    joined = F.broadcast(listed).join(counts, ["feature", "bin"], "left")
-    missing_seen = F.col("total").isNotNull() | (F.col("bin") >= 0)
-    total, pos = F.coalesce("total", F.lit(0)), F.coalesce("pos", F.lit(0))
-
-    def smoothed(count: Column) -> Column:
-        return F.when(count < 1, F.lit(0.5)).otherwise(count.cast("double"))
-
-    feature = Window.partitionBy("feature")
-    table = (
-        joined.withColumn("seen", missing_seen)
-        .withColumn("total", total)
-        .withColumn("pos_count", pos)
-        .withColumn("p", F.when(F.col("seen"), smoothed(F.col("pos_count"))))
-        .withColumn("n", F.when(F.col("seen"), smoothed(F.col("total") - F.col("pos_count"))))
-        .withColumn("p", F.col("p") / F.sum("p").over(feature))
-        .withColumn("n", F.col("n") / F.sum("n").over(feature))
-        .withColumn("woe", F.coalesce(F.log(F.col("p") / F.col("n")), F.lit(0.0)))
-        .withColumn(
-            "iv", F.coalesce((F.col("p") - F.col("n")) * F.col("woe"), F.lit(0.0))
-        )
-    )
-    # At most features x bins rows: both outputs are built from one counting pass.
-    rows = table.select(
-        "at", "feature", "bin", "right", "label", "seen", "total", "pos_count", "woe", "iv"
-    ).collect()
-    rows.sort(key=lambda r: (r["at"], r["bin"] < 0, r["bin"]))
+    # At most features x (bins + 1) rows come back; the rest is arithmetic on them.
+    found = {(r["feature"], r["bin"]): (r["total"], r["pos"]) for r in counts.collect()}
     rules, report = [], []
     for f in features:
-        mine = [r for r in rows if r["feature"] == f]
-        iv, bin_count = sum(r["iv"] for r in mine), sum(r["bin"] >= 0 for r in mine)
-        other = [r["woe"] for r in mine if r["bin"] < 0 and r["seen"]]
-        rules.append(
-            (f, [(r["right"], r["woe"]) for r in mine if r["bin"] >= 0], other[0] if other else None)
-        )
+        shown = rounded_edges(edges[f])
+        right = edges[f] if exact_edges else shown
+        bins = list(range(len(edges[f]) - 1))
+        labels = {b: f"({shown[b]}, {shown[b + 1]}]" for b in bins}
+        if (f, -1) in found:
+            labels[-1] = ELSE
+        rows = [(b, *found.get((f, b), (0, 0))) for b in labels]
+        woe, iv = _evidence([pos for _, _, pos in rows], [total - pos for _, total, pos in rows])
+        by_bin = {b: w for (b, _, _), w in zip(rows, woe)}
+        rules.append((f, [(float(right[b + 1]), by_bin[b]) for b in bins], by_bin.get(-1)))
         report += [
-            (f, bin_count, iv, r["label"], r["woe"], r["iv"], r["total"], r["pos_count"])
-            for r in mine
+            (f, len(bins), float(sum(iv)), labels[b], w, v, total, pos)
+            for (b, total, pos), w, v in zip(rows, woe, iv)
         ]
+        if -1 not in labels:
+            report.append((f, len(bins), float(sum(iv)), ELSE, 0.0, 0.0, 0, 0))
     spark = df.sparkSession
     return WoeBinning(
         spark.createDataFrame(rules, RULE_SCHEMA),
@@ -193,6 +165,14 @@ def woe_binning(
     )
 
 
+def _evidence(pos: Sequence[int], neg: Sequence[int]) -> tuple[list[float], list[float]]:
+    """Weight of evidence and information value per bin; counts below 1 become 0.5 first."""
+    p, n = ([float(c) if c >= 1 else 0.5 for c in counts] for counts in (pos, neg))
+    p, n = ([c / sum(side) for c in side] for side in (p, n))
+    woe = [math.log(a / b) for a, b in zip(p, n)]
+    return woe, [(a - b) * w for a, b, w in zip(p, n, woe)]
+
+
 def woe_substitution(df: DataFrame, rules: DataFrame | Sequence[dict]) -> DataFrame:
     """Replace features by the weight of evidence of their bin.
 
