@@ -2,7 +2,9 @@
 
 ``entry`` runs the flagship query, ``queries`` maps names to functions of (session, table
 folder), ``oracle_sql`` maps the same names to SQL over the same tables. Floating-point
-results are rounded on both sides, as sums depend on the order of the rows.
+results are rounded on both sides, as sums depend on the order of the rows. Before that
+they are raised by a thousandth of the last digit: averages of decimal data often lie
+exactly half-way between two rounded values, where the last bit would decide.
 """
 
 from __future__ import annotations
@@ -29,17 +31,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _digits(x: Column | str) -> Column:
-    """Nine significant digits."""
+    """Eight significant digits."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.when(x.isNotNull(), F.format_string("%.8e", x + F.lit(0.0)).cast("double"))
+    x = x * F.lit(1 + 1e-10) + F.lit(0.0)
+    return F.when(x.isNotNull(), F.format_string("%.7e", x).cast("double"))
 
 
 def _digits_sql(x: str) -> str:
-    return f"CAST(printf('%.8e', CAST({x} AS DOUBLE) + 0.0) AS DOUBLE)"
+    return f"CAST(printf('%.7e', CAST({x} AS DOUBLE) * (1 + 1e-10) + 0.0) AS DOUBLE)"
+
+
+def _round(x: Column | str, digits: int) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+    return df.withColumns({c: _round(c, digits) for c in columns})
 
 
 # --- joins, selections, splits ------------------------------------------------------------
@@ -164,9 +172,9 @@ def _rules(found: fk.WoeBinning) -> DataFrame:
     return rows.select(
         "feature",
         "bin",
-        F.round("b.right", 3).alias("right_edge"),
-        F.round("b.woe", 6).alias("woe"),
-        F.round("else_woe", 6).alias("else_woe"),
+        _round("b.right", 3).alias("right_edge"),
+        _round("b.woe", 6).alias("woe"),
+        _round("else_woe", 6).alias("else_woe"),
     )
 
 
@@ -192,10 +200,10 @@ def _woe_report(spark, sf_dir):
     return report.select(
         "feature",
         "bin_count",
-        F.round("feature_iv", 8).alias("feature_iv"),
+        _round("feature_iv", 8).alias("feature_iv"),
         (F.col("label") == "else").alias("is_else"),
-        F.round("woe", 6).alias("woe"),
-        F.round("iv", 8).alias("iv"),
+        _round("woe", 6).alias("woe"),
+        _round("iv", 8).alias("iv"),
         "total",
         "pos_count",
     )
@@ -489,7 +497,7 @@ def _pearsonr_sql(columns: tuple[str, ...], source: str, constant: str = "") ->
             if constant in (a, b):
                 r = "999.0"
             else:
-                r = "1.0" if a == b else f"round(corr({a}, {b}), 6)"
+                r = "1.0" if a == b else f"round(corr({a}, {b}) + 1e-9, 6)"
             parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r} AS r FROM src")
     # One row per pair even where no aggregate is involved.
     parts = [p if "corr(" in p else p.replace(" FROM src", "") for p in parts]
@@ -535,13 +543,13 @@ def _woe_sql(features: list[str], edges: Callable[[str, int], str], report: bool
             n / sum(n) OVER (PARTITION BY feature) AS nr FROM bins)"""
     if report:
         return f"""{base} SELECT feature, CAST(bin_count AS INT) AS bin_count,
-            round(sum((pr - nr) * ln(pr / nr)) OVER (PARTITION BY feature), 8) AS feature_iv,
-            bin < 0 AS is_else, round(ln(pr / nr), 6) AS woe,
-            round((pr - nr) * ln(pr / nr), 8) AS iv, total, CAST(pos AS BIGINT) AS pos_count
+            round(sum((pr - nr) * ln(pr / nr)) OVER (PARTITION BY feature) + 1e-11, 8) AS feature_iv,
+            bin < 0 AS is_else, round(ln(pr / nr) + 1e-9, 6) AS woe,
+            round((pr - nr) * ln(pr / nr) + 1e-11, 8) AS iv, total, CAST(pos AS BIGINT) AS pos_count
             FROM rated"""
-    return f"""{base} SELECT feature, CAST(bin AS INT) AS bin, round(right_edge, 3) AS right_edge,
-        round(ln(pr / nr), 6) AS woe,
-        (SELECT round(ln(o.pr / o.nr), 6) FROM rated o
+    return f"""{base} SELECT feature, CAST(bin AS INT) AS bin, round(right_edge + 1e-6, 3) AS right_edge,
+        round(ln(pr / nr) + 1e-9, 6) AS woe,
+        (SELECT round(ln(o.pr / o.nr) + 1e-9, 6) FROM rated o
             WHERE o.feature = rated.feature AND o.bin = -1) AS else_woe
         FROM rated WHERE bin >= 0"""
 
@@ -566,9 +574,9 @@ def _head_sql() -> str:
         SELECT i, arg_min({{'t': threshold, 'fpr': fpr, 'tpr': tpr, 'cp': cp, 'cn': cn}},
             [abs(fpr - target), CAST(rn AS DOUBLE)]) AS b
         FROM kept, (VALUES {values}) AS targets(i, target) GROUP BY i)
-        SELECT 'case_' || i AS name, round(b.t, 9) AS threshold, round(b.fpr, 9) AS fpr,
-            CASE WHEN b.cp + b.cn = 0 THEN 0.0 ELSE round(b.cp / (b.cp + b.cn), 9) END AS "precision",
-            round(b.tpr, 9) AS recall FROM best"""
+        SELECT 'case_' || i AS name, round(b.t + 1e-12, 9) AS threshold, round(b.fpr + 1e-12, 9) AS fpr,
+            CASE WHEN b.cp + b.cn = 0 THEN 0.0 ELSE round(b.cp / (b.cp + b.cn) + 1e-12, 9) END AS "precision",
+            round(b.tpr + 1e-12, 9) AS recall FROM best"""
 
 
 def _bin_report_sql(edges: str) -> str:
@@ -581,17 +589,17 @@ def _bin_report_sql(edges: str) -> str:
         cumulated AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
             row_number() OVER w - 1 AS i FROM binned
             WINDOW w AS (ORDER BY b DESC ROWS UNBOUNDED PRECEDING))
-        SELECT 'bin_' || i AS name, round(lo, 9) AS start_value, round(hi, 9) AS end_value,
+        SELECT 'bin_' || i AS name, round(lo + 1e-12, 9) AS start_value, round(hi + 1e-12, 9) AS end_value,
             CAST(pos AS BIGINT) AS positive, CAST(neg AS BIGINT) AS negative, total,
-            round(tp / (tp + fp), 9) AS "precision", round(tp / p, 9) AS recall,
-            round(fp / n, 9) AS false_positive_rate, round(2 * tp / (tp + fp + p), 9) AS f1_score,
-            round(tp / (tp + fp) * t / p, 9) AS lift,
-            round(pos / p, 9) AS distribution_of_positive,
-            round(neg / n, 9) AS distribution_of_negative,
-            round(tp / p, 9) AS cumulative_percent_of_positive,
-            round(fp / n, 9) AS cumulative_percent_of_negative,
-            round((tp + fp) / t, 9) AS total_cumulative_percent,
-            round(tp / p - fp / n, 9) AS ks, round(avg_score, 9) AS avg_score
+            round(tp / (tp + fp) + 1e-12, 9) AS "precision", round(tp / p + 1e-12, 9) AS recall,
+            round(fp / n + 1e-12, 9) AS false_positive_rate, round(2 * tp / (tp + fp + p) + 1e-12, 9) AS f1_score,
+            round(tp / (tp + fp) * t / p + 1e-12, 9) AS lift,
+            round(pos / p + 1e-12, 9) AS distribution_of_positive,
+            round(neg / n + 1e-12, 9) AS distribution_of_negative,
+            round(tp / p + 1e-12, 9) AS cumulative_percent_of_positive,
+            round(fp / n + 1e-12, 9) AS cumulative_percent_of_negative,
+            round((tp + fp) / t + 1e-12, 9) AS total_cumulative_percent,
+            round(tp / p - fp / n + 1e-12, 9) AS ks, round(avg_score + 1e-12, 9) AS avg_score
         FROM cumulated, totals"""
 
 
@@ -599,10 +607,10 @@ def _bias_sql(edges: str) -> str:
     return f"""WITH {_LABELLED_SQL}, edges AS ({edges}),
         binned AS (SELECT len(list_filter(e[2:len(e) - 1], lambda v: v < score)) AS b,
             avg(score) AS ap, avg(returned) AS al FROM src, edges GROUP BY b)
-        SELECT round(e[b + 1], 8) AS left_endpoint, false AS left_closed,
-            round(e[b + 2], 8) AS right_endpoint, true AS right_closed, false AS is_na,
-            round(ap, 8) AS avg_prediction, round(al, 8) AS avg_label,
-            round(abs(ap - al), 8) AS bias
+        SELECT round(e[b + 1] + 1e-11, 8) AS left_endpoint, false AS left_closed,
+            round(e[b + 2] + 1e-11, 8) AS right_endpoint, true AS right_closed, false AS is_na,
+            round(ap + 1e-11, 8) AS avg_prediction, round(al + 1e-11, 8) AS avg_label,
+            round(abs(ap - al) + 1e-11, 8) AS bias
         FROM binned, edges"""
 
 
@@ -614,8 +622,8 @@ _STUMP_SQL = """WITH src AS (
         FROM src, cuts GROUP BY t),
     best AS (SELECT * FROM sums
         ORDER BY gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr)**2 / (hl + hr + 1) DESC LIMIT 1)
-    SELECT round(t, 6) AS threshold, round(-0.3 * gl / (hl + 1), 6) AS left_value,
-        round(-0.3 * gr / (hr + 1), 6) AS right_value FROM best"""
+    SELECT round(t + 1e-9, 6) AS threshold, round(-0.3 * gl / (hl + 1) + 1e-9, 6) AS left_value,
+        round(-0.3 * gr / (hr + 1) + 1e-9, 6) AS right_value FROM best"""
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -689,7 +697,7 @@ def oracle_sql() -> dict[str, str]:
     numeric = [(c, "float64") for c in _CORRELATED]
     shuffled = "md5('1024|' || o_orderkey)"
     edges = _quantile_edges
-    means = """SELECT round(avg(l_extendedprice) OVER (PARTITION BY l_quantity), 3) AS pred,
+    means = """SELECT round(round(avg(l_extendedprice) OVER (PARTITION BY l_quantity), 6) + 1e-6, 3) AS pred,
         l_orderkey AS id, l_linenumber, l_quantity FROM lineitem"""
     regression = """SELECT regr_sxy(l_extendedprice, l_quantity) AS sxy,
         regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS mx,
@@ -739,12 +747,12 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'l_discount', {_digits_sql("(1 - ac * ac) / det")} FROM d
             UNION ALL SELECT 'net', {_digits_sql("(1 - ab * ab) / det")} FROM d""",
         "bin_edges_quantile": " UNION ALL ".join(
-            f"""SELECT '{f}' AS feature, CAST(i AS INT) AS i, round(e[i + 1], 6) AS edge FROM
+            f"""SELECT '{f}' AS feature, CAST(i AS INT) AS i, round(e[i + 1] + 1e-9, 6) AS edge FROM
             (SELECT e, unnest(range(len(e))) AS i FROM ({edges(f, 10, "lineitem")}))"""
             for f in ("l_quantity", "l_extendedprice", "l_discount")
         ),
         "bin_edges_width": f"""SELECT 'value' AS feature, CAST(i AS INT) AS i,
-            round(e[i + 1], 6) AS edge FROM
+            round(e[i + 1] + 1e-9, 6) AS edge FROM
             (SELECT e, unnest(range(len(e))) AS i FROM ({_width_edges("value", 8, "events")}))""",
         "woe_quantile": _woe_sql(["l_quantity", "l_extendedprice"], edges),
         "woe_bucket": _woe_sql(["l_quantity", "l_extendedprice"], _width_edges),
@@ -758,24 +766,25 @@ def oracle_sql() -> dict[str, str]:
         "lr_linear_1f": f"""SELECT 'l_quantity' AS feature,
             {_digits_sql("sxy / (sxx + 1000)")} AS coefficient,
             {_digits_sql("my - sxy / (sxx + 1000) * mx")} AS intercept FROM ({regression})""",
-        "lr_linear_predict": f"""SELECT round(my + sxy / (sxx + 1) * (l_quantity - mx), 3) AS pred,
+        "lr_linear_predict": f"""SELECT
+            round(round(my + sxy / (sxx + 1) * (l_quantity - mx), 6) + 1e-6, 3) AS pred,
             l_orderkey AS "order", l_extendedprice AS price, l_linenumber
             FROM lineitem, ({regression})""",
-        "lr_logistic_groups": """SELECT round(avg(CAST(l_quantity > 20 AS INT)) OVER (
-            PARTITION BY l_returnflag = 'R'), 5) AS pred, CAST(l_quantity > 20 AS INT) AS many,
+        "lr_logistic_groups": """SELECT round(round(avg(CAST(l_quantity > 20 AS INT)) OVER (
+            PARTITION BY l_returnflag = 'R'), 6) + 1e-8, 5) AS pred, CAST(l_quantity > 20 AS INT) AS many,
             CAST(l_returnflag = 'R' AS INT) AS returned FROM lineitem""",
         "gbdt_stump": _STUMP_SQL,
         "gbdt_group_means": means,
         "leafwise_group_means": means,
-        "roc_curve": f"""WITH {_CURVE_SQL} SELECT round(threshold, 9) AS threshold,
-            round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM kept""",
+        "roc_curve": f"""WITH {_CURVE_SQL} SELECT round(threshold + 1e-12, 9) AS threshold,
+            round(fpr + 1e-12, 9) AS fpr, round(tpr + 1e-12, 9) AS tpr FROM kept""",
         "biclass_summary": f"""WITH {_CURVE_SQL} SELECT
             CAST(p + n AS BIGINT) AS total_samples, CAST(p AS BIGINT) AS positive_samples,
             CAST(n AS BIGINT) AS negative_samples,
-            round((SELECT sum(neg * (cp - pos / 2.0)) FROM points) / (p * n), 8) AS auc,
-            round((SELECT max(tpr - fpr) FROM kept), 8) AS ks,
+            round((SELECT sum(neg * (cp - pos / 2.0)) FROM points) / (p * n) + 1e-11, 8) AS auc,
+            round((SELECT max(tpr - fpr) FROM kept) + 1e-11, 8) AS ks,
             round((SELECT 2 * sum(returned) / (count(*) + any_value(p)) FROM src, totals
-                WHERE score >= 0.5), 8) AS f1_score FROM totals""",
+                WHERE score >= 0.5) + 1e-11, 8) AS f1_score FROM totals""",
         "biclass_head": _head_sql(),
         "biclass_eq_range": _bin_report_sql(_width_edges("score", 10)),
         "biclass_eq_freq": _bin_report_sql(edges("score", 10)),
