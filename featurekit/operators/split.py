@@ -14,7 +14,7 @@ from ..schema import ID, col, columns_with_role, require_columns
 
 
 def _digest(seed: int, key: Sequence[str]) -> Column:
-    parts = [F.coalesce(col(k).cast("string"), F.lit("\0")) for k in key]
+    parts = [F.coalesce(col(k).cast("string"), F.lit("null")) for k in key]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 

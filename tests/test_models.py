@@ -142,10 +142,10 @@ def test_level_wise_against_brute_force(data, objective):
     logistic = objective == "binary:logistic"
     label = "y" if logistic else "v"
     x, y = pdf[["a", "b", "c"]].to_numpy(), pdf[label].to_numpy().astype(float)
-    model = xgb_train(df, label, objective=objective, num_boost_round=10, max_depth=3)
+    model = xgb_train(df, label, objective=objective, num_boost_round=4, max_depth=3)
     cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, 10))))[:-1] for f in range(3)]
     margin = np.full(len(y), 0.0 if logistic else 0.5)
-    for _ in range(10):
+    for _ in range(4):
         p = 1 / (1 + np.exp(-margin)) if logistic else margin
         h = p * (1 - p) if logistic else np.ones_like(y)
         margin = margin + _tree(x, p - y, h, cuts, 3, 1.0, 0.3)
@@ -204,7 +204,7 @@ def test_leaf_wise_takes_the_greatest_gain_first(data):
     agree, and more leaves never raise the training error."""
     pdf, df = data
     errors = []
-    for leaves in (2, 4, 8, 16):
+    for leaves in (2, 4, 9):
         model = lgbm_train(df, "v", objective="regression", n_estimators=1, num_leaves=leaves,
                            learning_rate=1.0)
         got = lgbm_predict(df, model, save_id=True).toPandas().sort_values("id")["pred"]
@@ -219,22 +219,22 @@ def test_leaf_wise_takes_the_greatest_gain_first(data):
 @pytest.mark.parametrize("kind", ["gbdt", "dart", "rf"])
 def test_leaf_wise_kinds_learn(data, kind):
     pdf, df = data
-    model = lgbm_train(df, "y", n_estimators=6, num_leaves=8, boosting_type=kind, learning_rate=0.3)
+    model = lgbm_train(df, "y", n_estimators=4, num_leaves=6, boosting_type=kind, learning_rate=0.3)
     got = lgbm_predict(df, model, save_id=True).toPandas().sort_values("id")["pred"]
     ranks, y = got.rank().to_numpy(), pdf["y"].to_numpy()
     p, n = y.sum(), (1 - y).sum()
     assert (ranks[y == 1].sum() - p * (p + 1) / 2) / (p * n) > 0.8
-    again = lgbm_train(df.repartition(3), "y", n_estimators=1, num_leaves=8)
-    same = lgbm_train(df, "y", n_estimators=1, num_leaves=8)
+    again = lgbm_train(df.repartition(3), "y", n_estimators=1, num_leaves=4)
+    same = lgbm_train(df, "y", n_estimators=1, num_leaves=4)
     assert list(again.trees[0]["cut"]) == list(same.trees[0]["cut"])
 
 
 def test_margins_survive_table_rewrites(data, monkeypatch):
     _, df = data
-    want = xgb_train(df, "y", num_boost_round=6, max_depth=2)
+    want = xgb_train(df, "y", num_boost_round=4, max_depth=2)
     monkeypatch.setattr(boosting, "TREES_PER_TABLE", 2)
     monkeypatch.setattr(boosting, "CELLS_PER_JOB", 40)
-    got = xgb_train(df, "y", num_boost_round=6, max_depth=2)
+    got = xgb_train(df, "y", num_boost_round=4, max_depth=2)
     for a, b in zip(want.trees, got.trees):
         assert list(a["feature"]) == list(b["feature"])
         assert np.allclose(a["value"], b["value"])
