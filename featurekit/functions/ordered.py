@@ -7,6 +7,7 @@ ordered by itself, and range totals, at most one row per range, shift the sums.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 from itertools import accumulate
 
@@ -120,12 +121,15 @@ def _literal(value, data_type: T.DataType) -> Column:
     return F.lit(value).cast(data_type)
 
 
-def order_cutoff(df: DataFrame, columns: Sequence[str], n: int) -> tuple[Column, int, int]:
+def order_cutoff(
+    df: DataFrame, columns: Sequence[str], rank: Callable[[int], int]
+) -> tuple[int, Column, int, int]:
     """The same for the order of some columns (ascending, nulls first).
 
     Pivots from a small sample split the rows, counts pick the piece with the n-th row,
-    and the search goes on inside it. The sample steers, the counts decide. Returns a
-    literal struct to compare ``struct(columns)`` with, rows below it and rows equal."""
+    and the search goes on inside it. The sample steers, the counts decide. Returns the
+    place, a literal struct to compare ``struct(columns)`` with, rows below it and rows
+    equal to it."""
     types = [df.schema[c].dataType for c in columns]
     key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)])
     keys = df.select(key.alias("k"))
@@ -136,13 +140,12 @@ def order_cutoff(df: DataFrame, columns: Sequence[str], n: int) -> tuple[Column,
         )
 
     below, size = 0, keys.count()
-    if size < n:
-        raise ValueError(f"fewer than {n} rows")
+    n = rank(size)
     while size > COLLECT_LIMIT:
         share = min(1.0, 2000 / size)
-        sample = keys.sample(fraction=share, seed=size % 2**31).limit(8000)
-        pivots = [r["k"] for r in sample.distinct().orderBy("k").collect()]
-        pivots = pivots[:: max(1, len(pivots) // 64)]
+        sample = keys.sample(fraction=share, seed=random.randrange(2**31))
+        pivots = sample.agg(F.sort_array(F.collect_set("k"))).first()[0]
+        pivots = pivots[:: max(1, len(pivots) // 24)]
         if not pivots:
             continue
         literals = [literal(p) for p in pivots]
@@ -166,15 +169,16 @@ def order_cutoff(df: DataFrame, columns: Sequence[str], n: int) -> tuple[Column,
             below += row["n"]
         at, size = row["code"], row["n"]
         if at % 2:
-            return literals[at // 2], below, size
+            return n, literals[at // 2], below, size
         slot = at // 2
         if slot:
             keys = keys.where(F.col("k") > literals[slot - 1])
         if slot < len(pivots):
             keys = keys.where(F.col("k") < literals[slot])
-    found = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect()
-    for row in found:
+    # At most COLLECT_LIMIT rows are left.
+    counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for row in counts.agg(F.sort_array(F.collect_list(F.struct("k", "n")))).first()[0]:
         if below + row["n"] >= n:
-            return literal(row["k"]), below, row["n"]
+            return n, literal(row["k"]), below, row["n"]
         below += row["n"]
     raise ValueError(f"fewer than {n} rows")

@@ -72,8 +72,7 @@ def train_test_split(
     if not p["shuffle"]:
         columns = column_list("order_by", order_by, low=1)
         require_columns(df, columns)
-        n = _train_rows(df.count(), share)
-        cut, below, equal = order_cutoff(df, columns, n)
+        n, cut, below, equal = order_cutoff(df, columns, lambda rows: _train_rows(rows, share))
         order = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)])
         return _divide(df, n, order, cut, below, equal)
     key = column_list("key", key) or columns_with_role(df, ID) or df.columns
