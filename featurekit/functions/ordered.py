@@ -53,6 +53,7 @@ def running_totals(
         r[part]: r
         for r in totals_of.groupBy(part)
         .agg(
+            F.count_if(col(key) == top).alias("tops"),
             *[F.sum(col(v)).alias(f"t{i}") for i, v in enumerate(values)],
             *[
                 F.sum(F.when(col(key) == top, col(v)).otherwise(0)).alias(f"n{i}")
@@ -61,6 +62,8 @@ def running_totals(
         )
         .collect()
     }
+    if not all(r["tops"] for r in per_range.values()):
+        raise ValueError("every bound must be a key that occurs")
     order = sorted(per_range)
     carried, below = {}, {}
     for i, _ in enumerate(values):
