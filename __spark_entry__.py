@@ -23,6 +23,15 @@ from featurekit.operators.stats import COUNTS, STATISTICS  # noqa: E402
 from featurekit.session import shared_folder  # noqa: E402
 from featurekit.sources.tables import read_csv, read_parquet, write_csv, write_parquet  # noqa: E402
 
+# The training-data operators and their pipeline are an optional part.
+try:
+    import corpus_pipeline
+    from featurekit.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "featurekit.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -630,7 +639,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return _profile_joined(spark, SMOKE_DIR)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     scaled = {"prepare": _scaled}
     return {
         "profile_joined": _profile_joined,
@@ -693,7 +702,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _own_queries()
+    if llm_queries is not None:
+        found |= llm_queries.queries()
+        found["pipeline"] = corpus_pipeline.run
+    return found
+
+
+def _own_oracle_sql() -> dict[str, str]:
     numeric = [(c, "float64") for c in _CORRELATED]
     shuffled = "md5('1024|' || o_orderkey)"
     edges = _quantile_edges
@@ -793,3 +810,12 @@ def oracle_sql() -> dict[str, str]:
         "csv_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
             c_acctbal, c_mktsegment FROM customer""",
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    found = _own_oracle_sql()
+    if llm_queries is not None:
+        found |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
