@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurekit.llm import packing, url_reputation
+from featurekit.llm import jaccard, line_dedup, packing, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,14 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=4, similarity=Fraction(85, 100))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     digest = F.crc32("ids").alias("ids_crc32")
@@ -46,7 +55,9 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": repeated_lines,
         "op4_url_reputation": url_filter,
+        "op5_jaccard_join": jaccard_join,
         "op7_best_fit_packing": best_fit_packing,
     }
 
