@@ -28,7 +28,7 @@ try:
     import corpus_pipeline
     from featurekit.llm import queries as llm_queries
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "featurekit.llm"):
+    if missing.name != "corpus_pipeline" and not missing.name.startswith("featurekit.llm"):
         raise
     corpus_pipeline = llm_queries = None
 
