@@ -8,7 +8,18 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurekit.llm import jaccard, line_dedup, packing, url_reputation
+from featurekit.llm import (
+    decontaminate,
+    jaccard,
+    license_scan,
+    line_dedup,
+    neighbours,
+    packing,
+    quality,
+    recurrent_lm,
+    token_counts,
+    url_reputation,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +49,15 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +66,10 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=4, similarity=Fraction(85, 100))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     digest = F.crc32("ids").alias("ids_crc32")
@@ -53,12 +77,33 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rank_file = tokenizer_file("byte_bpe_50k.tiktoken")
+    return token_counts.count_redacted(_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_collision_counting_ann": nearest_neighbours,
+        "op2_decontamination": decontamination,
         "op3_line_dedup": repeated_lines,
         "op4_url_reputation": url_filter,
         "op5_jaccard_join": jaccard_join,
+        "op6_quality_classifier": quality_classifier,
         "op7_best_fit_packing": best_fit_packing,
+        "op8_license_scan": license_scans,
+        "op9_recurrent_lm": language_model,
+        "op10_edited_token_counts": edited_token_counts,
     }
 
 
