@@ -1,28 +1,56 @@
-"""A training corpus from documents, in stages that are each written and read again."""
+"""A training corpus from documents: quality, repeated lines, near duplicates, benchmark
+leaks, packing. Each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featurekit.llm import packing
+from featurekit.llm import decontaminate, jaccard, line_dedup, packing, quality
 from featurekit.llm.queries import tokenizer_file
 from featurekit.llm.tables import written
 
 
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go, and documents of which nothing is left."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return jaccard.without_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their place in sequences of 2048."""
+    """Token pieces of all documents and their places in sequences of 2048."""
     cut = packing.pieces(docs, tokenizer_file("word_bpe_49k.json"))
     return packing.pack(cut.drop("ids"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", accept),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack),
+]
 
-#: Models and near-duplicate classes have no SQL; the tests compare with brute force.
+#: A trained model and classes of near copies have no SQL; tests compare the stages with
+#: brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents, each written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from featurekit.llm.tables import let
+
 # Phrases that name a licence, and opening words of notices.
 PHRASES = (
     ("gpl", "gnu general public license"),
@@ -55,9 +57,12 @@ def words_of(text: Column) -> Column:
 
 
 def _k_grams(words: Column, k: int) -> Column:
-    last = F.size(words) - k
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    def grams(words: Column) -> Column:
+        last = F.size(words) - k
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+
+    return let(words, grams)
 
 
 def template_table(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = K) -> DataFrame:

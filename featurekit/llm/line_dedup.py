@@ -10,13 +10,11 @@ edit distance. Everything is DataFrame functions; no Python runs on the executor
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurekit.llm.links import connect, shared_buckets
-from featurekit.llm.tables import id_and_text, written
+from featurekit.llm.tables import id_and_text, let, written
 
 MAX_EDITS = 2
 #: Shorter lines (``}``, list marks, headings) are no duplicates.
@@ -64,11 +62,6 @@ def segment_keys(line: Column, max_edits: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, wherever the optimizer moves the expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _without_equal_start(a: Column, b: Column) -> Column:
     """(a, b) without the blocks that both begin with."""
     blocks = F.floor(F.least(F.length(a), F.length(b)) / _STRIP).cast("int")
@@ -80,7 +73,7 @@ def _without_equal_start(a: Column, b: Column) -> Column:
     same = F.aggregate(
         each, F.lit(0), lambda n, i: F.when((n == i * _STRIP) & (cut(a, i) == cut(b, i)), n + _STRIP).otherwise(n)
     )
-    return _let(
+    return let(
         same,
         lambda n: F.struct(
             F.substring(a, n + 1, F.length(a)).alias("a"), F.substring(b, n + 1, F.length(b)).alias("b")
@@ -122,7 +115,7 @@ def _reached(a: Column, b: Column, max_edits: int) -> Column:
                 fields.append(new.alias(f"r{e}"))
             return F.struct(*fields)
 
-        return _let(equal, states)
+        return let(equal, states)
 
     start = [F.lit(0).alias("j")]
     start += [F.lit(((1 << (e + 1)) - 1) << max_edits & band).alias(f"r{e}") for e in range(max_edits + 1)]
@@ -139,9 +132,9 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
 
     def compare(ab: Column) -> Column:
         both = F.struct(_characters(ab["a"]).alias("a"), _characters(ab["b"]).alias("b"))
-        return _let(both, lambda c: _reached(c["a"], c["b"], max_edits))
+        return let(both, lambda c: _reached(c["a"], c["b"], max_edits))
 
-    found = _let(_without_equal_start(a, b), lambda ab: _let(tails(ab), compare))
+    found = let(_without_equal_start(a, b), lambda ab: let(tails(ab), compare))
     return F.when(F.abs(F.length(a) - F.length(b)) <= max_edits, found).otherwise(F.lit(False))
 
 

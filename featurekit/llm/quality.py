@@ -117,8 +117,8 @@ def fit(texts: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return np.frombuffer(row["weights"], "<f4") if row else np.zeros(BUCKETS + 1, "<f4")
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds ``score`` (0 to 1) to rows with a ``text``; null and empty texts get the bias."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """Adds a score (0 to 1) to rows with a ``text``; null and empty texts get the bias."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -130,9 +130,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             n = np.diff(borders)
             dot = (sums[borders[1:]] - sums[borders[:-1]]) * SCALE / np.maximum(n, 1) + w[-1]
             values = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -149,3 +149,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     scored = score(id_and_text(docs), fit(labelled(docs, labels)))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that :func:`judge` predicts to be good."""
+    scored = score(docs, fit(labelled(docs, labels)), "_score")
+    return scored.where(F.col("_score") >= threshold).drop("_score")

@@ -203,11 +203,12 @@ def _coder(rank_file: str, pattern: str) -> tuple[Callable, Callable]:
 def redaction_edits(text: Column, redactions=REDACTIONS) -> Column:
     """array<struct<find string, put string>>: what to replace, in order; each stands for
     all its places."""
-    lists = [
-        F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))), lambda x, put=put: F.struct(x.alias("find"), F.lit(put).alias("put")))
-        for pattern, put in redactions
-    ]
-    return F.concat(*lists)
+
+    def places(pattern: str, put: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+        return F.transform(found, lambda x: F.struct(x.alias("find"), F.lit(put).alias("put")))
+
+    return F.concat(*[places(*r) for r in redactions])
 
 
 _COUNTS = "doc_id long, n_chars long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_encoded long, n_encoded_again long"
