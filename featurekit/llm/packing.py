@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from featurekit.llm.words import slices
 
 CAPACITY = 2048
 #: White-space-free chunks whose ids a worker keeps.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -211,40 +210,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def _ranked(df: DataFrame, capacity: int) -> DataFrame:
-    """Adds the task's number and the rank among the task's rows of equal length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(capacity + 1, np.int64)
-        task = TaskContext.get().partitionId()
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            order = np.argsort(length, kind="stable")
-            ordered = length[order]
-            fresh = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-            sizes = np.diff(np.r_[fresh, len(ordered)])
-            rank = np.empty(len(length), np.int64)
-            rank[order] = np.arange(len(length)) - np.repeat(fresh, sizes) + seen[ordered]
-            np.add.at(seen, length, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)],
-                names=[*batch.schema.names, "_task", "_rank"],
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, _task int, _rank long")
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``;
     other columns pass (columns of these names are replaced). The pieces of a sequence
     lie without gaps from 0. No pieces, no rows.
 
-    The pieces are written once with their rank in the writing task, so that a repeated
-    task cannot change ranks that others rely on.
+    The pieces are written once with the number of the writing task and of the row, so
+    that a repeated task cannot change ranks that others rely on. Ranks among equal lengths
+    are counted per task and shifted by the tasks before, so a length that a third of all
+    pieces have is no hot key.
     """
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_task", "_rank")]
-    stored = written(_ranked(pieces.select(*[F.col(f"`{c}`") for c in columns]), capacity))
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_task", "_row")]
+    numbered = [F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row")]
+    stored = written(pieces.select(*[F.col(f"`{c}`") for c in columns], *numbered))
     per_task = stored.groupBy("_task", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_task.select("_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -254,7 +232,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = pieces.sparkSession.createDataFrame(
         plan(counts, capacity), "_length long, _first long, _count long, _sequence long, _offset long"
     )
-    ranked = stored.join(starts, ["_task", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    within = Window.partitionBy("_task", "length").orderBy("_row")
+    ranked = stored.withColumn("_rank", F.row_number().over(within) - 1)
+    ranked = ranked.join(starts, ["_task", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     found = ranked.join(
         F.broadcast(places),
         (F.col("length") == F.col("_length"))
