@@ -53,6 +53,12 @@ def with_bin_number(
     edges = [float(e) + 0.0 for e in edges]
     if len(edges) <= _TREE_EDGES or not all(map(math.isfinite, edges)):
         return df.withColumn(out, F.expr(bin_number_sql(name, edges, right_closed)))
+    distinct, copies = np.unique(edges, return_counts=True)
+    if len(distinct) < len(edges):
+        # A bin of no width is counted, but no value falls into it.
+        df = with_bin_number(df, out, name, distinct.tolist(), right_closed)
+        passed = F.array(*[F.lit(int(n)) for n in np.r_[0, np.cumsum(copies)]])
+        return df.withColumn(out, F.get(passed, F.col(quoted(out))))
     # Bucketizer does a binary search on left-closed buckets; the mirrored axis turns
     # them into right-closed ones.
     splits = [-e for e in reversed(edges)] if right_closed else edges
@@ -94,26 +100,25 @@ def equal_frequency_probs(bins: int) -> list[float]:
     return [float(p) for p in np.linspace(0, 1, bins + 1)]
 
 
-def _significant(value: float, precision: int) -> float:
-    if not math.isfinite(value) or value == 0:
-        return value
-    fraction, whole = math.modf(value)
-    digits = precision if whole else precision - 1 - math.floor(math.log10(abs(fraction)))
-    return float(np.around(value, digits))
-
-
 def rounded_edges(
     edges: Sequence[float], precision: int = 3, lower_first: bool = True
 ) -> list[float]:
-    """Edges as a bin label shows them: rounded to the smallest precision from 3 on that
-    keeps them distinct. ``lower_first`` moves the first one down by one unit of the last
-    digit so that the minimum stays inside."""
-    for digits in range(precision, 20):
-        candidate = [_significant(e, digits) for e in edges]
-        if len(set(candidate)) == len(candidate):
-            break
-    else:
-        digits, candidate = precision, [_significant(e, precision) for e in edges]
-    if candidate and lower_first:
-        candidate[0] = candidate[0] - 10.0 ** (-digits)
-    return candidate
+    """Edges as a bin label shows them, rising ones. They have ``precision`` decimals, those
+    between -1 and 1 as many significant digits; as many more as keep neighbours apart, 19
+    at most. ``lower_first`` moves the first one down by one unit of the last digit so that
+    the minimum stays inside."""
+    exact = np.asarray(edges, dtype=float)
+    # Decimals that only lead to the first significant digit.
+    with np.errstate(divide="ignore"):
+        order = np.floor(np.log10(np.abs(exact)))
+    leading = np.where(np.isfinite(order) & (order < 0), -1 - order, 0).astype(int)
+
+    def shown(digits: int) -> np.ndarray:
+        return np.array([np.round(x, digits + k) for x, k in zip(exact, leading)])
+
+    clear = (d for d in range(precision, 20) if (np.diff(shown(d)) > 0).all())
+    digits = next(clear, precision)
+    labels = shown(digits)
+    if lower_first and len(labels):
+        labels[0] -= 10.0**-digits
+    return labels.tolist()

@@ -6,17 +6,22 @@ import math
 
 import numpy as np
 
+# Below this, an eigenvalue or an unexplained share counts as 0.
+NOTHING = 1e-13
+
 
 def inflation_factors(corr: np.ndarray) -> list[float]:
-    """1/(1-R2) of each variable regressed on the others, from their correlation matrix.
-    Exact collinearity gives infinity for the variables involved, and only for them."""
-    out = []
-    for j in range(len(corr)):
-        others = [i for i in range(len(corr)) if i != j]
-        unexplained = 1.0
-        if others:
-            r = corr[others, j]
-            weights = np.linalg.lstsq(corr[np.ix_(others, others)], r, rcond=1e-13)[0]
-            unexplained = 1.0 - float(r @ weights)
-        out.append(math.inf if unexplained <= 1e-13 else 1.0 / unexplained)
-    return out
+    """1/(1-R2) of each variable regressed on the others, from their correlation matrix: the
+    diagonal of its inverse, by one decomposition. Exact collinearity gives infinity for
+    the variables involved, which are those that a vector of the null space moves, and
+    only for them."""
+    if not len(corr):
+        return []
+    values, vectors = np.linalg.eigh(corr)
+    zero = values <= NOTHING * len(corr)
+    involved = (np.abs(vectors[:, zero]) > 1e-7).any(axis=1)
+    factors = (vectors[:, ~zero] ** 2 / values[~zero]).sum(axis=1)
+    return [
+        math.inf if bad or factor >= 1 / NOTHING else float(factor)
+        for bad, factor in zip(involved, factors)
+    ]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import random
-import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -198,19 +197,24 @@ class _Trainer:
 
     def _edges(self, df, features) -> list[list[float]]:
         if self.p.get("exact"):
+            # Estimates are off by some percent, so only far too many are refused by them.
             counted = df.agg(
                 *[F.approx_count_distinct(col(f)).alias(f"d{i}") for i, f in enumerate(features)]
             ).first()
-            if max(counted) <= EXACT_VALUES:
+            wide = [f for f, n in zip(features, counted) if n > 2 * EXACT_VALUES]
+            if not wide:
                 sets = df.agg(
                     *[F.sort_array(F.collect_set(as_double(df, f))).alias(f"s{i}")
                       for i, f in enumerate(features)]
                 ).first()
-                return [list(s[:-1]) for s in sets]
-            warnings.warn(f"tree_method=exact: more than {EXACT_VALUES} values, using quantiles")
-            bins = EXACT_VALUES
-        else:
-            bins = self.p["max_bin"]
+                wide = [f for f, s in zip(features, sets) if len(s) > EXACT_VALUES]
+            if wide:
+                raise ValueError(
+                    f"tree_method=exact takes up to {EXACT_VALUES} values per feature, "
+                    f"{wide} have more; use hist"
+                )
+            return [list(s[:-1]) for s in sets]
+        bins = self.p["max_bin"]
         # The maximum splits nothing off; the minimum splits off the rows equal to it.
         found = exact_quantiles(df, features, equal_frequency_probs(bins - 1))
         return [distinct_edges(found[f] or ())[:-1] for f in features]
@@ -372,7 +376,7 @@ def _boost(trainer: _Trainer, rounds: int, grow, mode: str = "gbdt") -> list[dic
     left out of a round and share its weight), rf (every tree starts from the base)."""
     p, rng = trainer.p, random.Random(trainer.p["seed"])
     count = len(trainer.features)
-    sampled_features = max(1, round(p["colsample_bytree"] * count))
+    sampled_features = max(1, int(p["colsample_bytree"] * count))
     trees: list[dict] = []
     weights: list[float] = []
     stored: list[float] = []
@@ -381,7 +385,8 @@ def _boost(trainer: _Trainer, rounds: int, grow, mode: str = "gbdt") -> list[dic
         dropped: list[int] = []
         if mode == "dart" and trees and rng.random() >= DART["skip_drop"]:
             dropped = [i for i in range(len(trees)) if rng.random() < DART["drop_rate"]]
-            dropped = dropped[: DART["max_drop"]]
+            if len(dropped) > DART["max_drop"]:
+                dropped = sorted(rng.sample(dropped, DART["max_drop"]))
         if mode == "rf":
             pending = []
         else:
@@ -428,7 +433,7 @@ def xgb_train(df: DataFrame, label, ids=(), **attributes) -> TreeModel | LinearM
         reg = p["lambda"] + p["alpha"]
         return fit_linear(
             df, features, y, logistic, reg, p["alpha"] / reg if reg else 0.0,
-            p["num_boost_round"], 1e-6, s["spread"] or 0.0, s["mean"], "xgb",
+            p["num_boost_round"], 1e-6, s["spread"] or 0.0, s["mean"], "xgb", s["n"],
         )
     base = _log_odds(p["base_score"]) if logistic else p["base_score"]
     settings = {**p, "min_rows": 0, "exact": p["tree_method"] == "exact"}

@@ -11,10 +11,6 @@ from ..params import column_list
 from ..schema import col, is_numeric, require_columns
 
 MAX_INPUTS = 10
-SALTS = 16
-# A key is hot when it holds more than this share of a sample; hence at most 100 keys.
-HOT_SHARE = 0.01
-SAMPLE_ROWS = 50_000
 
 
 def _check_types(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> None:
@@ -27,64 +23,8 @@ def _check_types(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, s
             )
 
 
-def _plan_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return int(conf.autoBroadcastJoinThreshold())
-
-
-def _hot_keys(df: DataFrame, keys: Sequence[str]) -> set[tuple]:
-    """Keys that hold much of a sample. A wrong guess costs time only, never rows."""
-    share = min(1.0, SAMPLE_ROWS / max(df.count(), 1))
-    columns = [col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    names = [f"k{i}" for i, _ in enumerate(keys)]
-    sample = df.select(columns).sample(fraction=share, seed=7)
-    counts = sample.groupingSets([names, []], *names).agg(
-        F.grouping_id().alias("total"), F.count(F.lit(1)).alias("n")
-    )
-    top = counts.orderBy(F.col("total").desc(), F.col("n").desc()).limit(101).collect()
-    sampled = sum(r["n"] for r in top if r["total"])
-    return {
-        tuple(r[k] for k in names)
-        for r in top
-        if not r["total"] and r["n"] >= max(20, HOT_SHARE * sampled)
-    }
-
-
-def _salted(df: DataFrame, keys, own, other, own_name: str, other_name: str) -> DataFrame:
-    """Rows with a key hot on this side get one of SALTS numbers, taken from the row's own
-    hash; rows with a key hot on the other side are repeated once per number."""
-
-    def among(hot):
-        if not hot:
-            return F.lit(False)
-        tests = []
-        for values in hot:
-            test = F.lit(True)
-            for k, v in zip(keys, values):
-                test = test & col(k).eqNullSafe(F.lit(v).cast(df.schema[k].dataType))
-            tests.append(test)
-        out = tests[0]
-        for test in tests[1:]:
-            out = out | test
-        return out
-
-    salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    zero = F.lit(0)
-    out = df.withColumn(own_name, F.when(among(own), salt).otherwise(zero))
-    if other:
-        copies = F.explode(F.when(among(other), every).otherwise(F.array(zero)))
-        return out.withColumn(other_name, copies)
-    return out.withColumn(other_name, zero)
-
-
 def _join_pair(
-    left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], null_keys: str,
-    hot_left: set[tuple], hot_right: set[tuple],
+    left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], null_keys: str
 ) -> DataFrame:
     shared = {a for a, b in pairs if a == b}
     clash = sorted((set(left.columns) & set(right.columns)) - shared)
@@ -97,25 +37,15 @@ def _join_pair(
             raise ValueError(
                 f"columns differ in case only: {clash}; set spark.sql.caseSensitive=true"
             )
-    left_keys, right_keys = [a for a, _ in pairs], [b for _, b in pairs]
     kept = left.columns + [c for c in right.columns if c not in shared]
-    salts: list[str] = []
-    if hot_left or hot_right:
-        salts = ["__salt_left", "__salt_right"]
-        left = _salted(left, left_keys, hot_left, hot_right, *salts)
-        right = _salted(right, right_keys, hot_right, hot_left, *reversed(salts))
     # Renamed keys keep both sides apart without aliases, whatever their lineage.
-    for b in dict.fromkeys(right_keys):
+    for b in dict.fromkeys(b for _, b in pairs):
         right = right.withColumn(f"__key_{b}", col(b))
     right = right.drop(*shared)
-    for salt in salts:
-        right = right.withColumnRenamed(salt, f"{salt}_r")
     condition = F.lit(True)
     for a, b in pairs:
         x, y = col(a), col(f"__key_{b}")
         condition = condition & (x.eqNullSafe(y) if null_keys == "match" else x == y)
-    for salt in salts:
-        condition = condition & (F.col(salt) == F.col(f"{salt}_r"))
     return left.join(right, condition, "inner").select([col(c) for c in kept])
 
 
@@ -123,14 +53,17 @@ def psi(
     *inputs: DataFrame,
     keys: Sequence[Sequence[str]] | Sequence[str],
     null_keys: str = "match",
-    salt_hot_keys: bool = True,
 ) -> DataFrame:
     """Join every table to the first one's key.
 
     ``keys`` is one list of column names per input (or one list for all of them). A key
     column with the same name on both sides appears once, others stay. Null keys match
-    each other unless ``null_keys="drop"``. Inputs too large to broadcast are checked for
-    keys that hold much of the rows; such keys are spread over several tasks.
+    each other unless ``null_keys="drop"``: then every null of one side meets every null of
+    the other, which is many rows if both have many.
+
+    The call runs nothing. A key that holds much of the rows is split by Spark while the
+    join runs (``spark.sql.adaptive.skewJoin.enabled``, on by default): it deals the map
+    blocks of such a partition to several tasks, so identical rows are split as well.
     """
     if not 2 <= len(inputs) <= MAX_INPUTS:
         raise ValueError(f"psi takes 2 to {MAX_INPUTS} inputs, got {len(inputs)}")
@@ -145,18 +78,11 @@ def psi(
         if len(names) != len(lists[0]):
             raise ValueError("join keys must have the same number of columns")
         require_columns(df, names)
-    out, hot_left = inputs[0], None
+    out = inputs[0]
     for df, names in zip(inputs[1:], lists[1:]):
         pairs = list(zip(lists[0], names))
         _check_types(out, df, pairs)
-        hot_right: set[tuple] = set()
-        if salt_hot_keys and min(map(_plan_bytes, (out, df))) > _broadcast_limit(df):
-            # Every join is on the first table's key, so its hot keys stay hot.
-            hot_left = _hot_keys(inputs[0], lists[0]) if hot_left is None else hot_left
-            hot_right = _hot_keys(df, names)
-        out = _join_pair(out, df, pairs, null_keys, hot_left or set(), hot_right)
-        if hot_right:
-            hot_left = hot_left | hot_right
+        out = _join_pair(out, df, pairs, null_keys)
     return out
 
 

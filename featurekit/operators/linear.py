@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,10 +12,14 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bins import double_array
 from ..params import column_list, resolve
 from ..schema import col, require_columns
 from .project import label_number, missing_count, numeric_columns, reject_missing, training_features
 
+# MLlib solves the normal equations up to so many features; both solvers give one answer.
+NORMAL_FEATURES = 4096
+
 
 @dataclass(frozen=True)
 class LinearModel:
@@ -27,9 +32,11 @@ class LinearModel:
     model_type: str = "lr"
 
     def score(self, df: DataFrame) -> Column:
-        margin = F.lit(self.intercept)
-        for name, weight in zip(self.features, self.coefficients):
-            margin = margin + F.lit(weight) * col(name).cast("double")
+        # One array product, in the order of the features: a sum of thousands of terms
+        # would be an expression too deep to compile.
+        cells = F.array(*[col(name).cast("double") for name in self.features])
+        terms = F.zip_with(cells, double_array(self.coefficients), lambda x, w: w * x)
+        margin = F.aggregate(terms, F.lit(self.intercept), lambda total, term: total + term)
         if not self.logistic:
             return margin
         # Both branches keep the exponent negative, so nothing overflows.
@@ -87,6 +94,7 @@ def binary_label(df: DataFrame, label: str, low: float, high: float) -> Column:
 def fit_linear(
     df: DataFrame, features: Sequence[str], y: Column, logistic: bool, reg: float,
     elastic: float, max_iter: int, tol: float, spread: float, mean: float, model_type: str,
+    rows: int,
 ) -> LinearModel:
     """``reg`` and ``elastic`` describe the penalty on the mean loss in label units."""
     data = df.select(y.alias("__y"), *[col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)])
@@ -102,13 +110,18 @@ def fit_linear(
         return LinearModel(tuple(features), (0.0,) * len(features), mean, False, model_type)
     else:
         # The solver works on the label divided by its deviation, which scales the
-        # quadratic part of the penalty but not the absolute one.
+        # quadratic part of the penalty but not the absolute one. The iterative solver
+        # divides by the sample's deviation, and runs until it has converged.
+        normal = len(features) <= NORMAL_FEATURES
+        if not normal:
+            spread *= math.sqrt(rows / max(rows - 1, 1))
+            shared |= {"maxIter": max(max_iter, 10_000), "tol": min(tol, 1e-10)}
         square, absolute = reg * (1 - elastic) * spread, reg * elastic
         total = square + absolute
         fitted = LinearRegression(
             regParam=total,
             elasticNetParam=absolute / total if total else 0.0,
-            solver="normal" if len(features) <= 4096 else "l-bfgs",
+            solver="normal" if normal else "l-bfgs",
             **shared,
         ).fit(data)
     return LinearModel(
@@ -140,5 +153,5 @@ def lr_train(df: DataFrame, label, ids=(), **attributes) -> LinearModel:
         reg = 0.0 if p["penalty"] in (None, "None") else reg
     return fit_linear(
         df, features, y, p["reg_type"] == "logistic", reg, elastic, p["max_iter"], p["tol"],
-        s["spread"] or 0.0, s["mean"], "lr",
+        s["spread"] or 0.0, s["mean"], "lr", s["n"],
     )

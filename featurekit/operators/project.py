@@ -54,10 +54,11 @@ def label_number(df: DataFrame, label: str) -> Column:
 
 def missing_count(df: DataFrame, names: Sequence[str]) -> Column:
     """Aggregate: missing cells in the named columns."""
-    total = F.lit(0).cast("long")
-    for name in names:
-        total = total + F.coalesce(F.count_if(is_missing(df, name)), F.lit(0))
-    return total
+    if not names:
+        return F.lit(0).cast("long")
+    flags = F.array(*[is_missing(df, name).cast("long") for name in names])
+    in_row = F.aggregate(flags, F.lit(0).cast("long"), lambda total, flag: total + flag)
+    return F.coalesce(F.sum(in_row), F.lit(0).cast("long"))
 
 
 def reject_missing(count: int, operator: str) -> None:

@@ -184,7 +184,7 @@ def correlation_matrix(
         vectors = VectorAssembler(inputCols=scaled.columns, outputCol="z").transform(scaled)
         if len(varying) > 1:
             found = Correlation.corr(vectors, "z").first()[0].toArray()
-            corr[np.ix_(varying, varying)] = found
+            corr[np.ix_(varying, varying)] = np.clip(found, -1.0, 1.0)
     for i in varying:
         corr[i, i] = 1.0
     return features, corr

@@ -55,10 +55,15 @@ def read_csv(
     path: str,
     schema: Mapping[str, Sequence[str]],
     columns: Sequence[str] | None = None,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """A CSV table with a header. ``schema`` holds ids/features/labels and their
     *_types lists; every column of the file must be declared. ``columns`` limits the
-    scan, in file order."""
+    scan, in file order. Quotes inside a quoted cell are doubled.
+
+    Cells may hold line breaks, so a file is read by one task; large tables should be many
+    files. Pass ``line_breaks=False`` for files known to have none inside cells: they are
+    split."""
     delimiter, header = csv_layout(spark, path)
     roles = declared_roles(schema)
     unknown = [c for c in header if c not in roles]
@@ -68,6 +73,9 @@ def read_csv(
         spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
         .option("header", True)
         .option("sep", delimiter)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", line_breaks)
         .option("enforceSchema", False)
         .csv(path)
     )
@@ -106,7 +114,11 @@ def read_parquet(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header; quotes inside a cell are doubled, white space stays."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    for side in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{side}WhiteSpace", False)
+    writer.csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,20 @@ def test_row_by_row_operators_on_streams(spark, plant, tmp_path):
     assert len(run("feature_filter", ["AT"])) == 5
     with pytest.raises(ValueError, match="whole table"):
         apply_to_stream("vif", plant)
+
+
+def test_csv_cells_with_quotes_and_line_breaks(spark, tmp_path):
+    from featurekit.sources.tables import read_csv, write_csv
+
+    cells = ['plain', '{"k": "v, w"}', 'two\nlines', 'back\\slash\\', ' spaced ', '""', 'a,b;c', '"', None]
+    df = spark.createDataFrame([(i, c, float(i)) for i, c in enumerate(cells)], "id long, info string, x double")
+    schema = {"ids": ["id"], "features": ["info", "x"], "labels": [], "id_types": ["int64"], "feature_types": ["str", "float64"], "label_types": []}
+    path = str(tmp_path / "t")
+    write_csv(df.coalesce(1), path)
+    assert sorted(map(tuple, read_csv(spark, path, schema).collect())) == sorted(map(tuple, df.collect()))
+    (part,) = (tmp_path / "t").glob("part-*.csv")
+    assert list(pd.read_csv(part, keep_default_na=True)["info"].dropna()) == [c for c in cells if c is not None]
+    other = tmp_path / "other.csv"
+    other.write_text('id,info,x\n1,"{""k"": ""v, w""}",2.5\n2,plain,3.5\n')
+    got = read_csv(spark, str(other), schema, line_breaks=False)
+    assert [tuple(r) for r in got.collect()] == [(1, '{"k": "v, w"}', 2.5), (2, "plain", 3.5)]

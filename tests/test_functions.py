@@ -53,6 +53,23 @@ def test_bin_numbers(spark, right_closed, count):
     assert got == [None if v is None else int(np.searchsorted(edges, v, side)) for v in values]
 
 
+@pytest.mark.parametrize("count", [3, 120])
+def test_bin_numbers_with_repeated_edges(spark, count):
+    edges = sorted([*map(float, range(count)), 1.0, 1.0])
+    values = [-1.0, 0.0, 0.5, 1.0, 1.5, float(count), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r["b"] for r in bins.with_bin_number(df, "b", "x", edges).collect()]
+    assert got == [None if v is None else int(np.searchsorted(edges, v)) for v in values]
+
+
+def test_labels_of_known_edges():
+    assert bins.rounded_edges([14.22333, 22.1166, 29.74], lower_first=False) == [14.223, 22.117, 29.74]
+    assert bins.rounded_edges([0.000256789, 0.5], lower_first=False) == [0.000257, 0.5]
+    assert bins.rounded_edges([1.00013, 1.00014, 2.0], lower_first=False) == [1.00013, 1.00014, 2.0]
+    assert bins.rounded_edges([0.0, 1.0]) == [-0.001, 1.0]
+    assert bins.rounded_edges([]) == []
+
+
 def test_edges_and_labels_equal_pandas():
     rng = np.random.default_rng(1)
     for scale in (1e-4, 1.0, 37.5, 1e6):
@@ -95,3 +112,13 @@ def test_inflation_factors():
     assert found[0] == found[2] == np.inf
     assert np.isclose(found[1], 1 / (1 - 0.09))
     assert inflation_factors(np.array([[1.0]])) == [1.0]
+    assert inflation_factors(np.zeros((0, 0))) == []
+    x = np.random.default_rng(0).normal(size=(2000, 300))
+    x[:, 7] = x[:, 3] - 2 * x[:, 5]
+    r = np.corrcoef(x.T)
+    found = np.array(inflation_factors(r))
+    assert set(np.flatnonzero(np.isinf(found))) == {3, 5, 7}
+    others = [i for i in range(300) if i not in (3, 5, 7)]
+    rest = [i for i in range(300) if i != 7]
+    want = np.diag(np.linalg.inv(r[np.ix_(rest, rest)]))
+    assert np.allclose(found[others], [want[rest.index(i)] for i in others])

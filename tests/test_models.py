@@ -286,3 +286,42 @@ def test_predict_refusals(data):
         lr_predict(df.select("a", "b", "c"), model, save_id=True)
     with pytest.raises(ValueError, match="not found"):
         lr_predict(df.drop("a"), model)
+
+
+def test_wide_linear_model_scores_and_counts_missing(spark):
+    from featurekit.operators.linear import LinearModel
+    from featurekit.operators.project import missing_count
+
+    n = 5000
+    wide = spark.range(3).select("id", *[(F.col("id") * (i % 7)).cast("double").alias(f"f{i}") for i in range(n)])
+    model = LinearModel(tuple(f"f{i}" for i in range(n)), tuple(0.5 for _ in range(n)), 1.0, False)
+    total = sum(i % 7 for i in range(n))
+    got = [r["s"] for r in wide.select(model.score(wide).alias("s")).collect()]
+    assert got == [1.0, 1.0 + 0.5 * total, 1.0 + total]
+    holed = wide.withColumn("f3", F.expr("nullif(f3, 0)"))
+    assert holed.agg(missing_count(holed, [f"f{i}" for i in range(n)])).first()[0] == 1
+
+
+def test_both_linear_solvers_give_one_answer(spark, monkeypatch):
+    from featurekit.operators import linear
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 2))
+    y = x @ [1.0, 2.0] + rng.normal(size=12)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}))
+    c = x - x.mean(axis=0)
+    want = np.linalg.solve(c.T @ c + 5 * np.eye(2), c.T @ (y - y.mean()))
+    for limit in (4096, 1):
+        monkeypatch.setattr(linear, "NORMAL_FEATURES", limit)
+        found = linear.lr_train(df, "y", reg_type="linear", l2_norm=5.0)
+        assert np.allclose(found.coefficients, want, atol=1e-6)
+
+
+def test_exact_trees_refuse_what_they_cannot_search(spark, monkeypatch):
+    from featurekit.operators import boosting
+
+    df = spark.range(60).selectExpr("id * 1.0D AS x", "CAST(id > 30 AS INT) AS y")
+    settings = {"tree_method": "exact", "max_depth": 1, "num_boost_round": 1, "objective": "linear"}
+    monkeypatch.setattr(boosting, "EXACT_VALUES", 40)
+    with pytest.raises(ValueError, match="exact"):
+        boosting.xgb_train(df, "y", **{k: v for k, v in settings.items() if k != "objective"})

@@ -56,8 +56,6 @@ def test_join_duplicates_nulls_and_hot_keys(spark, skewed, threshold):
     want = left.merge(right, left_on="k", right_on="kk").merge(third, on="k")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        if threshold == "-1":
-            assert (1.0,) in join._hot_keys(frames[0], ["k"])
         out = psi(*frames, keys=[["k"], ["kk"], ["k"]])
         assert out.columns == ["k", "x", "kk", "y", "z"]
         got = out.toPandas()
@@ -70,6 +68,20 @@ def test_join_duplicates_nulls_and_hot_keys(spark, skewed, threshold):
     assert dropped.count() == len(left.dropna().merge(right.dropna(), left_on="k", right_on="kk"))
 
 
+def test_join_of_maps_and_equal_rows_runs_nothing_when_called(spark):
+    hot = spark.range(3000).selectExpr("1L AS k", "map('a', 1) AS m").repartition(6)
+    other = spark.createDataFrame([(1, 2), (2, 3)], "k long, v long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy join", "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = psi(hot, other, keys=["k"])
+        assert not tracker.getJobIdsForGroup("lazy join")
+        assert out.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+
+
 def test_join_refusals(spark):
     a = spark.createDataFrame([(1, "x")], "id long, name string")
     b = spark.createDataFrame([("1", 2)], "id string, v long")
