@@ -4,8 +4,11 @@ Every shingle flips one bit of a sketch, so two sketches differ in no more bits
 sets differ in shingles. A pair of sets of sizes a and b is alike only if the sets differ in
 at most d = (a + b)(1 - s) / (1 + s) shingles. Within a band of sizes, sketches are cut into
 more than d blocks by a hash of the shingle; of an alike pair, at least one block has no
-difference (pigeonhole), so joining equal blocks loses no pair. Candidates are filtered by
-the Hamming distance of whole sketches and verified on their sets.
+difference (pigeonhole), so joining equal blocks loses no pair. There are some blocks more
+than that, so an alike pair shares more than the spare number, and each document may leave
+out that many of its blocks: those that most documents share (a common passage, nothing at
+all), by one order for all. Candidates are filtered by the Hamming distance of whole
+sketches and verified on their sets.
 
 Exact copies of a set meet only once: each task sends the blocks of the first of them, and
 later steps replace a document by the first with an equal set.
@@ -20,17 +23,16 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurekit.llm.links import components, connect, shared_buckets
+from featurekit.llm.links import connect, pairs_between, shared_buckets
 from featurekit.llm.tables import id_and_text, written
 from featurekit.llm.words import mix, shingles, slices, words
 
 SKETCH_BITS = 1024
-#: Blocks beyond the pigeonhole's number, as a share of them: so many empty blocks, which
-#: all documents share, need not be sent.
-SPARE = 0.05
+#: Blocks beyond the pigeonhole's number, as a share of it.
+SPARE = 0.25
 
 _SETS = "doc_id long, n_shingles long, sign_a long, sign_b long, sketch array<long>"
 
@@ -51,8 +53,8 @@ class Bands:
 
     @functools.cache  # noqa: B019
     def blocks(self, band: int) -> tuple[int, int]:
-        """(number of blocks, how many of them may be left out); (0, 0) if only equal sets
-        are alike."""
+        """(number of blocks, how many of them a document may leave out); (0, 0) if only
+        equal sets are alike."""
         largest = self.starts[band + 1] - 1
         differ = int(2 * largest * (1 - self.similarity) / (1 + self.similarity))
         if differ == 0:
@@ -65,10 +67,10 @@ class Bands:
         return [band] + [band + 1] * (n >= self.similarity * self.starts[band + 1])
 
 
-def block_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of one document's distinct shingles: for each band and block a hash of
-    the block's parity bits, checksum and size."""
-    out = [np.zeros(0, np.uint64)]
+def block_keys(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of one document's distinct shingles and their bands: for each band and
+    block a hash of the block's parity bits, checksum and size."""
+    out, of_band = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     bit = np.uint64(1) << (found & np.uint64(63))
     for band in bands.of(len(found)):
         blocks, spare = bands.blocks(band)
@@ -81,14 +83,13 @@ def block_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
         parity = np.bitwise_xor.reduceat(bit[order], first)
         check = np.bitwise_xor.reduceat(found[order], first)
         size = np.diff(np.r_[first, len(block)]).astype(np.uint64)
-        filled = block[first]
-        if blocks - len(filled) > spare:
-            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), filled)
-            filled = np.r_[filled, empty]
-            parity, check, size = (np.r_[x, np.zeros(len(empty), np.uint64)] for x in (parity, check, size))
+        empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[first])
+        filled = np.r_[block[first], empty]
+        parity, check, size = (np.r_[x, np.zeros(len(empty), np.uint64)] for x in (parity, check, size))
         place = np.uint64(band) * np.uint64(0x9E3779B97F4A7C15) + filled
         out.append(mix(mix(mix(place) + parity) + check + size))
-    return np.concatenate(out)
+        of_band.append(np.full(blocks, band, np.int32))
+    return np.concatenate(out), np.concatenate(of_band)
 
 
 def _sets_of(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -130,25 +131,39 @@ def signed_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, k: int, similarity: Fraction) -> DataFrame:
-    """(key, id): the block keys of the first of each task's equal sets."""
+    """(key, id, band): the block keys of the first of each task's equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(similarity), set()
         for batch in slices(batches):
-            keys, ids = [], []
+            keys, ids, of_band = [], [], []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), _sets_of(batch, k), strict=True):
                 sign = _sign(found)
                 if len(found) and sign not in seen:
                     seen.add(sign)
-                    own = block_keys(found, bands)
+                    own, band = block_keys(found, bands)
                     keys.append(own)
+                    of_band.append(band)
                     ids.append(np.full(len(own), doc_id, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"]
-                )
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(of_band)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "band"])
 
-    return docs.mapInArrow(run, "key long, id long")
+    return docs.mapInArrow(run, "key long, id long, band int")
+
+
+def _shared(blocks: DataFrame, similarity: Fraction) -> DataFrame:
+    """(key, id) of the blocks that other documents have too, without each document's most
+    common ones: as many of each band as may be left out. Blocks that nobody shares come
+    first in the order, so they make up for shared ones that are kept."""
+    of_key = Window.partitionBy("key")
+    shared = F.min("id").over(of_key) < F.max("id").over(of_key)
+    counted = blocks.select("key", "id", "band", shared.alias("shared"), F.count("*").over(of_key).alias("size"))
+    bands = Bands(similarity)
+    spare = F.array(*[F.lit(bands.blocks(b)[1]) for b in range(len(bands.starts) - 1)])
+    common_first = Window.partitionBy("id", "band").orderBy(F.desc("size"), "key")
+    ranked = counted.where("shared").withColumn("rank", F.row_number().over(common_first))
+    return written(ranked.where(F.col("rank") > F.get(spare, F.col("band"))).select("key", "id"))
 
 
 def _shingle_arrays(docs: DataFrame, k: int) -> DataFrame:
@@ -183,7 +198,7 @@ def near_duplicates(
     copies = signed.join(firsts.where("_copies > 1"), equal).select(F.col("doc_id").alias("id"), "first")
     copies = written(copies.where("id != first"))
 
-    shared = shared_buckets(_buckets(read, k, similarity))
+    shared = _shared(_buckets(read, k, similarity), similarity)
     buckets = shared.join(copies, "id", "left").select("key", F.coalesce("first", "id").alias("id")).distinct()
     buckets = shared_buckets(buckets)
     involved = buckets.select(F.col("id").alias("doc_id")).distinct()
@@ -191,26 +206,25 @@ def near_duplicates(
     sketches = written(signed.join(involved, "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sketch"))
     top, whole = similarity.numerator, similarity.denominator
 
+    total = F.col("a_n_shingles") + F.col("b_n_shingles")
+    xor = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    differ = F.aggregate(xor, F.lit(0).cast("long"), lambda s, x: s + x)
+    sizes = F.least("a_n_shingles", "b_n_shingles") * whole >= F.greatest("a_n_shingles", "b_n_shingles") * top
+    near = sizes & (differ * (whole + top) <= total * (whole - top))
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in table.columns if c != "id"])
+
     def alike(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sketch").alias("a_sketch"))
-        b = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sketch").alias("b_sketch"))
-        both = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-        differ = F.aggregate(both, F.lit(0).cast("long"), lambda s, x: s + x)
-        total = F.col("a_n") + F.col("b_n")
-        near = pairs.join(a, "a").join(b, "b").where(
-            (F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * top)
-            & (differ * (whole + top) <= total * (whole - top))
-        )
-        near = written(near.select("a", "b"))
-        if not near.take(1):
-            return near
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set"))
-        common = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-        union = F.size("a_set") + F.size("b_set") - common
-        return near.join(left, "a").join(right, "b").where(common * whole >= union * top).select("a", "b")
-
-    linked = connect(buckets, alike)
+        close = written(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"))
+        if not close.take(1):
+            return close
+        common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
+        union = F.size("a_shingles") + F.size("b_shingles") - common
+        sets_of = close.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+        return sets_of.where(common * whole >= union * top).select("a", "b")
+
+    linked = connect(buckets, alike, lambda rows: pairs_between(rows.join(sketches, "id"), near))
     # Copies share the class of their first; a star each, not pairs.
     of_first = copies.join(linked.select(F.col("id").alias("first"), "component"), "first", "left")
     of_copies = of_first.select("id", F.coalesce("component", "first").alias("component"))
@@ -218,3 +232,10 @@ def near_duplicates(
     return signed.join(classes, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """One document of each class stays, that of the smallest doc_id; rows without doc_id
+    and empty texts stay."""
+    others = near_duplicates(docs, k, similarity).where("doc_id != component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurekit.llm.tables import written
@@ -46,12 +46,30 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return written(spread.where("_shared").select("key", "id"))
 
 
-def connect(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def pairs_between(rows: DataFrame, near: Column | None = None) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of ids that share a key and differ in ``class``.
+
+    near: a condition on the rows' columns, prefixed a_ and b_, that all links meet; the join
+    itself applies it.
+    """
+    left = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "key"])
+    right = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"])
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_class") != F.col("b_class"))
+    joined = left.join(right, "key").where(apart if near is None else apart & near)
+    return joined.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def connect(
+    buckets: DataFrame,
+    alike: Callable[[DataFrame], DataFrame],
+    between: Callable[[DataFrame], DataFrame] = pairs_between,
+) -> DataFrame:
     """(id, component) for every id that is linked with another.
 
     buckets: (key, id), small enough to be written and read some times (as
     :func:`shared_buckets` gives it); alike: keeps the true links of distinct pairs (a, b),
-    a < b.
+    a < b; between: the pairs that may be links among rows (key, id, class), as
+    :func:`pairs_between` finds them.
     """
     of_key = Window.partitionBy("key")
     members = written(buckets.distinct().withColumn("centre", F.min("id").over(of_key)))
@@ -78,9 +96,6 @@ def connect(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> Data
     # What is left: pairs of a bucket in different classes, neither of them its centre.
     known = classes(members, "id").where("id != centre")
     mixed = known.withColumn("_mixed", F.min("id_class").over(of_key) < F.max("id_class").over(of_key))
-    mixed = written(mixed.where("_mixed").select("key", "id", "id_class"))
-    left = mixed.select("key", F.col("id").alias("a"), F.col("id_class").alias("a_class"))
-    right = mixed.select("key", F.col("id").alias("b"), F.col("id_class").alias("b_class"))
-    rest = left.join(right, "key").where("a < b AND a_class != b_class").select("a", "b").distinct()
-    rest = written(alike(rest).select("a", "b"))
+    mixed = written(mixed.where("_mixed").select("key", "id", F.col("id_class").alias("class")))
+    rest = written(alike(between(mixed)).select("a", "b"))
     return components(links.union(rest)) if rest.take(1) else found
