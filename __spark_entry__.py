@@ -87,6 +87,14 @@ def _join_two_keys(spark, sf_dir):
     return fk.psi(left, right, keys=[["l_orderkey", "l_linenumber"], ["l_orderkey", "line"]])
 
 
+def _join_hot_key(spark, sf_dir):
+    """A key with three values, each of which holds a third of the rows."""
+    items = _table(spark, sf_dir, "lineitem")
+    totals = items.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("flag_rows"))
+    left = items.select("l_orderkey", "l_linenumber", "l_returnflag")
+    return fk.psi(left, totals, keys=[["l_returnflag"], ["flag"]])
+
+
 def _feature_filter(spark, sf_dir):
     return fk.feature_filter(_table(spark, sf_dir, "customer"), ["c_name", "c_acctbal"])
 
@@ -253,6 +261,16 @@ def _lr_linear_1f(spark, sf_dir):
     return found.withColumns({c: _digits(c) for c in ("coefficient", "intercept")})
 
 
+def _gblinear_1f(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    model = fk.xgb_train(
+        items, "l_extendedprice", booster="gblinear", objective="reg:squarederror", **{"lambda": 0.5, "alpha": 0.0}
+    )
+    row = [(model.features[0], model.coefficients[0], model.intercept)]
+    found = spark.createDataFrame(row, "feature string, coefficient double, intercept double")
+    return found.withColumns({c: _digits(c) for c in ("coefficient", "intercept")})
+
+
 def _lr_linear_predict(spark, sf_dir):
     items = _table(spark, sf_dir, "lineitem")
     train = items.select("l_quantity", "l_extendedprice")
@@ -390,6 +408,19 @@ def _csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, schema)
 
 
+def _csv_roundtrip_text(spark, sf_dir):
+    """Whole documents, with quotes, commas and line breaks in their cells."""
+    path = shared_folder(spark)
+    write_csv(_table(spark, sf_dir, "documents"), path)
+    schema = {
+        "ids": ["doc_id"],
+        "id_types": ["int64"],
+        "features": ["text", "lang", "source", "n_chars"],
+        "feature_types": ["str", "str", "str", "int64"],
+    }
+    return read_csv(spark, path, schema)
+
+
 def _profile_joined(spark, sf_dir):
     """Two parties' tables joined on the customer, then every feature profiled."""
     orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderstatus")
@@ -646,6 +677,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "join_inner_multiway": _join_inner_multiway,
         "join_null_keys": _join_null_keys,
         "join_two_keys": _join_two_keys,
+        "join_hot_key": _join_hot_key,
         "feature_filter": _feature_filter,
         "split_train": lambda s, d: _split(s, d, 0, key="o_orderkey"),
         "split_test": lambda s, d: _split(s, d, 1, key="o_orderkey"),
@@ -667,6 +699,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lr_linear_1f": _lr_linear_1f,
         "lr_linear_predict": _lr_linear_predict,
         "lr_logistic_predict": _predicted(fk.lr_predict, fk.lr_train, max_iter=20, **scaled),
+        "gblinear_1f": _gblinear_1f,
         "gblinear_predict": _predicted(
             fk.xgb_predict, fk.xgb_train, booster="gblinear", **{"lambda": 0.01}, **scaled
         ),
@@ -698,6 +731,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bias_equal_width": _bias("equal_width"),
         "bias_equal_freq": _bias("equal_frequency"),
         "csv_roundtrip": _csv_roundtrip,
+        "csv_roundtrip_text": _csv_roundtrip_text,
         "chain_join_to_report": _chain_join_to_report,
     }
 
@@ -783,6 +817,10 @@ def _own_oracle_sql() -> dict[str, str]:
         "lr_linear_1f": f"""SELECT 'l_quantity' AS feature,
             {_digits_sql("sxy / (sxx + 1000)")} AS coefficient,
             {_digits_sql("my - sxy / (sxx + 1000) * mx")} AS intercept FROM ({regression})""",
+        "gblinear_1f": f"""SELECT 'l_quantity' AS feature,
+            {_digits_sql("sxy / (sxx + 0.5 * n)")} AS coefficient,
+            {_digits_sql("my - sxy / (sxx + 0.5 * n) * mx")} AS intercept
+            FROM ({regression}), (SELECT count(*) AS n FROM lineitem)""",
         "lr_linear_predict": f"""SELECT
             round(round(my + sxy / (sxx + 1) * (l_quantity - mx), 6) + 1e-6, 3) AS pred,
             l_orderkey AS "order", l_extendedprice AS price, l_linenumber
@@ -807,6 +845,9 @@ def _own_oracle_sql() -> dict[str, str]:
         "biclass_eq_freq": _bin_report_sql(edges("score", 10)),
         "bias_equal_width": _bias_sql(_width_edges("score", 8)),
         "bias_equal_freq": _bias_sql(edges("score", 8)),
+        "join_hot_key": """SELECT l_orderkey, l_linenumber, l_returnflag, l_returnflag AS flag,
+            count(*) OVER (PARTITION BY l_returnflag) AS flag_rows FROM lineitem""",
+        "csv_roundtrip_text": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "csv_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
             c_acctbal, c_mktsegment FROM customer""",
     }

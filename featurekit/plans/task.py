@@ -124,6 +124,7 @@ def _predict(operator: Callable) -> Callable:
     return run
 
 
+# The names of the report tabs and tables.
 def _biclassification_eval(task: _Task) -> None:
     task.expect(1, 1)
     source = task.inputs[0]

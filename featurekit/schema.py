@@ -103,16 +103,6 @@ def declared_roles(schema: Mapping[str, Sequence[str]]) -> dict[str, tuple[str,
     return out
 
 
-def merged_schemas(schemas: Iterable[Mapping[str, Sequence[str]]]) -> dict[str, list[str]]:
-    """Role lists of several inputs, one after the other."""
-    out: dict[str, list[str]] = {}
-    for schema in schemas:
-        for role in ROLES:
-            for key in (f"{role}s", f"{role}_types"):
-                out.setdefault(key, []).extend(schema.get(key, ()))
-    return out
-
-
 def quoted(name: str) -> str:
     """Back-quoted column name for SQL text; names may hold blanks and dots."""
     return "`" + name.replace("`", "``") + "`"
