@@ -151,9 +151,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def lanes_of(ids: np.ndarray, borders: np.ndarray, lanes: int, end_id: int) -> tuple[np.ndarray, ...]:
     """Documents side by side: (inputs, targets, fresh, place), each steps x lanes, with the
     fullest lanes first. fresh: a document starts; place: the token's place in ids, -1 for
-    none. Longest documents are dealt first, each to the emptiest lane."""
+    none. Longest documents are dealt first, each to the emptiest lane. Beside one very
+    long document fewer lanes are opened, so that the table stays within four times the
+    tokens."""
     sizes = np.diff(borders)
-    lanes = max(1, min(lanes, len(sizes)))
+    room = 4 * len(ids) // int(sizes.max()) if len(sizes) else 1
+    lanes = max(1, min(lanes, len(sizes), room))
     heap, dealt = [(0, j) for j in range(lanes)], [[] for _ in range(lanes)]
     for doc in np.argsort(-sizes, kind="stable"):
         filled, j = heapq.heappop(heap)

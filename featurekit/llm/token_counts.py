@@ -27,7 +27,7 @@ CACHE = 200_000
 
 #: Personal data and secrets that the query removes, and what takes their place.
 REDACTIONS = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", "<email>"),
     (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<ip>"),
     (r"\b(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{16,}", "<secret>"),
     (r"\+?\d[\d ()-]{7,}\d", "<phone>"),
