@@ -195,6 +195,18 @@ def _rules(found: fk.WoeBinning) -> DataFrame:
     )
 
 
+def _woe_labels(spark, sf_dir):
+    """Rule edges exactly as labels show them, of a feature below 1 and one above."""
+    df = _table(spark, sf_dir, "lineitem").select(
+        (F.col("l_extendedprice") / 1000000).alias("small"),
+        (F.col("l_extendedprice") / 7).alias("large"),
+        (F.col("l_returnflag") == "R").cast("int").alias("returned"),
+    )
+    found = fk.woe_binning(df, ["small", "large"], "returned", binning_method="quantile", bin_num=6)
+    rows = found.rules.select("feature", F.posexplode("bins").alias("bin", "b"))
+    return rows.select("feature", "bin", F.col("b.right").alias("right_edge"))
+
+
 def _woe(method):
     def run(spark, sf_dir):
         df = _labelled(spark, sf_dir)
@@ -594,6 +606,21 @@ def _woe_sql(features: list[str], edges: Callable[[str, int], str], report: bool
         FROM rated WHERE bin >= 0"""
 
 
+def _labels_sql() -> str:
+    shown = """list_transform(e, lambda x: CASE WHEN x = 0 THEN x WHEN abs(x) >= 1 THEN round(x, p)
+        ELSE round(x, p - 1 - CAST(floor(log10(abs(x))) AS INT)) END)"""
+    probs = ", ".join(f"{i}/6.0" for i in range(7))
+    parts = " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, list_distinct(list_sort(quantile_cont({x}, [{probs}]))) AS e FROM lineitem"
+        for name, x in (("small", "l_extendedprice / 1000000"), ("large", "l_extendedprice / 7"))
+    )
+    return f"""WITH edges AS (SELECT feature, list_sort(e) AS e FROM ({parts})),
+        tried AS (SELECT feature, p, {shown} AS r FROM edges, (SELECT CAST(unnest(range(3, 20)) AS INT) AS p)),
+        best AS (SELECT feature, arg_min(r, p) AS r FROM tried WHERE len(list_distinct(r)) = len(r) GROUP BY feature)
+        SELECT feature, CAST(i AS INT) AS bin, r[i + 2] AS right_edge
+        FROM (SELECT feature, r, unnest(range(len(r) - 1)) AS i FROM best)"""
+
+
 _CURVE_SQL = f"""{_LABELLED_SQL},
     groups AS (SELECT score, sum(returned) AS pos, sum(1 - returned) AS neg FROM src GROUP BY score),
     totals AS (SELECT sum(pos) AS p, sum(neg) AS n FROM groups),
@@ -693,6 +720,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bin_edges_width": _bin_edges_width,
         "woe_quantile": _woe("quantile"),
         "woe_bucket": _woe("bucket"),
+        "woe_labels": _woe_labels,
         "woe_else_bin": _woe_else_bin,
         "woe_report": _woe_report,
         "woe_substitution": _woe_substitution,
@@ -807,6 +835,7 @@ def _own_oracle_sql() -> dict[str, str]:
             (SELECT e, unnest(range(len(e))) AS i FROM ({_width_edges("value", 8, "events")}))""",
         "woe_quantile": _woe_sql(["l_quantity", "l_extendedprice"], edges),
         "woe_bucket": _woe_sql(["l_quantity", "l_extendedprice"], _width_edges),
+        "woe_labels": _labels_sql(),
         "woe_else_bin": _woe_sql(["quantity_known"], edges),
         "woe_report": _woe_sql(["quantity_known"], edges, report=True),
         "woe_substitution": """SELECT l_orderkey, l_linenumber,
