@@ -88,19 +88,26 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at]) - root) / ALPHA * w
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights (BUCKETS and the bias) from (doc_id, text, label), label 0 or 1.
+def learnt_labels(labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, label, order) of at most ``sample`` labelled documents, those whose doc_id has
+    the smallest hash. Only those whose crc32(doc_id as text) modulo ``folds`` is not 0 may
+    be learnt from. Labels that repeat count by majority; other values than 0 and 1 and
+    rows without doc_id are no labels."""
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
+    quality = known.agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    learn = quality.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
+    return learn.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights (BUCKETS and the bias) learnt from the documents of :func:`learnt_labels`.
 
-    Rows with a null are left out. Of the others at most ``sample`` are used, those whose
-    doc_id has the smallest hash. They are read in that order by one task, in a stream of
-    slices; without rows all weights are 0.
+    They are read in the order of their hash by one task, in a stream of slices; null texts
+    are left out. Without rows all weights are 0.
     """
-    known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL").withColumn("_order", F.xxhash64("doc_id"))
-    chosen = known.select("doc_id", "_order").distinct().orderBy("_order", "doc_id").limit(sample)
-    # At most ``sample`` ids.
-    rows = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    ordered = rows.select("text", F.col("label").cast("int").alias("label"), "_order", "doc_id")
-    ordered = ordered.repartition(1).sortWithinPartitions("_order", "doc_id", "text", "label")
+    # At most ``sample`` rows are broadcast, and their documents meet in one task.
+    chosen = id_and_text(docs).join(F.broadcast(learnt_labels(labels, sample=sample)), "doc_id").where("text IS NOT NULL")
+    ordered = chosen.repartition(1).sortWithinPartitions("order", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl()
@@ -135,23 +142,15 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
     return docs.mapInArrow(run, f"{schema}, `{name}` double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """(doc_id, text, label) of the documents that may be learnt from: those whose
-    crc32(doc_id as text) modulo ``folds`` is not 0. Labels that repeat count by majority."""
-    quality = labels.where("quality IN (0, 1)").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    learn = quality.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
-    return id_and_text(docs).join(learn, "doc_id")
-
-
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs; repeated rows get equal
     results, rows without doc_id are never held out nor learnt from."""
-    scored = score(id_and_text(docs), fit(labelled(docs, labels)))
+    scored = score(id_and_text(docs), fit(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that :func:`judge` predicts to be good."""
-    scored = score(docs, fit(labelled(docs, labels)), "_score")
+    scored = score(docs, fit(docs, labels), "_score")
     return scored.where(F.col("_score") >= threshold).drop("_score")
