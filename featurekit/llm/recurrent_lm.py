@@ -69,6 +69,27 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, falling, ``head`` at most.
+
+    The words are chosen by classes of their count's logarithm (some thousand classes at
+    most), so that no more than ``head`` rows are ever sent to the driver, from however
+    many tasks; words of the class that would pass ``head`` stay out.
+    """
+    leveled = counts.withColumn("level", F.floor(F.log2("n") * 64).cast("int"))
+    least, taken = None, 0
+    for row in sorted(leveled.groupBy("level").count().collect(), reverse=True):
+        taken += row["count"]
+        if taken > head:
+            break
+        least = row["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = leveled.where(F.col("level") >= least).select("hash", "n").toPandas()
+    top = top.sort_values(["n", "hash"], ascending=[False, True])
+    return top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+
+
 class Vocabulary:
     """The head of the counts: hashes sorted, their counts and ranks; totals of all words."""
 
@@ -414,8 +435,7 @@ def score_texts(docs: DataFrame, folds: int = 10, head: int = HEAD, *, doc_id: s
     counts = written(token_counts(texts))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = totals["n"] or 0, totals["v"]
-    top = counts.orderBy(F.desc("n"), "hash").limit(head).toPandas()  # ``head`` rows at most
-    vocabulary = Vocabulary(top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct)
+    vocabulary = Vocabulary(*most_frequent(counts, head), total, distinct)
     weights = train(texts, vocabulary)
 
     rows = written(_head_scores(read.select("doc_id", "held_out", "text"), vocabulary, weights).withColumn("_row", F.monotonically_increasing_id()))
