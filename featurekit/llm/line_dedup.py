@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurekit.llm.links import connect, shared_buckets
+from featurekit.llm.links import connect, pairs_between, shared_buckets
 from featurekit.llm.tables import id_and_text, let, written
 
 MAX_EDITS = 2
@@ -22,6 +22,7 @@ MIN_CHARS = 20
 #: Slots of the broadcast that thins the lines before their texts are joined.
 _SLOTS = 1 << 20
 _STRIP = 32
+_LETTERS = "etaonisrhldcumfp"
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -33,33 +34,35 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment; the last ones are a character longer."""
-    short = F.floor(length / parts)
-    longer = length - short * parts
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        own = short + F.when(F.lit(parts - i) <= longer, 1).otherwise(0)
-        out.append((start, own))
-        start = start + own
-    return out
-
-
 def segment_keys(line: Column, max_edits: int) -> Column:
-    """Hashes of (length, segment, substring) that a line enters or probes."""
-    parts, keys = max_edits + 1, []
+    """Hashes of (length, segment, substring) that a line enters or probes.
+
+    Of a length that falls into ``max_edits`` + 1 segments, the last ones are a character
+    longer. The cuts are a list that one small expression goes through: spelt out, they
+    would be a method too large for the JVM to compile.
+    """
+    parts, cuts = max_edits + 1, []
     for shorter in range(max_edits + 1):
-        length = F.length(line) - shorter
-        for i, (start, own) in enumerate(segments(length, parts)):
+        for i in range(parts):
             # i edits at most lie before the segment, max_edits - i after it.
             low = max(-i, shorter - (max_edits - i))
             high = min(i, shorter + (max_edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + own - 1 <= F.length(line))
-                cut = F.substring(line, at.cast("int"), own.cast("int"))
-                keys.append(F.when(inside, F.xxhash64(length, F.lit(i), cut)))
-    return F.array_compact(F.array(*keys))
+            cuts += [(shorter, i, shift) for shift in range(low, high + 1)]
+
+    def keys(size: Column) -> Column:
+        def key(cut: Column) -> Column:
+            length, i = size - cut["shorter"], cut["i"]
+            short = F.floor(length / parts).cast("int")
+            first_longer = short * parts + parts - length
+            start = i * short + F.greatest(i - first_longer, F.lit(0)) + cut["shift"] + 1
+            own = short + F.when(i >= first_longer, 1).otherwise(0)
+            # In very short lines a cut may leave the line; its hash then only meets more.
+            return F.xxhash64(length, i, F.substring(line, start, own))
+
+        listed = ", ".join(f"named_struct('shorter', {a}, 'i', {b}, 'shift', {c})" for a, b, c in cuts)
+        return F.transform(F.expr(f"array({listed})"), key)
+
+    return let(F.length(line), keys)
 
 
 def _without_equal_start(a: Column, b: Column) -> Column:
@@ -138,6 +141,34 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= max_edits, found).otherwise(F.lit(False))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often some letters occur. An edit changes the counts by 2 in sum at most."""
+    size = F.length(line)
+    return F.array(*[size - F.length(F.replace(line, F.lit(c))) for c in _LETTERS])
+
+
+def _sum_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+
+
+def pair_sketch(line: Column, max_edits: int) -> Column:
+    """Numbers whose bits the line's character pairs flip. An edit changes four pairs at
+    most, so the sketches of two alike lines differ in 4 ``max_edits`` bits at most, and as
+    there is one number more than that, in one number not at all."""
+    parts = 4 * max_edits + 1
+
+    def numbers(hashed: Column) -> Column:
+        def number(part: Column) -> Column:
+            own = F.filter(hashed, lambda h: F.pmod(h, F.lit(parts)) == part)
+            bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))
+            return F.aggregate(own, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), number)
+
+    places = F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1)))
+    return let(F.transform(places, lambda i: F.xxhash64(F.substring(line, i, F.lit(2)))), numbers)
+
+
 def repeated_lines(
     docs: DataFrame,
     max_edits: int = MAX_EDITS,
@@ -177,15 +208,26 @@ def repeated_lines(
     thinned = lines.join(F.broadcast(slots), F.pmod("sign_a", F.lit(_SLOTS)) == F.col("slot"), "left_semi")
     involved = buckets.select(F.col("id").alias("sign_a")).distinct()
     texts = thinned.join(involved, "sign_a", "left_semi").groupBy(F.col("sign_a").alias("id")).agg(F.first("line").alias("line"))
-    texts = written(texts)
+    texts = written(texts.withColumn("letters", letter_counts(F.col("line"))))
+    letters = _sum_of(F.zip_with("a_letters", "b_letters", lambda x, y: F.abs(x - y))) <= 2 * max_edits
 
     def alike(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("line").alias("a_line"))
-        b = texts.select(F.col("id").alias("b"), F.col("line").alias("b_line"))
+        a = texts.select(F.col("id").alias("a"), F.col("line").alias("a_line"), F.col("letters").alias("a_letters"))
+        b = texts.select(F.col("id").alias("b"), F.col("line").alias("b_line"), F.col("letters").alias("b_letters"))
         near = within_edits(F.col("a_line"), F.col("b_line"), max_edits)
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
-
-    linked = connect(buckets, alike).select(F.col("id").alias("sign_a"), "component")
+        return pairs.join(a, "a").join(b, "b").where(F.when(letters, near).otherwise(F.lit(False))).select("a", "b")
+
+    def between(rows: DataFrame) -> DataFrame:
+        # Rows of a bucket meet again only where a number of their sketches is equal.
+        apart = texts.join(rows.select("id").distinct(), "id")
+        sketches = written(apart.select("id", "letters", pair_sketch(F.col("line"), max_edits).alias("sketch")))
+        sketched = rows.join(sketches, "id")
+        each = sketched.select("key", "id", "class", "letters", "sketch", F.posexplode("sketch").alias("part", "number"))
+        each = each.select(F.xxhash64("key", "part", "number").alias("key"), "id", "class", "letters", "sketch")
+        xor = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return pairs_between(each, letters & (_sum_of(xor) <= 4 * max_edits))
+
+    linked = connect(buckets, alike, between).select(F.col("id").alias("sign_a"), "component")
     near = counted.join(linked, "sign_a")
     firsts = near.groupBy("component").agg(F.min("first").alias("class_first"))
     near = near.join(firsts, "component").select(*signs, "class_first")
