@@ -30,8 +30,8 @@ HEAD = 100_000
 HIDDEN = 24
 #: Training: lanes of documents side by side, steps of a window, rate, passes of averaging,
 #: and the share of the training texts that a pass goes through (each pass takes others).
-LANES, WINDOW, RATE = 64, 24, 0.08
-PASSES, SHARE = 2, 1 / 16
+LANES, WINDOW, RATE = 256, 24, 0.08
+PASSES, SHARE = 1, 1
 #: Scoring: lanes, steps of a window, and bytes of text that are scored together.
 SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 128, 64, 12 << 20
 
@@ -160,9 +160,20 @@ def first_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The rows' shares, in place of x."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of one place of each row; x is lost."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, at]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -231,11 +242,9 @@ def class_of(targets: np.ndarray) -> np.ndarray:
 
 def log_probability(w: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target's class and, in a frequent class, of the word."""
-    rows = np.arange(len(targets))
-    out = _log_softmax(states @ w["classes"] + w["class_bias"])[rows, class_of(targets)].astype(np.float64)
+    out = _log_share(states @ w["classes"] + w["class_bias"], class_of(targets)).astype(np.float64)
     for c, at in _by_class(targets):
-        inner = _log_softmax(states[at] @ w["members"][c] + w["member_bias"][c])
-        out[at] += inner[np.arange(len(at)), targets[at] % CLASS_SIZE]
+        out[at] += _log_share(states[at] @ w["members"][c] + w["member_bias"][c], targets[at] % CLASS_SIZE)
     return out
 
 
@@ -255,12 +264,12 @@ class Trainer:
         states, after = _forward(w, h, inputs, fresh, kept)
         flat, want = states[real], targets[real]
         scale = np.float32(1 / inputs.shape[1])
-        top = np.exp(_log_softmax(flat @ w["classes"] + w["class_bias"]))
+        top = _softmax(flat @ w["classes"] + w["class_bias"])
         top[np.arange(len(want)), class_of(want)] -= 1
         top *= scale
         d_flat = top @ w["classes"].T
         for c, at in _by_class(want):
-            inner = np.exp(_log_softmax(flat[at] @ w["members"][c] + w["member_bias"][c]))
+            inner = _softmax(flat[at] @ w["members"][c] + w["member_bias"][c])
             inner[np.arange(len(at)), want[at] % CLASS_SIZE] -= 1
             inner *= scale
             d_flat[at] += inner @ w["members"][c].T

@@ -286,3 +286,13 @@ def test_language_model_on_odd_rows(spark):
     assert recurrent_lm.score_texts(docs.limit(0)).count() == 0
     unknown = recurrent_lm.score_texts(docs.where("doc_id IS NULL")).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in unknown] == [(0, 0, 0.0)]
+
+
+def test_every_training_text_moves_the_weights(spark):
+    texts = [(i, f"own{i} own{i} own{i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    counts = recurrent_lm.token_counts(docs)
+    vocabulary = recurrent_lm.Vocabulary(*recurrent_lm.most_frequent(counts, 100), 240, 61)
+    before = recurrent_lm.first_weights(vocabulary)["input"]
+    after = recurrent_lm.train(docs, vocabulary)["input"]
+    assert ((before != after).any(axis=1)).sum() == 61  # each text's own word, and the end
