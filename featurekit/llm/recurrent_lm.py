@@ -1,9 +1,10 @@
 """A gated recurrent language model with a class-factored output softmax, in numpy.
 
-The most frequent words of the training texts form classes of equal size; two more classes
-hold the words of middle frequency and all others. A word's probability is its class's, given
-the state, times its own within the class: a softmax for the frequent classes, smoothed
-counts for the other two. Training is truncated backpropagation through windows that carry
+The head of the training texts' words forms classes of equal size, about as many as a class
+has words, so that both grow with the root of the head. One more class holds all other words
+(and another those of the head that a smaller layout of classes leaves out). A word's
+probability is its class's, given the state, times its own within the class: a softmax for
+the head, smoothed counts for the others. Training is truncated backpropagation through windows that carry
 the state on, by tasks that start from the same weights and whose results are averaged.
 Scoring carries the state through a whole document.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from featurekit.llm.tables import written
 from featurekit.llm.words import slices, words
 
+#: The layout of a vocabulary that is given none (:func:`layout` has that of a whole head).
 CLASS_SIZE, CLASSES = 64, 32
 HEAD = 100_000
 HIDDEN = 24
@@ -90,17 +92,25 @@ def most_frequent(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]
     return top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
 
 
+def layout(words: int) -> tuple[int, int]:
+    """Classes and their size, for a softmax over all ``words`` of a head."""
+    size = max(1, math.isqrt(max(words - 1, 0)) + 1)
+    return max(1, -(-words // size)), size
+
+
 class Vocabulary:
-    """The head of the counts: hashes sorted, their counts and ranks; totals of all words."""
+    """The head of the counts: hashes sorted, their counts and ranks; totals of all words.
+    The first classes x size words of the head have a softmax."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, classes: int = CLASSES, size: int = CLASS_SIZE):
         order = np.argsort(hashes)
         self.hashes, self.counts, self.ranks = hashes[order], counts[order], order.astype(np.int64)
         self.total, self.distinct = total, distinct
-        frequent = min(MIDDLE, len(hashes))
-        by_rank = np.zeros(MIDDLE)
+        self.middle = classes * size  # the id of the head's other words; unknown words come next
+        frequent = min(self.middle, len(hashes))
+        by_rank = np.zeros(self.middle)
         by_rank[:frequent] = counts[:frequent]
-        self.frequent = by_rank.reshape(CLASSES, CLASS_SIZE)
+        self.frequent = by_rank.reshape(classes, size)
         self.middle_total = float(counts[frequent:].sum()) + SMOOTH * max(len(hashes) - frequent, 1)
         rare, kinds = total - int(counts.sum()), distinct - len(hashes)
         self.rare_total = rare + SMOOTH * (kinds + 1)
@@ -115,33 +125,34 @@ class Vocabulary:
         return place, self.hashes[place] == tokens
 
     def ids(self, place: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Model ids: the rank of frequent words, else MIDDLE or RARE."""
+        """Model ids: the rank of words in classes, else ``middle`` or the id after it."""
         if not len(self.hashes):
-            return np.full(len(place), RARE, np.int32)
-        return np.where(known, np.minimum(self.ranks[place], MIDDLE), RARE).astype(np.int32)
+            return np.full(len(place), self.middle + 1, np.int32)
+        return np.where(known, np.minimum(self.ranks[place], self.middle), self.middle + 1).astype(np.int32)
 
     def end_id(self) -> int:
         return int(self.ids(*self.find(np.array([END])))[0])
 
 
-_SHAPES = {
-    "input": (RARE + 1, 3 * HIDDEN),
-    "gates": (HIDDEN, 2 * HIDDEN),
-    "state": (HIDDEN, HIDDEN),
-    "classes": (HIDDEN, CLASSES + 2),
-    "class_bias": (CLASSES + 2,),
-    "members": (CLASSES, HIDDEN, CLASS_SIZE),
-    "member_bias": (CLASSES, CLASS_SIZE),
-}
+def shapes(classes: int, size: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "input": (classes * size + 2, 3 * HIDDEN),
+        "gates": (HIDDEN, 2 * HIDDEN),
+        "state": (HIDDEN, HIDDEN),
+        "classes": (HIDDEN, classes + 2),
+        "class_bias": (classes + 2,),
+        "members": (classes, HIDDEN, size),
+        "member_bias": (classes, size),
+    }
 
 
 def pack_weights(weights: dict[str, np.ndarray]) -> bytes:
-    return b"".join(weights[k].astype("<f4").tobytes() for k in _SHAPES)
+    return b"".join(weights[k].astype("<f4").tobytes() for k in shapes(1, 1))
 
 
-def unpack_weights(data: bytes) -> dict[str, np.ndarray]:
+def unpack_weights(data: bytes, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     flat, out, at = np.frombuffer(data, "<f4"), {}, 0
-    for k, shape in _SHAPES.items():
+    for k, shape in shapes(*vocabulary.frequent.shape).items():
         n = math.prod(shape)
         out[k] = flat[at : at + n].reshape(shape).copy()
         at += n
@@ -151,11 +162,12 @@ def unpack_weights(data: bytes) -> dict[str, np.ndarray]:
 def first_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Small random weights, and biases that give the counts' own distribution."""
     rng = np.random.default_rng(7)
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES.items()}
+    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(*vocabulary.frequent.shape).items()}
     out["members"] *= 0.1
     share = vocabulary.class_counts + 0.5
     out["class_bias"] = np.log(share / share.sum()).astype(np.float32)
     member = vocabulary.frequent + SMOOTH
+    member.ravel()[len(vocabulary.hashes) :] = 1e-9  # no words: the last class may not be full
     out["member_bias"] = np.log(member / member.sum(axis=1, keepdims=True)).astype(np.float32)
     return out
 
@@ -226,25 +238,27 @@ def _forward(w: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep
     return out, h
 
 
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of targets of each frequent class."""
-    classes = targets // CLASS_SIZE
+def _by_class(w: dict, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of targets of each class that has a softmax."""
+    n, _, size = w["members"].shape
+    classes = targets // size
     order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    ends = np.searchsorted(classes[order], np.arange(n + 1))
+    for c in range(n):
         if ends[c] < ends[c + 1]:
             yield c, order[ends[c] : ends[c + 1]]
 
 
-def class_of(targets: np.ndarray) -> np.ndarray:
-    return np.where(targets < MIDDLE, targets // CLASS_SIZE, CLASSES + (targets == RARE))
+def class_of(w: dict, targets: np.ndarray) -> np.ndarray:
+    n, _, size = w["members"].shape
+    return np.where(targets < n * size, targets // size, n + (targets > n * size))
 
 
 def log_probability(w: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target's class and, in a frequent class, of the word."""
-    out = _log_share(states @ w["classes"] + w["class_bias"], class_of(targets)).astype(np.float64)
-    for c, at in _by_class(targets):
-        out[at] += _log_share(states[at] @ w["members"][c] + w["member_bias"][c], targets[at] % CLASS_SIZE)
+    out = _log_share(states @ w["classes"] + w["class_bias"], class_of(w, targets)).astype(np.float64)
+    for c, at in _by_class(w, targets):
+        out[at] += _log_share(states[at] @ w["members"][c] + w["member_bias"][c], targets[at] % w["members"].shape[2])
     return out
 
 
@@ -265,12 +279,12 @@ class Trainer:
         flat, want = states[real], targets[real]
         scale = np.float32(1 / inputs.shape[1])
         top = _softmax(flat @ w["classes"] + w["class_bias"])
-        top[np.arange(len(want)), class_of(want)] -= 1
+        top[np.arange(len(want)), class_of(w, want)] -= 1
         top *= scale
         d_flat = top @ w["classes"].T
-        for c, at in _by_class(want):
+        for c, at in _by_class(w, want):
             inner = _softmax(flat[at] @ w["members"][c] + w["member_bias"][c])
-            inner[np.arange(len(at)), want[at] % CLASS_SIZE] -= 1
+            inner[np.arange(len(at)), want[at] % w["members"].shape[2]] -= 1
             inner *= scale
             d_flat[at] += inner @ w["members"][c].T
             self._apply("members", flat[at].T @ inner, c)
@@ -356,7 +370,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share:
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, known = Trainer(unpack_weights(sent.value)), vocabulary_sent.value
+            known = vocabulary_sent.value
+            trainer = Trainer(unpack_weights(sent.value, known))
             seen, end_id = 0, known.end_id()
             for group in _groups(batches, SCORE_BYTES):
                 token, borders = with_end(pa.Table.from_batches(group).combine_chunks().to_batches()[0])
@@ -368,7 +383,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share:
         trained = written(chosen.mapInArrow(run, "weights binary, n long"))
         weights = _mean(trained, trained.count()) or weights
         sent.unpersist()
-    return unpack_weights(weights)
+    return unpack_weights(weights, vocabulary)
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>, rare_n array<long>"
@@ -387,7 +402,7 @@ def _head_scores(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.
         ids = known.ids(place, there)
         count = known.counts[place] if len(known.counts) else np.zeros(len(place))
         base = np.where(there, np.log10((count + SMOOTH) / known.base_total), 0.0)
-        model = np.where(ids == MIDDLE, np.log10((count + SMOOTH) / known.middle_total), 0.0)
+        model = np.where(ids == known.middle, np.log10((count + SMOOTH) / known.middle_total), 0.0)
         inputs, targets, fresh, at = lanes_of(ids, borders, SCORE_LANES, known.end_id())
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for step in range(0, len(inputs), SCORE_WINDOW):
@@ -418,7 +433,7 @@ def _head_scores(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = sent.value, unpack_weights(sent_weights.value)
+        known, w = sent.value, unpack_weights(sent_weights.value, sent.value)
         for group in _groups(batches, SCORE_BYTES):
             yield score(group, known, w)
 
@@ -444,7 +459,8 @@ def score_texts(docs: DataFrame, folds: int = 10, head: int = HEAD, *, doc_id: s
     counts = written(token_counts(texts))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = totals["n"] or 0, totals["v"]
-    vocabulary = Vocabulary(*most_frequent(counts, head), total, distinct)
+    hashes, n = most_frequent(counts, head)
+    vocabulary = Vocabulary(hashes, n, total, distinct, *layout(len(hashes)))
     weights = train(texts, vocabulary)
 
     rows = written(_head_scores(read.select("doc_id", "held_out", "text"), vocabulary, weights).withColumn("_row", F.monotonically_increasing_id()))

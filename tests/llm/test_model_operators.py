@@ -296,3 +296,23 @@ def test_every_training_text_moves_the_weights(spark):
     before = recurrent_lm.first_weights(vocabulary)["input"]
     after = recurrent_lm.train(docs, vocabulary)["input"]
     assert ((before != after).any(axis=1)).sum() == 61  # each text's own word, and the end
+
+
+def test_the_softmax_covers_the_whole_head(spark):
+    n = 2600
+    docs = spark.createDataFrame([(i, f"own{i} own{i} own{i}") for i in range(n)], "doc_id long, text string").coalesce(1)
+    hashes, counts = recurrent_lm.most_frequent(recurrent_lm.token_counts(docs), recurrent_lm.HEAD)
+    vocabulary = recurrent_lm.Vocabulary(hashes, counts, 4 * n, n + 1, *recurrent_lm.layout(len(hashes)))
+    assert len(set(vocabulary.ids(*vocabulary.find(hashes)))) == len(hashes) == n + 1
+    before = recurrent_lm.first_weights(vocabulary)
+    after = recurrent_lm.train(docs, vocabulary)
+    assert (before["input"] != after["input"]).any(axis=1).sum() == n + 1
+    state = np.random.default_rng(0).standard_normal((1, recurrent_lm.HIDDEN)).astype(np.float32)
+    every = [recurrent_lm.log_probability(after, state, np.array([t]))[0] for t in [*range(n + 1), vocabulary.middle, vocabulary.middle + 1]]
+    assert math.isclose(sum(map(math.exp, every)), 1, rel_tol=1e-3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 3000, 100_000])
+def test_classes_grow_with_the_root_of_the_head(n):
+    classes, size = recurrent_lm.layout(n)
+    assert classes * size >= n and (classes - 1) * size < max(n, 1) and abs(size - math.sqrt(n)) <= 1
