@@ -3,7 +3,8 @@
 Labelled page outcomes (good or bad) are counted per host, summed to the registered domain
 and to the public suffix. Each level's rate of good pages is a beta prior for the level
 below: suffixes shrink to the rate of all pages, domains to their suffix, hosts to their
-domain. A host passes if an upper or lower bound of its posterior allows it.
+domain. A host without outcomes has its domain's rate, else its suffix's, else that of all
+pages. A host passes if an upper or lower bound of its posterior allows it.
 """
 
 from __future__ import annotations
@@ -69,11 +70,15 @@ def _strength(level: DataFrame, parent: Column) -> DataFrame:
     return level.agg(F.least(F.greatest(1 / F.greatest(rho, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e4)).alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, domain, suffix, n, good, rate, lower, upper) of every host with outcomes.
+def host_reputation(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
+    """(host, domain, suffix, n, good, rate, lower, upper) of every host with outcomes, and of
+    the hosts in ``others`` (host) that have none: their n is 0 and their posterior the prior.
 
-    outcomes: (host, good boolean); rows with a null in either are no outcome. An empty
-    table gives an empty one. Each level is summed from the one below, so a host that holds
+    A prior that skips levels weighs no more than the weakest of those it skips, as the
+    domains of a suffix differ more than the hosts of a domain.
+
+    outcomes: (host, good boolean); rows with a null in either are no outcome. Without
+    outcomes the table is empty. Rates and strengths are fitted on outcomes alone. Each level is summed from the one below, so a host that holds
     a third of all pages is one row after the first, partly map-side, sum. rate is the
     posterior's mean; the bounds lie z standard deviations from it.
     """
@@ -87,17 +92,34 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     everything = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("all_rate"))
 
     suffixes = suffixes.crossJoin(F.broadcast(everything))  # one row
-    suffixes = suffixes.crossJoin(F.broadcast(_strength(suffixes, F.col("all_rate"))))
+    suffix_strength = F.broadcast(_strength(suffixes, F.col("all_rate")))
+    suffixes = suffixes.crossJoin(suffix_strength)
     suffixes = _posterior(suffixes, F.col("all_rate"), F.col("strength"), "suffix")
-    above = suffixes.select("suffix", (F.col("suffix_a") / (F.col("suffix_a") + F.col("suffix_b"))).alias("suffix_rate"))
+    above_domains = suffixes.select("suffix", (F.col("suffix_a") / (F.col("suffix_a") + F.col("suffix_b"))).alias("suffix_rate"))
 
-    domains = domains.join(above, "suffix")
-    domains = domains.crossJoin(F.broadcast(_strength(domains, F.col("suffix_rate"))))
+    domains = domains.join(above_domains, "suffix")
+    domain_strength = F.broadcast(_strength(domains, F.col("suffix_rate")))
+    domains = domains.crossJoin(domain_strength)
     domains = _posterior(domains, F.col("suffix_rate"), F.col("strength"), "domain")
     above = domains.select("domain", "suffix", (F.col("domain_a") / (F.col("domain_a") + F.col("domain_b"))).alias("domain_rate"))
 
     hosts = hosts.join(above, ["domain", "suffix"])
-    hosts = hosts.crossJoin(F.broadcast(_strength(hosts, F.col("domain_rate"))))
+    strength = F.broadcast(_strength(hosts, F.col("domain_rate")).where(F.col("strength").isNotNull()))  # one row
+    hosts = hosts.crossJoin(strength)
+    if others is not None:
+        unknown = others.where(F.col("host").isNotNull()).select("host").distinct().join(hosts.select("host"), "host", "left_anti")
+        unknown = unknown.select("host", domain_of(F.col("host"), suffix).alias("domain"), suffix.alias("suffix"))
+        unknown = unknown.join(above, ["domain", "suffix"], "left").join(above_domains, "suffix", "left").crossJoin(F.broadcast(everything))
+        unknown = unknown.crossJoin(strength).crossJoin(domain_strength.withColumnRenamed("strength", "of_domain"))
+        unknown = unknown.crossJoin(suffix_strength.withColumnRenamed("strength", "of_suffix"))
+        weakest = F.when(F.col("domain_rate").isNotNull(), F.col("strength"))
+        weakest = weakest.when(F.col("suffix_rate").isNotNull(), F.least("strength", "of_domain"))
+        unknown = unknown.select(
+            "host", "domain", "suffix", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"),
+            F.coalesce("domain_rate", "suffix_rate", "all_rate").alias("domain_rate"),
+            weakest.otherwise(F.least("strength", "of_domain", "of_suffix")).alias("strength"),
+        )
+        hosts = hosts.unionByName(unknown)
     hosts = _posterior(hosts, F.col("domain_rate"), F.col("strength"), "host")
     a, b = F.col("host_a"), F.col("host_b")
     rate = a / (a + b)
@@ -137,13 +159,15 @@ def judge_pages(
     leave a wide bound, so that unknown hosts pass. Null urls and urls without ``://``
     have an empty host, which is judged like any other; null page_ids stay, without an
     outcome. A page with several outcomes counts with each; pages that repeat are judged
-    alike. Hosts without outcomes have null n, rate and bounds and are allowed.
+    alike. Hosts without outcomes have n = 0 and are judged by the prior that their domain,
+    suffix or all pages give; n, rate and bounds are null, and pages without a rule allowed,
+    only if there is no outcome at all.
     """
     judged = pages.select(
         F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path")
     )
     known = outcomes.select(F.col("page_id").alias("page_id"), F.col("good").cast("boolean").alias("good"))
-    reputation = host_reputation(judged.select("page_id", "host").join(known, "page_id"), z)
+    reputation = host_reputation(judged.select("page_id", "host").join(known, "page_id"), z, judged)
     rule, ruled = rule_for(F.col("host"), F.col("path"), list(rules))
     own = F.when(F.col("upper") < least_rate, F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(reputation.drop("domain", "suffix", "good"), "host", "left").select(

@@ -114,6 +114,24 @@ def test_reputation_shrinks_and_blocks(spark):
     assert verdicts["h3.bad.example"] == "block" and verdicts["h3.good.example"] == verdicts["big.example"] == "allow"
 
 
+def test_hosts_without_outcomes_have_their_domains_reputation(spark):
+    hosts = [(f"h{j}.bad.example", 0.02) for j in range(10)] + [(f"h{j}.good.example", 0.98) for j in range(10)] + [(f"h{j}.d{j}.evil", 0.0) for j in range(30)]
+    unknown = ["new.bad.example", "new.good.example", "new.other.example", "new.unseen.evil", "new.nowhere.test"]
+    rng = random.Random(2)
+    table = [(h, rng.random() < p) for h, p in hosts for _ in range(60)]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate([*(h for h, _ in table), *unknown])], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(table)], "page_id long, good boolean")
+    got = {r["host"]: r for r in url_reputation.judge_pages(pages, outcomes).collect()}
+    assert {h: (got[h]["n"], got[h]["verdict"]) for h in unknown} == {
+        "new.bad.example": (0, "block"), "new.good.example": (0, "allow"), "new.other.example": (0, "allow"),
+        "new.unseen.evil": (0, "block"), "new.nowhere.test": (0, "allow"),
+    }
+    assert got["new.bad.example"]["rate"] < got["new.other.example"]["rate"] < got["new.good.example"]["rate"]
+    # A host's own outcomes move it from the same prior, and the unlabelled hosts change no fit.
+    alone = {r["host"]: r["rate"] for r in url_reputation.host_reputation(spark.createDataFrame(table, "host string, good boolean")).collect()}
+    assert all(math.isclose(got[h]["rate"], rate) for h, rate in alone.items())
+
+
 # --- packing ---------------------------------------------------------------------------------
 
 
