@@ -17,7 +17,7 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left."""
-    return line_dedup.drop_repeated_lines(docs)
+    return line_dedup.drop_repeated_lines(docs, exact_chars=line_dedup.EXACT_CHARS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

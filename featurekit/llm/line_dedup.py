@@ -17,19 +17,24 @@ from featurekit.llm.links import connect, pairs_between, shared_buckets
 from featurekit.llm.tables import id_and_text, let, written
 
 MAX_EDITS = 2
-#: Shorter lines (``}``, list marks, headings) are no duplicates.
+#: Shorter lines have no near copies.
 MIN_CHARS = 20
+#: Exact copies of lines from this length on are repeats, if they hold a letter or digit.
+EXACT_CHARS = 1
 #: Slots of the broadcast that thins the lines before their texts are joined.
 _SLOTS = 1 << 20
 _STRIP = 32
 _LETTERS = "etaonisrhldcumfp"
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, line, sign_a, sign_b) of the lines that are long enough. Equal
-    lines share their 128-bit sign."""
+def lines_of(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """(doc_id, line_no, line, sign_a, sign_b) of the lines that are long enough for near
+    copies, or for exact ones. Equal lines share their 128-bit sign."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.length("line") >= min_chars).withColumns(
+    enough = F.length("line") >= min_chars
+    if exact_chars is not None:
+        enough |= (F.length("line") >= exact_chars) & F.col("line").rlike(r"[\p{L}\p{N}]")
+    return rows.where(enough).withColumns(
         {"sign_a": F.xxhash64("line"), "sign_b": F.xxhash64(F.lit(1), "line")}
     )
 
@@ -173,6 +178,7 @@ def repeated_lines(
     docs: DataFrame,
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
+    exact_chars: int | None = None,
     *,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -182,7 +188,9 @@ def repeated_lines(
 
     Lines end at ``\\n``. Lines of ``min_chars`` characters or more are linked if they are at
     most ``max_edits`` edits (insert, delete, replace a character) apart; a class is what
-    links reach, and its first line is the one of smallest (doc_id, line_no). Null and empty
+    links reach, and its first line is the one of smallest (doc_id, line_no). With
+    ``exact_chars``, equal lines from that length on that hold a letter or digit are linked
+    too, however short; without, shorter lines than ``min_chars`` are left out. Null and empty
     texts have no such line; rows without doc_id are left out; rows that repeat a doc_id
     are the same document, so that their lines at the same place are one line. Long texts
     take part whole.
@@ -191,21 +199,23 @@ def repeated_lines(
     search once.
     """
     read = id_and_text(docs, doc_id, text).where("doc_id IS NOT NULL")
-    lines = lines_of(read, min_chars)
+    lines = lines_of(read, min_chars, exact_chars)
+    long = F.length("line") >= min_chars
     signs = ["sign_a", "sign_b"]
     counted = written(
         lines.groupBy(*signs).agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"),
             (F.min(F.struct("doc_id", "line_no")) < F.max(F.struct("doc_id", "line_no"))).alias("repeats"),
-        )
+            F.max(long).alias("long"),
+        ).where("repeats OR long").drop("long")
     )
 
-    distinct = lines.groupBy(*signs).agg(F.first("line").alias("line"))
+    distinct = lines.where(long).groupBy(*signs).agg(F.first("line").alias("line"))
     keys = distinct.select(F.explode(segment_keys(F.col("line"), max_edits)).alias("key"), F.col("sign_a").alias("id"))
     buckets = shared_buckets(keys)
     slots = buckets.select(F.pmod("id", F.lit(_SLOTS)).alias("slot")).distinct()
     # At most _SLOTS numbers.
-    thinned = lines.join(F.broadcast(slots), F.pmod("sign_a", F.lit(_SLOTS)) == F.col("slot"), "left_semi")
+    thinned = lines.where(long).join(F.broadcast(slots), F.pmod("sign_a", F.lit(_SLOTS)) == F.col("slot"), "left_semi")
     involved = buckets.select(F.col("id").alias("sign_a")).distinct()
     texts = thinned.join(involved, "sign_a", "left_semi").groupBy(F.col("sign_a").alias("id")).agg(F.first("line").alias("line"))
     texts = written(texts.withColumn("letters", letter_counts(F.col("line"))))
@@ -240,11 +250,13 @@ def repeated_lines(
     )
 
 
-def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None
+) -> DataFrame:
     """The documents (doc_id, text, other columns) without the lines that repeat an earlier
     one, as :func:`repeated_lines` finds them. Documents of which nothing but white space is
     left go; empty and null texts that were so before stay, as do rows without doc_id."""
-    found = repeated_lines(docs, max_edits, min_chars)
+    found = repeated_lines(docs, max_edits, min_chars, exact_chars)
     repeats = found.where("doc_id != first_doc_id OR line_no != first_line_no")
     dropped = repeats.groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped"))
     names = [c for c in docs.columns if c != "_dropped"]

@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), exact_chars=line_dedup.EXACT_CHARS)
 
 
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,19 @@ def test_lines_on_odd_rows(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_are_repeats_if_equal(spark, tmp_path):
+    from corpus_pipeline import drop_lines
+    from featurekit.llm.queries import queries
+
+    texts = [(1, "Read more\nown one\n}\n \n7"), (2, "Read more\nRead mora\n}\n \n7"), (3, "own three\nRead more"), (4, "Read more")]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, 0, 1, 0), (1, 4, 1, 4), (2, 0, 1, 0), (2, 4, 1, 4), (3, 1, 1, 0), (4, 0, 1, 0)]
+    got = queries()["op3_line_dedup"](spark, str(tmp_path))
+    assert rows(got, "doc_id", "line_no", "first_doc_id", "first_line_no") == want
+    kept = drop_lines(spark, frame(spark, texts), str(tmp_path))
+    assert rows(kept, "doc_id", "text") == [(1, texts[0][1]), (2, "Read mora\n}\n "), (3, "own three")]
+
+
 # --- benchmark items ----------------------------------------------------------------------------
 
 
