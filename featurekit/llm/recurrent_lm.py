@@ -34,6 +34,8 @@ HIDDEN = 24
 #: and the share of the training texts that a pass goes through (each pass takes others).
 LANES, WINDOW, RATE = 256, 24, 0.08
 PASSES, SHARE = 1, 1
+#: Tokens of a training task on average at least: each task hands on a change of all weights.
+TASK_TOKENS = 4_000_000
 #: Scoring: lanes, steps of a window, and bytes of text that are scored together.
 SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 128, 64, 12 << 20
 
@@ -360,13 +362,15 @@ def _mean(rows: DataFrame, n: int) -> bytes | None:
 def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share: float = SHARE) -> dict[str, np.ndarray]:
     """Weights from (doc_id, text). Each pass goes through its own ``share`` of the texts, by a
     hash of doc_id, so that the work grows with the table; a task learns from its texts in
-    lanes, and the mean of all tasks' weights, by their tokens, starts the next pass."""
+    lanes, and the mean of all tasks' changes of the weights, by their tokens, starts the next
+    pass. Small tables take few tasks, as a change is as large as the weights."""
     spark = texts.sparkSession
     weights = pack_weights(first_weights(vocabulary))
     vocabulary_sent = spark.sparkContext.broadcast(vocabulary)  # HEAD words at most
     parts = round(1 / share)
     for i in range(min(passes, parts)):
         chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i)
+        chosen = chosen.coalesce(max(1, int(vocabulary.total * share) // TASK_TOKENS))
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -378,10 +382,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share:
                 trainer.learn(known.ids(*known.find(token)), borders, end_id)
                 seen += len(token)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([pack_weights(trainer.w)], pa.binary()), pa.array([seen])], names=["weights", "n"])
+                change = np.frombuffer(pack_weights(trainer.w), "<f4") - np.frombuffer(sent.value, "<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([change.tobytes()], pa.binary()), pa.array([seen])], names=["weights", "n"])
 
         trained = written(chosen.mapInArrow(run, "weights binary, n long"))
-        weights = _mean(trained, trained.count()) or weights
+        change = _mean(trained, trained.count())
+        if change:
+            weights = (np.frombuffer(weights, "<f4") + np.frombuffer(change, "<f4")).tobytes()
         sent.unpersist()
     return unpack_weights(weights, vocabulary)
 
