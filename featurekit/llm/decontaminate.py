@@ -3,8 +3,9 @@
 Texts become canonical tokens: numbers, names (capitalised inside a sentence) and units
 (after a number) turn into typed placeholders, other words into their lower-cased letters.
 Windows of canonical tokens are joined by hash. Hits on one diagonal (place in the document
-less place in the item) form a match; in a match each original value of a placeholder must
-stand for one value only, in both directions, or the match is a chance one.
+less place in the item) form a match. In a match each original value of a placeholder must
+stand for one value only; if one does not, only the equal tokens count, and they must be most
+of the match, or it is a chance one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurekit.llm.tables import id_and_text, written
@@ -23,6 +24,8 @@ WINDOW = 8
 #: A match counts if it covers this share of its item, or this many tokens.
 LEAST_SHARE = 0.5
 LONG_RUN = 13
+#: A match in which a value stands for several needs this share of equal tokens.
+NEAR_SHARE = 0.75
 
 # Units after a number.
 UNITS = (
@@ -213,10 +216,16 @@ def leaks(
     def distinct(*parts: str):
         return F.size(F.array_distinct(F.transform(filled, lambda x: F.struct(*[x[p].alias(p) for p in parts]))))
 
-    consistent = (distinct("item") == distinct("item", "doc")) & (distinct("doc") == distinct("item", "doc"))
-    matched = F.size("covered")
+    def places(kept: Column):
+        return F.size(F.array_distinct(F.transform(kept, lambda x: x["place"])))
+
+    consistent = distinct("item") == distinct("item", "doc")
+    covering = places(F.col("covered"))
+    equal = places(F.filter("covered", lambda x: x["item"] == x["doc"]))
+    diagonal = diagonal.withColumn("matched", F.when(consistent, covering).when(equal >= NEAR_SHARE * covering, equal).otherwise(0))
+    matched = F.col("matched")
     enough = (matched >= least_share * F.col("n_item")) | (matched >= long_run)
-    good = diagonal.where(enough & consistent).select(
+    good = diagonal.where((matched > 0) & enough).select(
         "doc_id", "item_id", "n_item", matched.alias("n_matched"),
         (F.col("diagonal") + F.get("covered", F.lit(0))["place"]).alias("first_token"),
         F.size(F.filter(filled, lambda x: x["item"] != x["doc"])).alias("changed"),

@@ -244,6 +244,23 @@ def test_leaks_on_odd_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 3]
 
 
+def leaks_of(spark, item, docs):
+    found = decontaminate.leaks(frame(spark, enumerate(docs)), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    return {r["doc_id"]: (r["n_matched"], r["changed"]) for r in found.collect()}
+
+
+def test_leaks_with_inconsistent_slots(spark):
+    words = item_words(random.Random(5), 60).split()
+    words[10], words[40] = "2", "2"
+    leak, other = list(words), list(words)
+    leak[40] = "3"
+    other[10], other[40] = "3", "5"
+    again = "the first box holds 3 red stones and the second box holds 5 blue stones in all"
+    same = "the first box holds 4 red stones and the second box holds 4 blue stones in all"
+    assert leaks_of(spark, " ".join(words), [" ".join(leak), " ".join(other)]) == {0: (59, 1), 1: (58, 2)}
+    assert leaks_of(spark, again, [same]) == {0: (17, 2)}
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
