@@ -2,14 +2,16 @@
 
 Texts become canonical tokens: numbers, names (capitalised inside a sentence) and units
 (after a number) turn into typed placeholders, other words into their lower-cased letters.
-Windows of canonical tokens are joined by hash. Hits on one diagonal (place in the document
-less place in the item) form a match. In a match each original value of a placeholder must
-stand for one value only; if one does not, only the equal tokens count, and they must be most
-of the match, or it is a chance one.
+Windows of canonical tokens are joined by hash, and so are windows of the lower-cased words
+themselves, so that word-for-word copies are found whatever their placeholders and their case.
+Hits on one diagonal (place in the document less place in the item) form a match. In a match
+each original value of a placeholder must stand for one value only; if one does not, only the
+equal tokens count, and they must be most of the match, or it is a chance one.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,13 +112,17 @@ def windows(tokens: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+_RAW = np.uint64(0x5D1B8FA3C4E7)  # tells windows of words from windows of canonical tokens
+
+
 _WINDOWS = "id long, hash long, pos int, values array<long>, n_tokens int"
 
 
 def _window_rows(texts: DataFrame, widths: dict[int, int] | None, width: int, wanted: bytes | None) -> DataFrame:
-    """(id, hash, pos, values, n_tokens). Of items (``wanted`` is None), the windows that are
-    no more than half placeholders, or one for the whole item if it is shorter. Of
-    documents, the windows of all widths in use that the filter lets through."""
+    """(id, hash, pos, values, n_tokens). Of items (``wanted`` is None), the windows of words
+    and the canonical ones that are no more than half placeholders, or those of the whole item
+    if it is shorter. Of documents, the windows of all widths in use that the filter lets
+    through. values: what is behind the placeholders; in a window of words, the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little").view(bool)
@@ -124,22 +130,25 @@ def _window_rows(texts: DataFrame, widths: dict[int, int] | None, width: int, wa
             tokens, values, first = canonical(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             parts = []
-            for w in sorted(widths) if widths else range(1, width + 1):
-                found = windows(tokens, w)
+            raw = np.where(values != 0, values, tokens)
+            kinds = ((tokens, values, np.uint64(0)), (raw, raw, _RAW))
+            for w, (kind, behind, sign) in itertools.product(sorted(widths) if widths else range(1, width + 1), kinds):
+                found = windows(kind, w) ^ sign
                 if not len(found):
                     continue
                 at = np.arange(len(found))
                 owner = np.searchsorted(first, at, "right") - 1
                 sizes = first[owner + 1] - first[owner]
                 keep = at + w <= first[owner + 1]
-                if bits is None:
-                    slots = np.r_[0, np.cumsum(values != 0)]
-                    plain = w - (slots[at + w] - slots[at])
-                    keep &= (sizes == w) if w < width else (2 * plain >= w)
-                else:
+                if bits is not None:
                     keep &= bits[(found & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+                elif w < width:
+                    keep &= sizes == w
+                elif not sign:
+                    slots = np.r_[0, np.cumsum(values != 0)]
+                    keep &= 2 * (w - (slots[at + w] - slots[at])) >= w
                 at = at[keep]
-                parts.append((ids[owner[keep]], found[keep], at - first[owner[keep]], values[at[:, None] + np.arange(w)].ravel(), np.full(len(at), w), sizes[keep]))
+                parts.append((ids[owner[keep]], found[keep], at - first[owner[keep]], behind[at[:, None] + np.arange(w)].ravel(), np.full(len(at), w), sizes[keep]))
             if not parts:
                 continue
             owner, found, pos, slots, widths_of, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -186,10 +195,11 @@ def leaks(
     """(doc_id, item_id, n_item, n_matched, first_token, changed): documents that hold a
     benchmark item, the best match of each pair.
 
-    n_item and n_matched count canonical tokens of the item and of those on the diagonal
-    that matching windows cover; changed counts placeholders whose value differs from the
-    item's. Items of fewer than ``width`` tokens must match whole; items that are mostly
-    placeholders throughout have no window and are not found. Null and empty texts on
+    n_item and n_matched count tokens of the item and of those on the diagonal that matching
+    windows cover; changed counts placeholders whose value differs from the item's. If a value
+    of the item stands for several in the document, n_matched counts the equal tokens only.
+    Items of fewer than ``width`` tokens must match whole; items that are mostly placeholders
+    throughout are found word for word only, in any case of letters. Null and empty texts on
     either side match nothing; rows without an id are left out; rows that repeat an id count
     once. Texts of any length are searched whole. The items are joined, not broadcast by
     hand, so a large benchmark shuffles.

@@ -261,6 +261,13 @@ def test_leaks_with_inconsistent_slots(spark):
     assert leaks_of(spark, again, [same]) == {0: (17, 2)}
 
 
+def test_leaks_of_items_that_are_mostly_placeholders(spark):
+    sums = "Compute 12 + 34 + 56 + 78 + 90 + 11 + 13 + 15 + 17"
+    capitals = "Paris London Rome Berlin Madrid Vienna Oslo Lisbon Prague"
+    assert set(leaks_of(spark, sums, [f"so {sums} now", "Compute 1 + 2 + 3 + 4 + 5 + 6 + 7 + 8 + 9"])) == {0}
+    assert set(leaks_of(spark, capitals, [f"we saw {capitals} then", "Paris Rome"])) == {0}
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
