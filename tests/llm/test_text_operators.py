@@ -268,6 +268,14 @@ def test_leaks_of_items_that_are_mostly_placeholders(spark):
     assert set(leaks_of(spark, capitals, [f"we saw {capitals} then", "Paris Rome"])) == {0}
 
 
+def test_leaks_after_quotes_and_in_another_case(spark):
+    short, long = "What is the capital of France?", "What is the long name of the river that runs through Paris and Rouen"
+    docs = ['he asked, "{}" of us', 'the stop." {} and so on', "(see {})"]
+    for item in (short, long):
+        texts = [d.format(x) for d in docs for x in (item, item.lower(), item.upper())]
+        assert set(leaks_of(spark, item, [*texts, "nothing of it here"])) == set(range(9))
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
