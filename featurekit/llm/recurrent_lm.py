@@ -36,6 +36,8 @@ LANES, WINDOW, RATE = 256, 24, 0.08
 PASSES, SHARE = 1, 1
 #: Tokens of a training task on average at least: each task hands on a change of all weights.
 TASK_TOKENS = 4_000_000
+#: Numbers of a piece of the weights, as they are summed and sent to the driver.
+PIECE = 1 << 20
 #: Scoring: lanes, steps of a window, and bytes of text that are scored together.
 SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 128, 64, 12 << 20
 
@@ -149,7 +151,7 @@ def shapes(classes: int, size: int) -> dict[str, tuple[int, ...]]:
 
 
 def pack_weights(weights: dict[str, np.ndarray]) -> bytes:
-    return b"".join(weights[k].astype("<f4").tobytes() for k in shapes(1, 1))
+    return np.concatenate([weights[k].ravel() for k in shapes(1, 1)], dtype="<f4").tobytes()
 
 
 def unpack_weights(data: bytes, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -164,7 +166,7 @@ def unpack_weights(data: bytes, vocabulary: Vocabulary) -> dict[str, np.ndarray]
 def first_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Small random weights, and biases that give the counts' own distribution."""
     rng = np.random.default_rng(7)
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(*vocabulary.frequent.shape).items()}
+    out = {k: rng.standard_normal(s, np.float32) * np.float32(0.1) for k, s in shapes(*vocabulary.frequent.shape).items()}
     out["members"] *= 0.1
     share = vocabulary.class_counts + 0.5
     out["class_bias"] = np.log(share / share.sum()).astype(np.float32)
@@ -341,22 +343,36 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.Re
         yield waiting
 
 
+_PIECES = "piece int, weights binary, n long"
+
+
+def _pieces(flat: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(flat), PIECE):
+        yield _piece(i // PIECE, flat[i : i + PIECE], n)
+
+
+def _piece(i: int, part: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype("<f4").tobytes()], pa.binary()), pa.array([n])], names=["piece", "weights", "n"])
+
+
 def _mean(rows: DataFrame, n: int) -> bytes | None:
-    """The mean of weights (weights, n), by their n; summed in two levels, in streams."""
+    """The mean of weights in pieces, by their n; summed in two levels, in streams. The
+    driver takes one piece after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = None, 0
+        sums: dict[int, tuple[np.ndarray, int]] = {}
         for batch in batches:
-            for data, k in zip(batch.column("weights").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for i, data, k in zip(*(batch.column(c).to_pylist() for c in ("piece", "weights", "n")), strict=True):
                 part = np.frombuffer(data, "<f4").astype(np.float64) * k
-                total, count = part if total is None else total + part, count + k
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / count).astype("<f4").tobytes()], pa.binary()), pa.array([count])], names=["weights", "n"])
+                sums[i] = (sums[i][0] + part, sums[i][1] + k) if i in sums else (part, k)
+        for i, (part, k) in sums.items():
+            yield _piece(i, part / k, k)
 
-    for parts in (max(1, math.isqrt(n)), 1):
-        rows = rows.repartition(parts).mapInArrow(run, "weights binary, n long")
-    row = rows.first()
-    return bytes(row["weights"]) if row else None
+    each = max(1, math.isqrt(n))
+    rows = rows.repartition(each).mapInArrow(run, _PIECES)
+    rows = rows.repartition(each, "piece").mapInArrow(run, _PIECES)
+    found = {row["piece"]: bytes(row["weights"]) for row in rows.toLocalIterator()}
+    return b"".join(found[i] for i in sorted(found)) or None
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share: float = SHARE) -> dict[str, np.ndarray]:
@@ -370,7 +386,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share:
     parts = round(1 / share)
     for i in range(min(passes, parts)):
         chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i)
-        chosen = chosen.coalesce(max(1, int(vocabulary.total * share) // TASK_TOKENS))
+        tasks = max(1, int(vocabulary.total * share) // TASK_TOKENS)
+        chosen = chosen.coalesce(tasks)
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -383,13 +400,12 @@ def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share:
                 seen += len(token)
             if seen:
                 change = np.frombuffer(pack_weights(trainer.w), "<f4") - np.frombuffer(sent.value, "<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([change.tobytes()], pa.binary()), pa.array([seen])], names=["weights", "n"])
+                yield from _pieces(change, seen)
 
-        trained = written(chosen.mapInArrow(run, "weights binary, n long"))
-        change = _mean(trained, trained.count())
+        change = _mean(chosen.mapInArrow(run, _PIECES), tasks)  # kept by its shuffle only
         if change:
             weights = (np.frombuffer(weights, "<f4") + np.frombuffer(change, "<f4")).tobytes()
-        sent.unpersist()
+        sent.destroy()
     return unpack_weights(weights, vocabulary)
 
 
