@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from featurekit.llm import (
     decontaminate,
+    fingerprints,
     jaccard,
     license_scan,
     line_dedup,
     neighbours,
     packing,
+    periodic_runs,
     quality,
     recurrent_lm,
     token_counts,
     url_reputation,
+    whitening,
 )
 
 
@@ -92,6 +95,18 @@ def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_redacted(_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
 
 
+def periodic_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.repeated_tails(_table(spark, sf_dir, "documents")))
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.quantised(_table(spark, sf_dir, "embeddings")))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_collision_counting_ann": nearest_neighbours,
@@ -104,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scans,
         "op9_recurrent_lm": language_model,
         "op10_edited_token_counts": edited_token_counts,
+        "op11_periodic_runs": periodic_run_report,
+        "op12_embedding_whitening": embedding_whitening,
+        "op13_document_fingerprints": document_fingerprints,
     }
 
 

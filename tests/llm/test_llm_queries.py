@@ -21,8 +21,11 @@ COLUMNS = {
     "op7": "doc_id piece start length ids_crc32 sequence_id offset",
     "op8": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op9": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12": "vec_id component n deviation whitened explained identity_error",
+    "op13": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
-PER_DOCUMENT = ("op5", "op6", "op8", "op9", "op10")
+PER_DOCUMENT = ("op5", "op6", "op8", "op9", "op10", "op11", "op13")
 
 
 def cells(pdf):
