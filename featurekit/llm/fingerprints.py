@@ -9,14 +9,17 @@ have.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurekit.llm.tables import id_and_text
-from featurekit.llm.words import _power_tables, mix
+from featurekit.llm.words import _power_tables, mix, slices
 
 #: Bytes that decide whether a chunk ends here.
 WINDOW = 7
@@ -151,11 +154,12 @@ def likeness(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def with_next(table: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
+def with_next(table: DataFrame, order: str, values: dict[str, str], numbers: DataFrame | None = None) -> DataFrame:
     """The table with values of the row that follows each row by a whole-number column; the
     last row is followed by the first, a single one by itself.
 
-    values: new column -> column to read from the next row. Null numbers come first; rows with
+    values: new column -> column to read from the next row. numbers: a table with the same
+    numbers that is cheaper to read for the bounds. Null numbers come first; rows with
     the same number stand by the values read. The numbers are cut into ranges whose bounds come
     from a sketch of them; the first row of each range is also sent to the range before it, so
     every row finds its follower inside its range. Rows with the same number share a range.
@@ -166,22 +170,26 @@ def with_next(table: DataFrame, order: str, values: dict[str, str]) -> DataFrame
     place = F.coalesce(number.cast("double"), F.lit(float("-inf")))
     # At most ``wanted`` bounds, and as many first numbers, come to the driver.
     shares = [i / wanted for i in range(1, wanted)]
-    bounds = table.agg(F.percentile_approx(place, shares, max(10_000, 10 * wanted))).first()[0]
+    numbers = table if numbers is None else numbers
+    bounds = numbers.agg(F.percentile_approx(place, shares, max(10_000, 10 * wanted))).first()[0]
     inner = sorted({b for b in bounds or () if b > float("-inf")})
     packed = table.select(number.alias("number"), place.alias("place"), F.struct("*").alias("row"))
-    if inner:
-        splits = [float("-inf"), *inner, float("inf")]
-        packed = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(packed)
-    else:
-        packed = packed.withColumn("range", F.lit(0.0))
+    splits = [float("-inf"), *inner, float("inf")]
+
+    def ranged(df: DataFrame) -> DataFrame:
+        if not inner:
+            return df.withColumn("range", F.lit(0.0))
+        return Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(df)
+
     lowest = F.min(F.struct(F.col("number").isNotNull().alias("known"), "number"))
-    first = sorted((r["range"], r["low"]["number"]) for r in packed.groupBy("range").agg(lowest.alias("low")).collect())
+    lows = ranged(numbers.select(number.alias("number"), place.alias("place"))).groupBy("range").agg(lowest.alias("low")).collect()
+    first = sorted((r["range"], r["low"]["number"]) for r in lows)
     known = F.broadcast(
         spark.createDataFrame([(r, n, first[i - 1][0]) for i, (r, n) in enumerate(first)], "range double, first long, before double")
     )
     here = F.struct("range", F.lit(False).alias("copy"))
     there = F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
-    sent = packed.join(known, "range").select(
+    sent = ranged(packed).join(known, "range").select(
         "number", "row", F.explode(F.when(F.col("number").eqNullSafe(F.col("first")), F.array(here, there)).otherwise(F.array(here))).alias("to")
     )
     read = [F.col("row")[c] for c in values.values()]
@@ -195,39 +203,54 @@ def with_next(table: DataFrame, order: str, values: dict[str, str]) -> DataFrame
 
 
 def compare_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of texts and of their edited texts, one row per row of docs: doc_id, text,
+    """Fingerprints of texts and of their edited texts, one row per row of docs: doc_id, n_chars,
     edited, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter (rounded down, in characters) replaced by as many first
     characters of the next document by id, or by all of it if it is shorter. near_next compares
     with the next document. Null texts are empty, and so is their edited text; equal texts have
-    equal fingerprints and a likeness of 1. Repeated ids follow one another by their texts, null
-    ids come first; an empty table gives an empty one; other columns are not read. A text of any
-    length is held by one task, with some ten bytes a byte.
+    equal fingerprints and a likeness of 1. Repeated ids follow one another in a fixed order of
+    their texts, null ids come first; an empty table gives an empty one; other columns are not
+    read. A text of any length is held by one task, with some ten bytes a byte. Texts move once,
+    each compressed by itself, as the rows of a shuffle block have too little in common.
     """
-    read = id_and_text(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
-    own = read.withColumn("fingerprint", fingerprints(F.col("text")))
-    found = with_next(own, "doc_id", {"next_text": "text", "next_fingerprint": "fingerprint"})
-    n = F.char_length("text")
-    new = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - new), F.substring("next_text", F.lit(1), new))
-    found = found.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprints(F.col("edited")))
-    return found.select(
-        "doc_id",
-        "text",
-        "edited",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            data = [t.encode() for t in texts]
+            packed = [codec.compress(t, asbytes=True) for t in data]
+            columns = [pa.array([len(t) for t in data], pa.int64()), pa.array(packed, pa.binary()), pa.array(map(fingerprint, texts), pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "size", "packed", "fingerprint"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in slices(batches, "packed"):
+            rows = []
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names[1:]), strict=True):
+                size, packed, own, next_size, next_packed, following = row
+                text, after = (codec.decompress(p, n, asbytes=True).decode() for p, n in ((packed, size), (next_packed, next_size)))
+                new = len(text) // 4
+                edited = text[: len(text) - new] + after[:new]
+                changed = fingerprint(edited)
+                rows.append((len(text), edited, own, changed, likeness_of(own, changed), likeness_of(own, following)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    own = id_and_text(docs, doc_id, text).mapInArrow(pack, "doc_id long, size long, packed binary, fingerprint string")
+    following = {"next_size": "size", "next_packed": "packed", "next_fingerprint": "fingerprint"}
+    schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return with_next(own, "doc_id", following, id_and_text(docs, doc_id, text)).mapInArrow(compare, schema)
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints and likenesses with a digest of the edited text in place of the texts."""
+    """Fingerprints and likenesses with a digest of the edited text in place of the text."""
     return compare_edited(docs).select(
         "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
+        "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
