@@ -100,7 +100,7 @@ def periodic_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whitening.whiten(whitening.quantised(_table(spark, sf_dir, "embeddings")))
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=64, base=1_000_000, vector="embedding")
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,39 +165,62 @@ class Spectrum:
         return part, len(self.values), self.n, [int(s) for s in self.sums], self.values.tolist(), self.basis.ravel().tolist()
 
 
-def _valid(column: str) -> str:
-    return f"{column} IS NOT NULL AND size({column}) > 0 AND NOT exists({column}, x -> x IS NULL)"
+def _entries(batch: pa.RecordBatch, scale: float | None, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each dimension, the numbers of the rows whose vectors take part, and their whole numbers."""
+    column = batch.column("vector")
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = column.flatten(), np.cumsum(size)
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    if pa.types.is_integer(flat.type) and scale is None:
+        numbers = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + base
+    else:
+        cells = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        cells = np.floor(cells * (1 if scale is None else scale))
+        known = known & (np.abs(cells) < 2.0**62)  # false for NaN
+        numbers = np.where(known, cells, 0).astype(np.int64) + base
+    bad = np.append(0, np.cumsum(~known))
+    whole = (size > 0) & (bad[ends] == bad[ends - size])
+    for d in np.unique(size[whole]):
+        rows = np.flatnonzero(whole & (size == d))
+        yield rows, numbers[(ends[rows] - d)[:, None] + np.arange(d)]
 
 
-def _matrices(batch: pa.RecordBatch, dimension: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and matrix of the batch's vectors, one pair for each dimension in it."""
-    column = batch.column("vector")
-    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(size)
-    for d in np.unique(size) if dimension is None else [dimension]:
-        rows = np.flatnonzero(size == d)
-        if len(rows):
-            yield rows, flat[(ends[rows] - d)[:, None] + np.arange(d)]
-
-
-def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    found: dict[int, Spectrum] = {}
-    waiting: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for _, matrix in _matrices(batch):
-            d = matrix.shape[1]
-            held = np.concatenate([*waiting.pop(d, []), matrix])
-            spectrum = found.setdefault(d, Spectrum(d))
-            whole = len(held) // (FOLD * d) * FOLD * d
-            for at in range(0, whole, FOLD * d):
-                spectrum.add(held[at : at + FOLD * d])
-            waiting[d] = [held[whole:]]
-    for d, rest in waiting.items():
-        found[d].add(rest[0])
-    if found:
-        yield _batch([s.row(TaskContext.get().partitionId()) for s in found.values()])
+class _Vectors:
+    """A table (vec_id, vector) and how its entries become whole numbers."""
+
+    def __init__(self, table: DataFrame, scale: float | None, base: int):
+        self.table, self.scale, self.base = table, scale, base
+
+    def entries(self, dimension: int | None = None):
+        scale, base = self.scale, self.base
+
+        def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            return (x for x in _entries(batch, scale, base) if dimension is None or x[1].shape[1] == dimension)
+
+        return read
+
+
+def _spectra(read):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found: dict[int, Spectrum] = {}
+        waiting: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, matrix in read(batch):
+                d = matrix.shape[1]
+                held = np.concatenate([waiting[d], matrix]) if d in waiting else matrix
+                spectrum = found.setdefault(d, Spectrum(d))
+                whole = len(held) // (FOLD * d) * FOLD * d
+                for at in range(0, whole, FOLD * d):
+                    spectrum.add(held[at : at + FOLD * d])
+                waiting[d] = held[whole:]
+        for d, rest in waiting.items():
+            found[d].add(rest)
+        if found:
+            yield _batch([s.row(TaskContext.get().partitionId()) for s in found.values()])
+
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -222,20 +245,22 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([spectrum.row(int(group["part"].iloc[0]) // FAN_IN)], columns=columns)
 
 
-def _sum_of_products(vectors: DataFrame, project, dimension: int, size: int) -> np.ndarray:
+def _sum_of_products(vectors: _Vectors, project, dimension: int, size: int) -> np.ndarray:
     """Sum over all rows of p p', for p the row's ``size`` projections: one matrix per task,
     added up by Spark; size * size numbers come to the driver."""
 
+    read = vectors.entries(dimension)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
-            for _, matrix in _matrices(batch, dimension):
+            for _, matrix in read(batch):
                 p = project(matrix)
                 total += p.T @ p
         cell = np.flatnonzero(np.triu(np.ones((size, size))))
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total.ravel()[cell])], names=["cell", "total"])
 
-    sums = vectors.mapInArrow(run, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
+    sums = vectors.table.select("vector").mapInArrow(run, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
     out = np.zeros(size * size)
     out[sums["cell"].to_numpy()] = sums["total"].to_numpy()
     out = out.reshape(size, size)
@@ -276,11 +301,10 @@ class Whitening:
         return (self.centred(matrix).astype(np.float64) @ self.vectors[:components].T) / scale
 
 
-def fit(vectors: DataFrame) -> Whitening | None:
-    """The eigendecomposition of the covariance (divisor n) of a column ``vector`` of
-    array<long>. The commonest length counts (ties: the longer one); None without any row."""
-    spark = vectors.sparkSession
-    parts = written(vectors.select("vector").mapInArrow(_spectra, _SPECTRUM))
+def fit(vectors: _Vectors) -> Whitening | None:
+    """The eigendecomposition of the covariance (divisor n) of the vectors. The commonest
+    length counts (ties: the longer one); None without any row."""
+    parts = written(vectors.table.select("vector").mapInArrow(_spectra(vectors.entries()), _SPECTRUM))
     sizes = parts.groupBy("dimension").agg(F.sum("n").alias("n"), F.max("part").alias("last")).collect()
     if not sizes:
         return None
@@ -300,7 +324,7 @@ def fit(vectors: DataFrame) -> Whitening | None:
     def project(matrix: np.ndarray) -> np.ndarray:
         return centred(matrix).astype(np.float64) @ basis
 
-    covariance = _sum_of_products(vectors.select("vector"), project, d, d) / model.n
+    covariance = _sum_of_products(vectors, project, d, d) / model.n
     values, turn = np.linalg.eigh(covariance)
     model.trace = float(np.trace(covariance))
     model.values, model.vectors = np.maximum(values[::-1], 0.0), (basis @ turn[:, ::-1]).T
@@ -313,21 +337,31 @@ def fit(vectors: DataFrame) -> Whitening | None:
 _WHITE = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
-def whiten(vectors: DataFrame, components: int = COMPONENTS, *, vec_id: str = "vec_id", vector: str = "vector") -> DataFrame:
+def whiten(
+    vectors: DataFrame,
+    components: int = COMPONENTS,
+    *,
+    scale: float | None = None,
+    base: int = 0,
+    vec_id: str = "vec_id",
+    vector: str = "vector",
+) -> DataFrame:
     """Whitened vectors, one row per vector and component: vec_id, component (from 1, by
     falling eigenvalue), n (vectors taken), deviation (the sum over dimensions of (n x - S)^2, S the
     sums; null where a long does not hold it), whitened, explained (the eigenvalue's share of all), and
     identity_error (of all whitened vectors: the greatest entry of their covariance minus the identity).
 
-    vector: array of whole numbers. Null and empty vectors and those that hold a null take no part,
-    nor do those of another length than the commonest (ties: the longer). Repeated rows count as
-    often as they stand; a null id stays null. Directions in which all vectors agree have
-    null in whitened and take no part in identity_error; if there is no other, that is null, and
-    explained too where nothing varies. An empty table gives an empty one; other columns are not read.
+    vector: array of numbers; entry c becomes the whole number x = floor(scale * c) + base, computed
+    in double precision, so that sums and means are exact. Null and empty vectors and those that
+    hold a null, an entry that is not finite or one beyond 2^62 take no part, nor do those of another
+    length than the commonest (ties: the longer). Repeated rows count as often as they stand; a null
+    id stays null. Directions in which all vectors agree have null in whitened and take no part in
+    identity_error; if there is no other, that is null, and explained too where nothing varies. An
+    empty table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
-    read = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<long>").alias("vector"))
-    read = read.where(_valid("vector"))
+    table = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
+    read = _Vectors(table, scale, base)
     model = fit(read)
     if model is None:
         return spark.createDataFrame([], _WHITE)
@@ -336,13 +370,14 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, *, vec_id: str = "v
     varied = int((model.values[:shown] > NEGLIGIBLE * model.values[0]).sum()) if model.values[0] > 0 else 0
     error = None
     if varied:
-        products = _sum_of_products(read.select("vector"), lambda m: model.whitened(m, varied), d, varied)
+        products = _sum_of_products(read, lambda m: model.whitened(m, varied), d, varied)
         error = float(np.abs(products / model.n - np.eye(varied)).max())
+    entries = read.entries(d)
     share = (model.values[:shown] / model.trace).tolist() if model.trace > 0 else [None] * shown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, matrix in _matrices(batch, d):
+            for rows, matrix in entries(batch):
                 ids = batch.column("vec_id").take(pa.array(rows))
                 at = pa.array(np.repeat(np.arange(len(rows)), shown))
                 white = np.full((len(rows), shown), np.nan)
@@ -358,7 +393,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, *, vec_id: str = "v
                     names=["vec_id", "component", "deviation", "whitened", "explained"],
                 )
 
-    found = read.mapInArrow(run, "vec_id long, component int, deviation long, whitened double, explained double")
+    found = table.mapInArrow(run, "vec_id long, component int, deviation long, whitened double, explained double")
     return found.select(
         "vec_id",
         "component",
@@ -368,13 +403,3 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, *, vec_id: str = "v
         "explained",
         F.lit(error).cast("double").alias("identity_error"),
     )
-
-
-def quantised(embeddings: DataFrame, column: str = "embedding", scale: int = 64, base: int = 1_000_000) -> DataFrame:
-    """vec_id and vector: floor(scale * c) + base of each entry c in double precision; null for
-    vectors that are null or hold a null or an entry that is not finite (an entry beyond a long
-    becomes null)."""
-    c = F.col(f"`{column}`")
-    odd = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(c, lambda x: F.try_add(F.floor(x.cast("double") * scale), F.lit(base).cast("long")))
-    return embeddings.select("vec_id", F.when(~odd, whole).alias("vector"))

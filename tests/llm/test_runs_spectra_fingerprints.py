@@ -199,9 +199,18 @@ def test_whiten_without_variance_and_empty(spark):
     assert whitening.whiten(vectors(spark, [None, []])).count() == 0
     wide = whitening.whiten(vectors(spark, [[0], [2**40], [2**41]])).collect()
     assert {r.deviation for r in wide} == {None, 0}
-    rows = [(1, [0.5, -0.01]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, float("-inf")]), (6, [1e30, 0.0])]
+
+
+def test_whiten_floors_scaled_entries(spark):
+    inf = float("inf")
+    rows = [(1, [0.5, -0.01]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, -inf]), (6, [1e30, 0.0]), (7, []), (8, [0.25, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert [r.vector for r in whitening.quantised(table).orderBy("vec_id").collect()] == [[1000032, 999999], None, None, None, None, [None, 1000000]]
+    found = whitening.whiten(table, scale=64, base=1_000_000, vector="embedding").toPandas()
+    x = np.array([[1_000_032, 999_999], [1_000_016, 1_000_032]])
+    deviation = ((2 * x - x.sum(axis=0)) ** 2).sum(axis=1)
+    assert found.sort_values(["vec_id", "component"])["vec_id"].tolist() == [1, 1, 8, 8]
+    assert set(found["deviation"]) == set(deviation.tolist()) and set(found["n"]) == {2}
+    assert np.allclose(found[found["component"] == 1]["whitened"].abs(), 1)
 
 
 # --- fingerprints ----------------------------------------------------------------------------
