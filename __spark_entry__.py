@@ -337,6 +337,60 @@ def _gbdt_stump(spark, sf_dir):
     return _rounded(found, 6, "threshold", "left_value", "right_value")
 
 
+def _stumps(model, digits: int = 6) -> DataFrame:
+    """A row per tree: its one split and the values of both sides."""
+    spark = SparkSession.getActiveSession()
+    rows = [
+        (i, model.features[t["feature"][0]], float(t["cut"][0]), float(t["value"][1]), float(t["value"][2]))
+        for i, t in enumerate(model.trees)
+    ]
+    found = spark.createDataFrame(
+        rows, "tree int, feature string, threshold double, left_value double, right_value double"
+    )
+    return _rounded(found, digits, "threshold", "left_value", "right_value")
+
+
+def _gbdt_exact(spark, sf_dir):
+    """Every distinct price is a cut."""
+    items = _table(spark, sf_dir, "lineitem").select(
+        "l_extendedprice",
+        "l_tax",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 100000).alias("net"),
+    )
+    return _stumps(
+        fk.xgb_train(
+            items, "net", objective="reg:squarederror", num_boost_round=1, max_depth=1, tree_method="exact"
+        )
+    )
+
+
+def _gbdt_approx(spark, sf_dir):
+    """The first tree gives rows unequal weights, which move the quantiles of the second one."""
+    items = _table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_discount", (F.col("l_extendedprice") > 40000).cast("int").alias("big")
+    )
+    return _stumps(fk.xgb_train(items, "big", num_boost_round=2, max_depth=1, tree_method="approx"))
+
+
+def _gbdt_two_rounds(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_discount", (F.col("l_extendedprice") > 40000).cast("int").alias("big")
+    )
+    return _stumps(fk.xgb_train(items, "big", num_boost_round=2, max_depth=1))
+
+
+def _rf_determined(spark, sf_dir):
+    """The label follows from the feature: trees on any draw of the rows agree."""
+    items = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") * F.col("l_quantity") + 3).alias("square")
+    )
+    df = fk.with_roles(items, ids=["l_orderkey", "l_linenumber"], labels=["square"])
+    model = fk.lgbm_train(
+        df, "square", objective="regression", boosting_type="rf", n_estimators=3, num_leaves=60
+    )
+    return _rounded(fk.lgbm_predict(df, model, save_id=True, col_names=["l_linenumber", "l_quantity"]), 3, "pred")
+
+
 def _quantity_prices(spark, sf_dir):
     return fk.with_roles(
         _table(spark, sf_dir, "lineitem").select(
@@ -693,6 +747,53 @@ _STUMP_SQL = """WITH src AS (
         round(-0.3 * gr / (hr + 1) + 1e-9, 6) AS right_value FROM best"""
 
 
+_EXACT_SQL = """WITH src AS (
+        SELECT l_extendedprice, l_tax, l_extendedprice * (1 - l_discount) / 100000 AS y FROM lineitem),
+    v AS (SELECT 'l_extendedprice' AS feature, l_extendedprice AS x, sum(0.5 - y) AS g, count(*) AS h FROM src GROUP BY 2
+        UNION ALL SELECT 'l_tax', l_tax, sum(0.5 - y), count(*) FROM src GROUP BY 2),
+    c AS (SELECT feature, x, sum(g) OVER (PARTITION BY feature ORDER BY x) AS gl, sum(h) OVER (PARTITION BY feature ORDER BY x) AS hl,
+        sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht FROM v),
+    best AS (SELECT *, gt - gl AS gr, ht - hl AS hr FROM c WHERE hl < ht
+        ORDER BY gl * gl / (hl + 1) + (gt - gl)**2 / (ht - hl + 1) - gt**2 / (ht + 1) DESC, feature, x LIMIT 1)
+    SELECT 0 AS tree, feature, round(x + 1e-9, 6) AS threshold, round(-0.3 * gl / (hl + 1) + 1e-9, 6) AS left_value,
+        round(-0.3 * gr / (hr + 1) + 1e-9, 6) AS right_value FROM best"""
+
+
+def _rounds_sql(weighted: bool) -> str:
+    """Two logistic trees of one split each; cuts are quantiles, weighted by the curvature
+    of the round or not."""
+    features = ("l_quantity", "l_discount")
+    parts = ["r0 AS (SELECT l_quantity, l_discount, CAST(l_extendedprice > 40000 AS INT) AS y, 0.0::DOUBLE AS m FROM lineitem)"]
+    for i in (0, 1):
+        values = " UNION ALL ".join(
+            f"SELECT '{f}' AS f, {f} AS x, sum(p - y) AS g, sum(p * (1 - p)) AS h FROM p{i} GROUP BY {f}" for f in features
+        )
+        if weighted:
+            cuts = f"SELECT f, min(x) AS x FROM c{i}, range(1, 10) t(k) WHERE hl * (1 + 1e-9) >= ht * (k / 10.0) GROUP BY f, k"
+        else:
+            ninths = ", ".join(f"{k}/9" for k in range(9))
+            cuts = " UNION ALL ".join(f"SELECT '{f}', unnest(quantile_cont({f}, [{ninths}])) FROM r0" for f in features)
+        side = "CASE f " + " ".join(f"WHEN '{f}' THEN {f}" for f in features) + " END"
+        parts += [
+            f"p{i} AS (SELECT *, 1 / (1 + exp(-m)) AS p FROM r{i})",
+            f"v{i} AS ({values})",
+            f"""c{i} AS (SELECT *, sum(g) OVER (PARTITION BY f ORDER BY x) AS gl, sum(h) OVER (PARTITION BY f ORDER BY x) AS hl,
+                sum(g) OVER (PARTITION BY f) AS gt, sum(h) OVER (PARTITION BY f) AS ht, max(x) OVER (PARTITION BY f) AS top FROM v{i})""",
+            f"q{i}(f, x) AS (SELECT DISTINCT * FROM ({cuts}))",
+            f"""b{i} AS (SELECT f, q{i}.x, max_by(gl, c{i}.x) AS gl, max_by(hl, c{i}.x) AS hl, max(gt) AS gt, max(ht) AS ht
+                FROM c{i} JOIN q{i} USING (f) WHERE c{i}.x <= q{i}.x AND q{i}.x < top GROUP BY f, q{i}.x),
+            t{i} AS (SELECT f, x, -0.3 * gl / (hl + 1) AS vl, -0.3 * (gt - gl) / (ht - hl + 1) AS vr FROM b{i} WHERE hl >= 1 AND ht - hl >= 1
+                ORDER BY gl * gl / (hl + 1) + (gt - gl)**2 / (ht - hl + 1) DESC LIMIT 1)""",
+            f"r{i + 1} AS (SELECT {', '.join(features)}, y, m + CASE WHEN {side} <= x THEN vl ELSE vr END AS m FROM r{i}, t{i})",
+        ]
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS tree, f AS feature, round(x + 1e-9, 6) AS threshold, round(vl + 1e-9, 6) AS left_value,"
+        f" round(vr + 1e-9, 6) AS right_value FROM t{i}"
+        for i in (0, 1)
+    )
+    return f"WITH {', '.join(parts)} {rows}"
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return _profile_joined(spark, SMOKE_DIR)
 
@@ -733,6 +834,18 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "lr_logistic_groups": _lr_logistic_groups,
         "gbdt_stump": _gbdt_stump,
+        "gbdt_exact": _gbdt_exact,
+        "gbdt_approx": _gbdt_approx,
+        "gbdt_two_rounds": _gbdt_two_rounds,
+        "rf_determined": _rf_determined,
+        "leafwise_three_rounds": _group_means(
+            fk.lgbm_train, fk.lgbm_predict, objective="regression", n_estimators=3,
+            num_leaves=64, learning_rate=0.5,
+        ),
+        "dart_group_means": _group_means(
+            fk.lgbm_train, fk.lgbm_predict, objective="regression", n_estimators=6,
+            num_leaves=64, learning_rate=1.0, boosting_type="dart",
+        ),
         "gbdt_group_means": _group_means(
             fk.xgb_train, fk.xgb_predict, objective="reg:squarederror", num_boost_round=1,
             max_depth=16, max_bin=253, learning_rate=1.0, **{"lambda": 0.0},
@@ -858,6 +971,17 @@ def _own_oracle_sql() -> dict[str, str]:
             PARTITION BY l_returnflag = 'R'), 6) + 1e-8, 5) AS pred, CAST(l_quantity > 20 AS INT) AS many,
             CAST(l_returnflag = 'R' AS INT) AS returned FROM lineitem""",
         "gbdt_stump": _STUMP_SQL,
+        "gbdt_exact": _EXACT_SQL,
+        "gbdt_approx": _rounds_sql(weighted=True),
+        "gbdt_two_rounds": _rounds_sql(weighted=False),
+        "rf_determined": """SELECT CAST(l_quantity * l_quantity + 3 AS DOUBLE) AS pred, l_orderkey AS id,
+            l_linenumber, l_quantity FROM lineitem""",
+        # Each round takes half of what is left of a group's distance from the mean.
+        "leafwise_three_rounds": """SELECT round(round(0.125 * avg(l_extendedprice) OVER () + 0.875 *
+            avg(l_extendedprice) OVER (PARTITION BY l_quantity), 6) + 1e-6, 3) AS pred, l_orderkey AS id,
+            l_linenumber, l_quantity FROM lineitem""",
+        # Whatever is dropped, a tree that fits it and the new weights leave the sum as it was.
+        "dart_group_means": means,
         "gbdt_group_means": means,
         "leafwise_group_means": means,
         "roc_curve": f"""WITH {_CURVE_SQL} SELECT round(threshold + 1e-12, 9) AS threshold,

@@ -1,40 +1,25 @@
 """Gradient-boosted trees on binned features, grown level by level or best leaf first.
 
-The training table is written once as bin numbers. Each level is one Spark job: tasks sum
-gradients per (node, feature, bin) over their rows, Spark adds the sums up, and the best
-cut per node is picked from that table, whose size the number of bins bounds. Margins are
-rewritten to the shared folder every few trees, so plans and retries stay short.
+The training table is written once as bin numbers and rewritten with the margins after each
+tree. Each level is one scan of it (see ``growth``); the best cut per node is found in Spark.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bins import distinct_edges, double_sql, equal_frequency_probs, with_bin_number
-from ..functions.quantiles import exact_quantiles
-from ..functions import trees as tree_functions
-from ..functions.trees import (
-    GradientSums,
-    best_cuts,
-    bin_matrix,
-    gradients,
-    leaf_of,
-    sampled,
-    weighted_values,
-)
+from ..functions.bins import double_sql
+from ..functions.trees import weighted_values
 from ..params import resolve
-from ..schema import as_double, col, quoted
-from ..session import remove_folder, shared_folder
+from ..schema import as_double, quoted
+from .growth import Growth, TrainingTable, training_table
 from .linear import (
     LinearModel,
     binary_label,
@@ -46,22 +31,14 @@ from .linear import (
 )
 from .project import missing_count
 
-# Executors need not have this package installed.
-cloudpickle.register_pickle_by_value(tree_functions)
-
-# Histogram cells one task keeps at a time; more nodes take more jobs.
-CELLS_PER_JOB = 2_000_000
-TREES_PER_TABLE = 8
-EXACT_VALUES = 4096
+# Trees after which the margins in the table are brought up to date.
+TREES_PER_TABLE = 1
 # Up to here a model is scored by compiled comparisons, beyond by vectorised batches.
 EXPRESSION_NODES = 400
-MIN_GAIN = 1e-6
 
 # Defaults of the leaf-wise trainer that have no attribute: fixed values.
 LEAFWISE = {"max_bin": 255, "min_rows": 20, "min_child_weight": 1e-3}
 DART = {"drop_rate": 0.1, "max_drop": 50, "skip_drop": 0.5}
-# Share of rows per tree of a random forest: distinct rows of a bootstrap sample.
-FOREST_SHARE = 1 - math.exp(-1)
 
 
 @dataclass
@@ -104,224 +81,28 @@ class TreeModel:
         def margin(*columns: pd.Series) -> pd.Series:
             base, trees = shared.value
             x = np.column_stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns])
-            return pd.Series(base + weighted_values([(t, 1.0) for t in trees], x, np.isnan(x)))
+            return pd.Series(weighted_values([(t, 1.0) for t in trees], x, np.isnan(x), base))
 
         return margin(*[as_double(df, f) for f in self.features])
 
 
-class _Growth:
-    """A tree while it grows: nodes, their sums and the best known split of each."""
-
-    def __init__(self):
-        self.sums: list[tuple[float, float]] = []
-        self.depth: list[int] = []
-        self.split: list[dict | None] = []
-        self.children: dict[int, tuple[int, int]] = {}
-        self._new(0.0, 0.0, 0)
-
-    def _new(self, g: float, h: float, depth: int) -> int:
-        self.sums.append((g, h))
-        self.depth.append(depth)
-        self.split.append(None)
-        return len(self.sums) - 1
-
-    def expand(self, node: int) -> tuple[int, int]:
-        if node not in self.children:
-            s, depth = self.split[node], self.depth[node] + 1
-            self.children[node] = (
-                self._new(*s["left"], depth),
-                self._new(*s["right"], depth),
-            )
-        return self.children[node]
-
-    def arrays(self, internal: set[int] | None = None, value=None) -> dict:
-        """Node arrays; ``internal`` limits the splits used, value(node) fills leaves."""
-        inner = set(self.children) if internal is None else internal
-        n = len(self.sums)
-        out = {
-            "feature": np.full(n, -1),
-            "cut": np.zeros(n),
-            "default_left": np.zeros(n, dtype=bool),
-            "left": np.zeros(n, dtype=np.int64),
-            "right": np.zeros(n, dtype=np.int64),
-            "value": np.zeros(n),
-        }
-        for node in inner:
-            s = self.split[node]
-            out["feature"][node], out["cut"][node] = s["feature"], s["bin"]
-            out["default_left"][node] = s["default_left"]
-            out["left"][node], out["right"][node] = self.children[node]
-        if value is None:
-            return out
-        # Keep reachable nodes only, numbered anew from the root.
-        order, stack = [], [0]
-        while stack:
-            node = stack.pop()
-            order.append(node)
-            if node in inner:
-                stack += reversed(self.children[node])
-            else:
-                out["value"][node] = value(node)
-        number = np.zeros(n, dtype=np.int64)
-        number[order] = np.arange(len(order))
-        compact = {name: a[order] for name, a in out.items()}
-        for side in ("left", "right"):
-            compact[side] = np.where(compact["feature"] >= 0, number[compact[side]], -1)
-        return compact
-
-
 class _Trainer:
-    def __init__(self, df, features, y, base, logistic, p):
-        self.features, self.logistic, self.p = features, logistic, p
-        self.base, self.spark = base, df.sparkSession
-        self.folder, self.step, self.kept = shared_folder(self.spark), 0, []
-        self.edges = self._edges(df, features)
-        self.bins = max((len(e) for e in self.edges), default=0) + 1
-        # Every level reads this table again: a small input is spread over all cores.
-        if df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism:
-            df = df.repartition(self.spark.sparkContext.defaultParallelism)
-        binned = df.select(
-            y.alias("__y"), *[as_double(df, f).alias(f"__f{i}") for i, f in enumerate(features)]
-        )
-        for i, edges in enumerate(self.edges):
-            binned = with_bin_number(binned, f"__b{i}", f"__f{i}", edges)
-        numbers = [F.coalesce(F.col(f"__b{i}"), F.lit(-1)).cast("short") for i in range(len(features))]
-        self.table = self._write(
-            binned.select(
-                F.monotonically_increasing_id().alias("row"),
-                F.col("__y").alias("y"),
-                F.lit(float(base)).alias("margin"),
-                F.array(*numbers).alias("bins"),
-            )
-        )
-
-    def _edges(self, df, features) -> list[list[float]]:
-        if self.p.get("exact"):
-            # Estimates are off by some percent, so only far too many are refused by them.
-            counted = df.agg(
-                *[F.approx_count_distinct(col(f)).alias(f"d{i}") for i, f in enumerate(features)]
-            ).first()
-            wide = [f for f, n in zip(features, counted) if n > 2 * EXACT_VALUES]
-            if not wide:
-                sets = df.agg(
-                    *[F.sort_array(F.collect_set(as_double(df, f))).alias(f"s{i}")
-                      for i, f in enumerate(features)]
-                ).first()
-                wide = [f for f, s in zip(features, sets) if len(s) > EXACT_VALUES]
-            if wide:
-                raise ValueError(
-                    f"tree_method=exact takes up to {EXACT_VALUES} values per feature, "
-                    f"{wide} have more; use hist"
-                )
-            return [list(s[:-1]) for s in sets]
-        bins = self.p["max_bin"]
-        # The maximum splits nothing off; the minimum splits off the rows equal to it.
-        found = exact_quantiles(df, features, equal_frequency_probs(bins - 1))
-        return [distinct_edges(found[f] or ())[:-1] for f in features]
-
-    def _write(self, table: DataFrame) -> DataFrame:
-        path = f"{self.folder}/step-{self.step}"
-        table.write.parquet(path)
-        self.kept.append(path)
-        self.step += 1
-        # The older table is needed until this one is complete, which it is now.
-        for old in self.kept[:-1]:
-            remove_folder(self.spark, old)
-        self.kept = self.kept[-1:]
-        return self.spark.read.schema(table.schema).parquet(path)
+    """Grows trees on a training table, level by level or best leaf first."""
 
-    def close(self) -> None:
-        remove_folder(self.spark, self.folder)
+    def __init__(self, table: TrainingTable, p: dict):
+        self.table, self.p = table, p
 
-    def fold_margins(self, trees: Sequence[tuple[dict, float]]) -> None:
-        """Rewrite the table with the trees' values added to the margins."""
-        trees = list(trees)
-
-        def add(batches):
-            for batch in batches:
-                bins = bin_matrix(batch, width)
-                margin = batch.column("margin").to_numpy() + weighted_values(trees, bins, bins < 0)
-                at = batch.schema.get_field_index("margin")
-                yield batch.set_column(at, "margin", pa.array(margin))
-
-        width = len(self.features)
-        self.table = self._write(self.table.mapInArrow(add, self.table.schema))
-
-    def best_splits(self, growth: _Growth, nodes: Sequence[int], pending, features, tree_no) -> None:
-        """Find the best split of some nodes; nodes without one get an empty dict."""
-        size = max(1, CELLS_PER_JOB // (len(features) * (self.bins + 1)))
-        for start in range(0, len(nodes), size):
-            self._best_splits(growth, nodes[start : start + size], pending, features, tree_no)
-
-    def _best_splits(self, growth, nodes, pending, features, tree_no) -> None:
-        tree, pending, nodes = growth.arrays(), list(pending), sorted(nodes)
-        width, bins, logistic, p = len(self.features), self.bins, self.logistic, self.p
-        share, seed = p["subsample"], p["seed"]
-
-        def sums(batches):
-            found = GradientSums(nodes, features, bins)
-            for batch in batches:
-                if share < 1:
-                    keep = sampled(batch.column("row").to_numpy(), seed, tree_no, share)
-                    batch = batch.filter(pa.array(keep))
-                if not batch.num_rows:
-                    continue
-                x = bin_matrix(batch, width)
-                missing = x < 0
-                margin = batch.column("margin").to_numpy() + weighted_values(pending, x, missing)
-                g, h = gradients(margin, batch.column("y").to_numpy(), logistic)
-                found.add(leaf_of(tree, x, missing), x, g, h)
-            rows = found.rows()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    **{c: pa.array(rows[c].astype(np.int32)) for c in ("node", "feature", "bin")},
-                    **{c: pa.array(rows[c]) for c in ("g", "h", "n")},
-                }
-            )
-
-        schema = "node int, feature int, bin int, g double, h double, n double"
-        # At most CELLS_PER_JOB rows come back.
-        table = (
-            self.table.mapInArrow(sums, schema)
-            .groupBy("node", "feature", "bin")
-            .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-            .toArrow()
-        )
-        cells = np.zeros((3, len(nodes), len(features), bins + 1))
-        at = (
-            np.searchsorted(nodes, table["node"].to_numpy()),
-            np.searchsorted(features, table["feature"].to_numpy()),
-            table["bin"].to_numpy() + 1,
-        )
-        for i, c in enumerate("ghn"):
-            cells[i][at] = table[c].to_numpy()
-        found = best_cuts(cells, p["lambda"], p["alpha"], p["min_child_weight"], p["min_rows"])
-        for i, node in enumerate(nodes):
-            gain, f, b, default_left, left = (values[i] for values in found)
-            g, h, _ = cells[:, i, 0].sum(axis=-1)
-            if node == 0:
-                growth.sums[0] = (float(g), float(h))
-            growth.split[node] = {}
-            if gain > MIN_GAIN and gain >= p["gamma"]:
-                growth.split[node] = {
-                    "gain": float(gain),
-                    "feature": features[f],
-                    "bin": int(b),
-                    "default_left": bool(default_left),
-                    "left": (float(left[0]), float(left[1])),
-                    "right": (float(g - left[0]), float(h - left[1])),
-                }
-
-    def leaf_value(self, growth: _Growth, node: int) -> float:
-        g, h = growth.sums[node]
+    def leaf_value(self, growth: Growth, node: int) -> float:
+        g, h, _ = growth.sums[node]
         strength = math.copysign(max(abs(g) - self.p["alpha"], 0.0), g)
         bottom = h + self.p["lambda"]
         return -self.p["learning_rate"] * strength / bottom if bottom > 0 else 0.0
 
     def grow_by_level(self, pending, features, tree_no) -> dict:
-        growth, level, leaves = _Growth(), [0], 1
+        growth, level, leaves = Growth(), [0], 1
         for depth in range(self.p["max_depth"]):
-            self.best_splits(growth, level, pending, features, tree_no)
+            last = depth + 1 == self.p["max_depth"]
+            self.table.best_splits(growth, level, pending, features, tree_no, last)
             following = []
             for node in level:
                 if growth.split[node] and (not self.p["max_leaves"] or leaves < self.p["max_leaves"]):
@@ -336,8 +117,8 @@ class _Trainer:
         """Always split the leaf with the greatest gain next. Children of every leaf that
         may still be chosen are looked at in one job, so there is about one job per
         level instead of one per leaf; the choice itself stays strictly one at a time."""
-        growth, budget = _Growth(), self.p["num_leaves"]
-        self.best_splits(growth, [0], pending, features, tree_no)
+        growth, budget = Growth(), self.p["num_leaves"]
+        self.table.best_splits(growth, [0], pending, features, tree_no, budget == 2)
         while True:
             chosen, leaves, ready = set(), 1, True
             heap = [0] if growth.split[0] else []
@@ -358,26 +139,20 @@ class _Trainer:
             heap.sort(key=lambda n: (-growth.split[n]["gain"], n))
             wanted = [c for n in heap[: budget - leaves] for c in growth.expand(n)]
             wanted = [c for c in wanted if growth.split[c] is None]
-            self.best_splits(growth, wanted, pending, features, tree_no)
+            self.table.best_splits(growth, wanted, pending, features, tree_no, False)
 
-    def _finished(self, growth: _Growth, chosen: set[int]) -> dict:
+    def _finished(self, growth: Growth, chosen: set[int]) -> dict:
         return growth.arrays(chosen, lambda node: self.leaf_value(growth, node))
 
-    def with_values(self, tree: dict, weight: float) -> dict:
-        """Bin numbers replaced by feature values, the weight folded into the leaves. A cut
-        after the last bin parts known values from missing ones."""
-        ends = [[*edges, math.inf] for edges in self.edges]
-        cut = [ends[f][int(c)] if f >= 0 else 0.0 for f, c in zip(tree["feature"], tree["cut"])]
-        return {**tree, "cut": np.array(cut, dtype=float), "value": tree["value"] * weight}
-
 
 def _boost(trainer: _Trainer, rounds: int, grow, mode: str = "gbdt") -> list[dict]:
     """Trees of all rounds, with final weights. Modes: gbdt, dart (some earlier trees are
     left out of a round and share its weight), rf (every tree starts from the base)."""
-    p, rng = trainer.p, random.Random(trainer.p["seed"])
-    count = len(trainer.features)
+    table, p, rng = trainer.table, trainer.p, random.Random(trainer.p["seed"])
+    count = len(table.features)
     sampled_features = max(1, int(p["colsample_bytree"] * count))
     trees: list[dict] = []
+    finished: list[dict] = []
     weights: list[float] = []
     stored: list[float] = []
     for tree_no in range(rounds):
@@ -387,25 +162,28 @@ def _boost(trainer: _Trainer, rounds: int, grow, mode: str = "gbdt") -> list[dic
             dropped = [i for i in range(len(trees)) if rng.random() < DART["drop_rate"]]
             if len(dropped) > DART["max_drop"]:
                 dropped = sorted(rng.sample(dropped, DART["max_drop"]))
-        if mode == "rf":
-            pending = []
-        else:
+        pending = []
+        if mode != "rf":
             now = [0.0 if i in dropped else w for i, w in enumerate(weights)]
             pending = [(t, a - b) for t, a, b in zip(trees, now, stored) if a != b]
+            folded = table.begin_tree(pending)
+            if pending and not folded and tree_no % TREES_PER_TABLE == 0:
+                table.fold_margins(pending)
+                folded = True
+            if folded:
+                pending, stored = [], now
+        else:
+            table.begin_tree([])
         tree = grow(pending, features, tree_no)
         trees.append(tree)
+        finished.append(table.final(tree))
         weights.append(1.0 / (1 + len(dropped)))
         stored.append(0.0)
         for i in dropped:
             weights[i] *= len(dropped) / (1 + len(dropped))
-        last = tree_no == rounds - 1
-        if mode != "rf" and not last and (tree_no + 1) % TREES_PER_TABLE == 0:
-            changed = [(t, w - s) for t, w, s in zip(trees, weights, stored) if w != s]
-            trainer.fold_margins(changed)
-            stored = list(weights)
     if mode == "rf":
         weights = [1.0 / rounds] * rounds
-    return [trainer.with_values(t, w) for t, w in zip(trees, weights)]
+    return [{**t, "value": t["value"] * w} for t, w in zip(finished, weights)]
 
 
 def _log_odds(share: float) -> float:
@@ -417,8 +195,9 @@ def xgb_train(df: DataFrame, label, ids=(), **attributes) -> TreeModel | LinearM
     values sent to the better side; or a penalised linear model (booster gblinear).
 
     Gains carry no factor 1/2; splits need a gain of at least gamma. Tree methods differ
-    only in the cut points: quantiles, or every value for exact. Booster dart drops no
-    trees, as there is no attribute for a drop rate.
+    only in the cut points: quantiles (hist, auto), quantiles weighted by curvature and
+    proposed anew for each tree (approx), or every value (exact). Booster dart drops no trees,
+    as there is no attribute for a drop rate.
     Attributes: those of level-wise boosting, with ``lambda`` passed as ``**{"lambda": v}``.
     """
     p = resolve("xgb_train", attributes)
@@ -436,18 +215,20 @@ def xgb_train(df: DataFrame, label, ids=(), **attributes) -> TreeModel | LinearM
             p["num_boost_round"], 1e-6, s["spread"] or 0.0, s["mean"], "xgb", s["n"],
         )
     base = _log_odds(p["base_score"]) if logistic else p["base_score"]
-    settings = {**p, "min_rows": 0, "exact": p["tree_method"] == "exact"}
-    trainer = _Trainer(df, features, y, base, logistic, settings)
+    settings = {**p, "min_rows": 0}
+    table = training_table(p["tree_method"])(df, features, y, base, logistic, settings, s["n"])
+    trainer = _Trainer(table, settings)
     try:
         trees = _boost(trainer, p["num_boost_round"], trainer.grow_by_level)
     finally:
-        trainer.close()
+        table.close()
     return TreeModel(tuple(features), base, logistic, "xgb", trees)
 
 
 def lgbm_train(df: DataFrame, label, ids=(), seed: int = 42, **attributes) -> TreeModel:
     """Leaf-wise boosted trees (gbdt), the same with dropout (dart), or a random forest
-    (rf: every tree fits the base prediction on its own row sample, and they average).
+    (rf: every tree fits the base prediction on rows drawn with replacement, each as often as
+    a Poisson number with mean 1 by hash says, and they average).
     Attributes: n_estimators, objective, boosting_type, learning_rate, num_leaves.
     """
     p = resolve("lgbm_train", attributes)
@@ -468,13 +249,15 @@ def lgbm_train(df: DataFrame, label, ids=(), seed: int = 42, **attributes) -> Tr
         "alpha": 0.0,
         "gamma": 0.0,
         "colsample_bytree": 1.0,
-        "subsample": FOREST_SHARE if forest else 1.0,
+        "subsample": 1.0,
+        "bagging": forest,
         "seed": seed,
         **LEAFWISE,
     }
-    trainer = _Trainer(df, features, y, base, logistic, settings)
+    table = training_table("hist")(df, features, y, base, logistic, settings, s["n"])
+    trainer = _Trainer(table, settings)
     try:
         trees = _boost(trainer, p["n_estimators"], trainer.grow_by_leaf, p["boosting_type"])
     finally:
-        trainer.close()
+        table.close()
     return TreeModel(tuple(features), base, logistic, "lgbm", trees)

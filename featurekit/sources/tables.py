@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import col, declared_roles, spark_type, table_schema
+from . import split_csv
+from .split_csv import largest_file, read_split_csv
 
 # Cells that count as missing in a CSV file: fixed values, those of pandas' reader.
 NA_TOKENS = (
@@ -56,20 +58,25 @@ def read_csv(
     schema: Mapping[str, Sequence[str]],
     columns: Sequence[str] | None = None,
     line_breaks: bool = True,
+    split: bool = True,
 ) -> DataFrame:
     """A CSV table with a header. ``schema`` holds ids/features/labels and their
     *_types lists; every column of the file must be declared. ``columns`` limits the
     scan, in file order. Quotes inside a quoted cell are doubled.
 
-    Cells may hold line breaks, so a file is read by one task; large tables should be many
-    files. Pass ``line_breaks=False`` for files known to have none inside cells: they are
-    split."""
+    Cells may hold line breaks; large files are still read by many tasks, after a pass that
+    counts quotes. ``split=False`` leaves each file to one task, as are files with quotes in
+    the middle of unquoted cells. ``line_breaks=False`` is for files known to have none
+    inside cells: they are split without that pass."""
     delimiter, header = csv_layout(spark, path)
     roles = declared_roles(schema)
     unknown = [c for c in header if c not in roles]
     if unknown:
         raise ValueError(f"columns not found in the schema: {unknown}")
-    raw = (
+    raw = None
+    if line_breaks and split and largest_file(spark, path) > split_csv.SPLIT_BYTES:
+        raw = read_split_csv(spark, path, header, delimiter)
+    raw = raw if raw is not None else (
         spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
         .option("header", True)
         .option("sep", delimiter)

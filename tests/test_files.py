@@ -1,5 +1,7 @@
+import csv
 import json
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from featurekit import (
     woe_binning,
     woe_substitution,
 )
+from featurekit.sources import split_csv
 from featurekit.sources.artifacts import (
     read_model,
     read_report,
@@ -286,3 +289,54 @@ def test_csv_cells_with_quotes_and_line_breaks(spark, tmp_path):
     other.write_text('id,info,x\n1,"{""k"": ""v, w""}",2.5\n2,plain,3.5\n')
     got = read_csv(spark, str(other), schema, line_breaks=False)
     assert [tuple(r) for r in got.collect()] == [(1, '{"k": "v, w"}', 2.5), (2, "plain", 3.5)]
+
+
+def _odd_cells(n):
+    rng = random.Random(n)
+    cells = ["", "plain", 'say "no"', "a,b", "line\nbreak", "\n\n", '"', '""', "x\r\ny", " space ", "é\n,\"", "1.5", "'", "end\r"]
+    return [(i, rng.choice(cells) * rng.choice([1, 1, 3]), rng.choice(cells), rng.random()) for i in range(n)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_csv_files_are_split_like_whole_ones(spark, tmp_path, monkeypatch, end):
+    """Records that cross splits, cells longer than a split, several files."""
+    rows = _odd_cells(900)
+    rows[100] = (100, "long\n\"cell\"," * 3000, "x", 0.5)
+    for k, part in enumerate((rows[:700], rows[700:701], rows[701:])):
+        with open(tmp_path / f"part-{k}.csv", "w", newline="", encoding="utf-8") as f:
+            writer = csv.writer(f, lineterminator=end)
+            writer.writerow(["id", "first,name", "second", "score"])
+            writer.writerows(part)
+    schema = {"ids": ["id"], "id_types": ["int64"], "features": ["first,name", "second", "score"], "feature_types": ["str", "str", "float64"]}
+    whole = read_csv(spark, str(tmp_path), schema, split=False)
+    want = sorted(map(tuple, whole.collect()), key=str)
+    monkeypatch.setattr(split_csv, "SPLIT_BYTES", 0)
+    for size in (1500, 40_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            got = read_csv(spark, str(tmp_path), schema)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+            assert got.rdd.getNumPartitions() > 4 and len(want) == len(rows)
+            assert sorted(map(tuple, read_csv(spark, str(tmp_path), schema, columns=["second"]).collect()), key=str) == sorted([(r[2],) for r in want], key=str)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert table_schema(got) == table_schema(whole)
+
+
+def test_split_csv_with_quotes_inside_unquoted_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(split_csv, "SPLIT_BYTES", 0)
+    path = tmp_path / "odd.csv"
+    path.write_text('id,size\n1,5" pipe\n2,plain\n')
+    schema = {"ids": ["id"], "id_types": ["int64"], "features": ["size"], "feature_types": ["str"]}
+    assert sorted(map(tuple, read_csv(spark, str(path), schema).collect())) == [(1, '5" pipe'), (2, "plain")]
+    path.write_text('id,size\n1,5"\n2,plain\n3,6"\n')
+    with pytest.raises(Exception, match="split=False"):
+        read_csv(spark, str(path), schema).collect()
+    path.write_text('size,id\n1,5\n')
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "dir" / "a.csv").write_text("id,size\n1,x\n")
+    (tmp_path / "dir" / "b.csv").write_text("size,id\nx,1\n")
+    with pytest.raises(ValueError, match="header"):
+        read_csv(spark, str(tmp_path / "dir"), schema)

@@ -15,7 +15,7 @@ from featurekit import (
     xgb_train,
 )
 from featurekit.functions.trees import best_cuts, sampled
-from featurekit.operators import boosting
+from featurekit.operators import boosting, growth
 
 
 @pytest.fixture(scope="module")
@@ -233,7 +233,7 @@ def test_margins_survive_table_rewrites(data, monkeypatch):
     _, df = data
     want = xgb_train(df, "y", num_boost_round=4, max_depth=2)
     monkeypatch.setattr(boosting, "TREES_PER_TABLE", 2)
-    monkeypatch.setattr(boosting, "CELLS_PER_JOB", 40)
+    monkeypatch.setattr(growth, "CELLS_PER_JOB", 40)
     got = xgb_train(df, "y", num_boost_round=4, max_depth=2)
     for a, b in zip(want.trees, got.trees):
         assert list(a["feature"]) == list(b["feature"])
@@ -317,11 +317,138 @@ def test_both_linear_solvers_give_one_answer(spark, monkeypatch):
         assert np.allclose(found.coefficients, want, atol=1e-6)
 
 
-def test_exact_trees_refuse_what_they_cannot_search(spark, monkeypatch):
-    from featurekit.operators import boosting
+@pytest.mark.parametrize("objective", ["reg:squarederror", "binary:logistic"])
+def test_exact_trees_against_brute_force(data, objective):
+    """Every value of continuous features is a cut, in several ranges and levels."""
+    pdf, df = data
+    logistic = objective == "binary:logistic"
+    label = "y" if logistic else "v"
+    x, y = pdf[["a", "b", "c"]].to_numpy(), pdf[label].to_numpy().astype(float)
+    model = xgb_train(df, label, objective=objective, num_boost_round=2, max_depth=3, tree_method="exact")
+    cuts = [np.unique(x[:, f])[:-1] for f in range(3)]
+    margin = np.full(len(y), 0.0 if logistic else 0.5)
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-margin)) if logistic else margin
+        h = p * (1 - p) if logistic else np.ones_like(y)
+        margin = margin + _tree(x, p - y, h, cuts, 3, 1.0, 0.3)
+    want = 1 / (1 + np.exp(-margin)) if logistic else margin
+    got = xgb_predict(df, model, save_id=True).toPandas().sort_values("id")["pred"]
+    assert np.allclose(got, want, atol=2e-6)
 
-    df = spark.range(60).selectExpr("id * 1.0D AS x", "CAST(id > 30 AS INT) AS y")
-    settings = {"tree_method": "exact", "max_depth": 1, "num_boost_round": 1, "objective": "linear"}
-    monkeypatch.setattr(boosting, "EXACT_VALUES", 40)
-    with pytest.raises(ValueError, match="exact"):
-        boosting.xgb_train(df, "y", **{k: v for k, v in settings.items() if k != "objective"})
+
+def test_exact_trees_with_a_hot_value_and_missing_ones(spark):
+    """A third of the rows share a value, others lack it; the cut is the best of all."""
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(9000) < 0.34, 0.25, rng.random(9000))
+    x[rng.random(9000) < 0.1] = np.nan
+    y = np.where(np.isnan(x), 2.0, (x > 0.7123) * 3.0)
+    df = with_roles(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), labels=["y"])
+    settings = {"objective": "reg:squarederror", "num_boost_round": 1, "learning_rate": 1.0, "lambda": 0.0}
+    model = xgb_train(df, "y", max_depth=2, tree_method="exact", **settings)
+    got = xgb_predict(df, model, save_label=True).toPandas()
+    assert np.allclose(got["pred"], got["label"], atol=1e-6)
+    cut = model.trees[0]["cut"][model.trees[0]["feature"] >= 0]
+    assert np.isclose(cut, x[x <= 0.7123].max()).any()
+    sampled_model = xgb_train(df, "y", max_depth=2, tree_method="exact", subsample=0.5, colsample_bytree=0.5, **settings)
+    assert len(sampled_model.trees[0]["feature"]) >= 3
+
+
+def _weighted_cuts(x, h, parts):
+    value, place = np.unique(x, return_inverse=True)
+    upto = np.cumsum(np.bincount(place, h))
+    goals = upto[-1] * np.arange(1, parts) / parts
+    return [v for v in np.unique(value[np.searchsorted(upto * (1 + 1e-9), goals)]) if v < value[-1]]
+
+
+def test_approx_proposes_cuts_by_weight(data):
+    pdf, df = data
+    x, y = pdf[["a", "b", "c"]].to_numpy(), pdf["y"].to_numpy().astype(float)
+    few = df.withColumns({f: F.round(F.col(f), 1) for f in "ab"})
+    x[:, :2] = few.orderBy("id").select("a", "b").toPandas().to_numpy()
+    model = xgb_train(few, "y", num_boost_round=4, max_depth=3, tree_method="approx")
+    margin = np.zeros(len(y))
+    proposed = []
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        h = p * (1 - p)
+        cuts = [_weighted_cuts(x[:, f], h, 10) for f in range(3)]
+        proposed.append(cuts)
+        margin = margin + _tree(x, p - y, h, cuts, 3, 1.0, 0.3)
+    got = xgb_predict(few, model, save_id=True).toPandas().sort_values("id")["pred"]
+    assert np.allclose(got, 1 / (1 + np.exp(-margin)), atol=2e-6)
+    assert proposed[0] != proposed[-1]
+
+
+def test_weighted_summaries_bound_their_ranks():
+    from featurekit.functions.trees import Summaries, merged_summary, pruned_summary, summary_cuts, summary_of
+
+    rng = np.random.default_rng(6)
+    x, w = np.round(rng.lognormal(size=60_000), 3), rng.random(60_000)
+    x[:20_000] = 1.5  # a third of the rows
+    found = Summaries(1, 512)
+    for part in np.array_split(np.arange(len(x)), 37):
+        found.add(x[part, None], w[part])
+    s = found.result(0)
+    assert s.shape[1] <= 520
+    order = np.argsort(x, kind="stable")
+    upto, total = np.cumsum(w[order]), w.sum()
+    for value, own, low, high in s.T:
+        below = upto[np.searchsorted(x[order], value) - 1] if value > x.min() else 0.0
+        assert low - 1e-6 <= below <= high + 1e-6 and high - low <= 0.02 * total
+        assert own <= w[x == value].sum() + 1e-6
+    goals = np.array(summary_cuts(s, 9))
+    shares = [w[x <= g].sum() / total for g in goals]
+    assert 1.5 in goals and max(np.diff([0, *shares, 1])) < 0.45
+    few = summary_of(np.array([1.0, 2.0, 2.0]), np.array([1.0, 2.0, 3.0]))
+    assert merged_summary(few, np.zeros((4, 0))) is few and pruned_summary(few, 9) is few
+    assert merged_summary(few, few).tolist() == [[1.0, 2.0], [2.0, 10.0], [0.0, 2.0], [0.0, 2.0]]
+
+
+def test_sibling_sums_and_stored_nodes_change_nothing(data, monkeypatch):
+    pdf, df = data
+    settings = {"num_boost_round": 2, "max_depth": 5, "max_bin": 60, "min_child_weight": 3.0}
+    want = xgb_train(df, "y", **settings)  # every node is summed
+    monkeypatch.setattr(growth, "LEVELS_PER_TABLE", 1)
+    monkeypatch.setattr(growth, "KEEP_CELLS", 0)
+    monkeypatch.setattr(growth, "BYTES_PER_PARTITION", 1000)
+    kept = xgb_train(df, "y", **settings)
+    monkeypatch.setattr(growth, "CELLS_PER_JOB", 300)
+    narrow = xgb_train(df, "y", **settings)
+    for other in (kept, narrow):
+        for a, b in zip(want.trees, other.trees, strict=True):
+            assert list(a["feature"]) == list(b["feature"]) and list(a["cut"]) == list(b["cut"])
+            assert np.allclose(a["value"], b["value"])
+    leaves = lgbm_train(df, "v", objective="regression", n_estimators=2, num_leaves=12)
+    monkeypatch.setattr(growth, "KEEP_CELLS", 10**9)
+    for a, b in zip(leaves.trees, lgbm_train(df, "v", objective="regression", n_estimators=2, num_leaves=12).trees, strict=True):
+        assert list(a["cut"]) == list(b["cut"]) and np.allclose(a["value"], b["value"])
+
+
+def test_forest_draws():
+    from featurekit.functions.trees import draws
+
+    rows = np.arange(200_000)
+    n = draws(rows, 42, 0)
+    assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02 and abs((n == 0).mean() - np.exp(-1)) < 0.01
+    assert (n == draws(rows, 42, 0)).all()
+    assert abs(np.corrcoef(n, draws(rows, 42, 1))[0, 1]) < 0.01
+
+
+def test_forest_of_a_determined_label_is_exact_and_repeatable(data):
+    pdf, df = data
+    fixed = with_roles(df.drop("y").withColumn("v", F.col("c") * 2 + 1), labels=["v"])
+    model = lgbm_train(fixed, "v", objective="regression", n_estimators=3, num_leaves=8, boosting_type="rf")
+    got = lgbm_predict(fixed, model, save_label=True).toPandas()
+    assert np.allclose(got["pred"], got["label"], atol=1e-6)
+    again = lgbm_train(fixed, "v", objective="regression", n_estimators=3, num_leaves=8, boosting_type="rf")
+    assert [t["value"].tolist() for t in model.trees] == [t["value"].tolist() for t in again.trees]
+
+
+def test_large_and_small_models_add_in_one_order(spark, monkeypatch):
+    """The same bits from both ways to score, whatever the model's size."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.random(500), "y": rng.normal(size=500) * 1e6}))
+    model = xgb_train(with_roles(df, labels=["y"]), "y", objective="reg:squarederror", num_boost_round=6, max_depth=3, base_score=0.3)
+    small = [r[0] for r in df.select(model.score(df)).collect()]
+    monkeypatch.setattr(boosting, "EXPRESSION_NODES", 0)
+    assert small == [r[0] for r in df.select(model.score(df)).collect()]
