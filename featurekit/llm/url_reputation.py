@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featurekit.llm.tables import written
+
 # Public suffixes of two labels; all others are taken to have one.
 TWO_LABEL_SUFFIXES = (
     "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp",
@@ -58,16 +60,16 @@ def _posterior(df: DataFrame, prior: Column, strength: Column, name: str) -> Dat
     )
 
 
-def _strength(level: DataFrame, parent: Column) -> DataFrame:
-    """One row: how many pages the prior of a level weighs, by moments. With p the parent's
-    rate and r a child's rate over n pages, E[(r - p)^2] = p (1 - p) (1 + rho (n - 1)) / n;
-    the strength is 1 / rho - 1, kept between 1 and 10,000."""
+def _strength(level: DataFrame, parent: Column) -> float:
+    """How many pages the prior of a level weighs, by moments. With p the parent's rate and r a
+    child's rate over n pages, E[(r - p)^2] = p (1 - p) (1 + rho (n - 1)) / n; the strength is
+    1 / rho - 1, kept between 1 and 10,000."""
     p = F.least(F.greatest(parent, F.lit(1e-6)), F.lit(1 - 1e-6))
     chance = p * (1 - p)
     over = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - p, 2) - chance)
     room = F.sum(chance * (F.col("n") - 1))
     rho = F.when(room > 0, over / room).otherwise(F.lit(0.0))
-    return level.agg(F.least(F.greatest(1 / F.greatest(rho, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e4)).alias("strength"))
+    return level.agg(F.least(F.greatest(1 / F.greatest(rho, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e4))).first()[0]
 
 
 def host_reputation(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
@@ -82,44 +84,40 @@ def host_reputation(outcomes: DataFrame, z: float = Z, others: DataFrame | None
     a third of all pages is one row after the first, partly map-side, sum. rate is the
     posterior's mean; the bounds lie z standard deviations from it.
     """
-    known = outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull())
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
+    # Hosts are counted once and written; what is fitted to a level comes to the driver as one number.
+    known = outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull()).select("host", F.col("good").cast("long").alias("good"))
+    if others is not None:
+        known = known.unionAll(others.where(F.col("host").isNotNull()).select("host", F.lit(None).cast("long")))
+    counted = known.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     suffix = suffix_of(F.col("host"))
-    hosts = hosts.select("host", domain_of(F.col("host"), suffix).alias("domain"), suffix.alias("suffix"), "n", "good")
+    hosts = written(counted.select("host", domain_of(F.col("host"), suffix).alias("domain"), suffix.alias("suffix"), "n", "good"))
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    everything = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("all_rate"))
-
-    suffixes = suffixes.crossJoin(F.broadcast(everything))  # one row
-    suffix_strength = F.broadcast(_strength(suffixes, F.col("all_rate")))
-    suffixes = suffixes.crossJoin(suffix_strength)
-    suffixes = _posterior(suffixes, F.col("all_rate"), F.col("strength"), "suffix")
+    judged = hosts.where("n > 0")
+    suffixes = written(judged.groupBy("suffix").agg(*sums))
+    n, good = suffixes.agg(F.sum("n"), F.sum("good")).first()
+    if not n:
+        none = [F.lit(None).cast("double").alias(c) for c in ("rate", "lower", "upper")]
+        return hosts.where("false").select("host", "domain", "suffix", "n", "good", *none)
+    all_rate = F.lit((good + 1) / (n + 2))
+    suffix_strength = _strength(suffixes, all_rate)
+    suffixes = _posterior(suffixes, all_rate, F.lit(suffix_strength), "suffix")
     above_domains = suffixes.select("suffix", (F.col("suffix_a") / (F.col("suffix_a") + F.col("suffix_b"))).alias("suffix_rate"))
 
-    domains = domains.join(above_domains, "suffix")
-    domain_strength = F.broadcast(_strength(domains, F.col("suffix_rate")))
-    domains = domains.crossJoin(domain_strength)
-    domains = _posterior(domains, F.col("suffix_rate"), F.col("strength"), "domain")
+    domains = written(judged.groupBy("domain", "suffix").agg(*sums).join(above_domains, "suffix"))
+    domain_strength = _strength(domains, F.col("suffix_rate"))
+    domains = _posterior(domains, F.col("suffix_rate"), F.lit(domain_strength), "domain")
     above = domains.select("domain", "suffix", (F.col("domain_a") / (F.col("domain_a") + F.col("domain_b"))).alias("domain_rate"))
 
-    hosts = hosts.join(above, ["domain", "suffix"])
-    strength = F.broadcast(_strength(hosts, F.col("domain_rate")).where(F.col("strength").isNotNull()))  # one row
-    hosts = hosts.crossJoin(strength)
-    if others is not None:
-        unknown = others.where(F.col("host").isNotNull()).select("host").distinct().join(hosts.select("host"), "host", "left_anti")
-        unknown = unknown.select("host", domain_of(F.col("host"), suffix).alias("domain"), suffix.alias("suffix"))
-        unknown = unknown.join(above, ["domain", "suffix"], "left").join(above_domains, "suffix", "left").crossJoin(F.broadcast(everything))
-        unknown = unknown.crossJoin(strength).crossJoin(domain_strength.withColumnRenamed("strength", "of_domain"))
-        unknown = unknown.crossJoin(suffix_strength.withColumnRenamed("strength", "of_suffix"))
-        weakest = F.when(F.col("domain_rate").isNotNull(), F.col("strength"))
-        weakest = weakest.when(F.col("suffix_rate").isNotNull(), F.least("strength", "of_domain"))
-        unknown = unknown.select(
-            "host", "domain", "suffix", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"),
-            F.coalesce("domain_rate", "suffix_rate", "all_rate").alias("domain_rate"),
-            weakest.otherwise(F.least("strength", "of_domain", "of_suffix")).alias("strength"),
-        )
-        hosts = hosts.unionByName(unknown)
+    hosts = written(hosts.join(above, ["domain", "suffix"], "left").join(above_domains, "suffix", "left"))
+    strength = _strength(hosts.where("n > 0"), F.col("domain_rate"))
+    of_host = F.when(F.col("domain_rate").isNotNull(), strength)
+    of_host = of_host.when(F.col("suffix_rate").isNotNull(), min(strength, domain_strength))
+    hosts = hosts.withColumns(
+        {
+            "strength": of_host.otherwise(min(strength, domain_strength, suffix_strength)),
+            "domain_rate": F.coalesce("domain_rate", "suffix_rate", all_rate),
+        }
+    )
     hosts = _posterior(hosts, F.col("domain_rate"), F.col("strength"), "host")
     a, b = F.col("host_a"), F.col("host_b")
     rate = a / (a + b)
