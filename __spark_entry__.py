@@ -104,6 +104,14 @@ def _split(spark, sf_dir, part, **kwargs):
     return fk.train_test_split(orders, **kwargs)[part]
 
 
+def _split_file_order(spark, sf_dir):
+    """The first rows of several files, without a column to order by."""
+    path = shared_folder(spark)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    write_parquet(orders.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return fk.train_test_split(read_parquet(spark, path), shuffle=False, train_size=0.55)[0]
+
+
 # --- statistics ---------------------------------------------------------------------------
 
 
@@ -812,6 +820,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_ordered": lambda s, d: _split(
             s, d, 0, shuffle=False, order_by=["o_custkey", "o_orderkey"], train_size=0.6
         ),
+        "split_file_order": _split_file_order,
         "table_statistics": _table_statistics,
         "table_statistics_nulls": _table_statistics_nulls,
         "pearsonr": _pearsonr,
@@ -919,6 +928,8 @@ def _own_oracle_sql() -> dict[str, str]:
         "split_train": _SPLIT_SQL.format(order=shuffled, side="<=", share=0.75),
         "split_test": _SPLIT_SQL.format(order=shuffled, side=">", share=0.75),
         "split_ordered": _SPLIT_SQL.format(order="o_custkey, o_orderkey", side="<=", share=0.6),
+        "split_file_order": """SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i,
+            count(*) OVER () AS n FROM orders) WHERE i <= floor(n * 0.55)""",
         "table_statistics": _statistics_sql(
             "SELECT * FROM lineitem", [*numeric, ("l_returnflag", "str")]
         ),

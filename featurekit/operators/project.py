@@ -17,6 +17,9 @@ from ..schema import (
     require_columns,
 )
 
+# Columns whose missing cells one sum counts.
+FLAGS_PER_SUM = 32
+
 
 def feature_filter(df: DataFrame, drop_features: str | Sequence[str]) -> DataFrame:
     """The table without some columns, of any role; order and roles of the rest stay and
@@ -53,12 +56,21 @@ def label_number(df: DataFrame, label: str) -> Column:
 
 
 def missing_count(df: DataFrame, names: Sequence[str]) -> Column:
-    """Aggregate: missing cells in the named columns."""
+    """Aggregate: missing cells in the named columns. Sums over some columns each stay in
+    compiled code, whatever their number."""
     if not names:
         return F.lit(0).cast("long")
-    flags = F.array(*[is_missing(df, name).cast("long") for name in names])
-    in_row = F.aggregate(flags, F.lit(0).cast("long"), lambda total, flag: total + flag)
-    return F.coalesce(F.sum(in_row), F.lit(0).cast("long"))
+    flags = [is_missing(df, name).cast("int") for name in names]
+    chunks = [flags[i : i + FLAGS_PER_SUM] for i in range(0, len(flags), FLAGS_PER_SUM)]
+    return F.coalesce(_added([F.sum(_added(chunk)) for chunk in chunks]), F.lit(0).cast("long"))
+
+
+def _added(terms: Sequence[Column]) -> Column:
+    """The sum of some columns as a balanced tree."""
+    if len(terms) == 1:
+        return terms[0]
+    half = len(terms) // 2
+    return _added(terms[:half]) + _added(terms[half:])
 
 
 def reject_missing(count: int, operator: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,8 @@ def train_test_split(
 
     Shuffled: rows are ordered by a hash of the seed and ``key`` (the id columns, else all
     columns), so the same seed gives the same split on any cluster. Unshuffled: the first
-    rows in the order of ``order_by``. Both outputs are plain filters on the input.
+    rows in the order of ``order_by``; without it, in the order of the Parquet files (by path)
+    and of the rows in each. Both outputs are plain filters on the input.
     Attributes: train_size, fix_random, random_state, shuffle. ``exact=False`` splits by
     hash value alone: no counting, sizes near the wanted share only.
     """
@@ -70,7 +72,9 @@ def train_test_split(
     seed = p["random_state"] if state and p["fix_random"] else random.randrange(1, 2**31)
     share = p["train_size"]
     if not p["shuffle"]:
-        columns = column_list("order_by", order_by, low=1)
+        columns = column_list("order_by", order_by)
+        if not columns:
+            return _split_by_place(df, share)
         require_columns(df, columns)
         n, cut, below, equal = order_cutoff(df, columns, lambda rows: _train_rows(rows, share))
         order = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)])
@@ -87,6 +91,24 @@ def train_test_split(
     return _divide(df, n, digest, F.lit(cut), below, equal)
 
 
+def _split_by_place(df: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The first rows of the files a table is read from: every row's file and place in it order
+    the rows, a search over counts finds the cut, and nothing is sorted or numbered."""
+    names = []
+    for i in range(2):
+        names.append(next(n for n in (f"__place{i}" + "_" * k for k in range(len(df.columns) + 1)) if n not in df.columns))
+    try:
+        placed = df.select(
+            *[col(c) for c in df.columns],
+            F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]),
+        )
+    except AnalysisException:
+        raise ValueError("rows have an order only in Parquet files just read; give order_by") from None
+    _, cut, _, _ = order_cutoff(placed, names, lambda rows: _train_rows(rows, share))
+    order = F.struct(*[col(n).alias(f"k{i}") for i, n in enumerate(names)])
+    return placed.where(order <= cut).drop(*names), placed.where(order > cut).drop(*names)
+
+
 def _train_rows(rows: int, share: float) -> int:
     n = int(rows * share)
     if n < 1:

@@ -142,3 +142,22 @@ def test_split_counts_and_seed(spark):
     assert train.count() + test.count() == 569
     with pytest.raises(ValueError):
         train_test_split(spark.range(1), train_size=0.5)
+
+
+def test_unshuffled_split_in_file_order(spark, tmp_path):
+    """First rows by file and place: several files, rows in no order of their values."""
+    path = str(tmp_path / "t")
+    rows = [(i, (i * 7919) % 1000, "x") for i in range(1000)]
+    spark.createDataFrame(rows, "n long, v long, __place0 string").repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    files = [pd.read_parquet(f) for f in sorted((tmp_path / "t").glob("*.parquet"))]
+    want = [tuple(r) for f in files for r in f.itertuples(index=False)]
+    train, test = train_test_split(df, shuffle=False, train_size=0.37)
+    assert train.columns == test.columns == df.columns
+    assert sorted(map(tuple, train.collect())) == sorted(want[:370])
+    assert sorted(map(tuple, test.collect())) == sorted(want[370:])
+    some = df.where("v % 3 = 0")
+    kept = [r for r in want if r[1] % 3 == 0]
+    assert sorted(map(tuple, train_test_split(some, shuffle=False, train_size=0.5)[0].collect())) == sorted(kept[: len(kept) // 2])
+    with pytest.raises(ValueError, match="order_by"):
+        train_test_split(spark.createDataFrame(rows, "n long, v long, s string"), shuffle=False)
