@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import as_double, col
-from .bins import double_array, with_bin_number
+from .bins import double_array, double_sql, with_bin_number
 
 ACCURACY = 10_000
 COLLECT_LIMIT = 1_000_000
@@ -136,9 +136,29 @@ def _coded(df: DataFrame, columns: Mapping[int, str], state: Mapping[int, _Colum
     return df.select(F.inline(F.array(entries))).where(F.col("code").isNotNull())
 
 
-def _step(df: DataFrame, columns: Mapping[int, str], state: Mapping[int, _Column]) -> None:
-    open_columns = {i: name for i, name in columns.items() if state[i].brackets}
-    coded = _coded(df, open_columns, state)
+def long_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(c, x): one row per cell of some columns (double), numbered in their order."""
+    cells = [F.struct(F.lit(i).alias("c"), as_double(df, name).alias("x")) for i, name in enumerate(columns)]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def _coded_long(rows: DataFrame, open_columns: Mapping[int, str], state: Mapping[int, _Column]) -> DataFrame:
+    """The same as ``_coded`` from rows (c, x): cuts and wanted codes are literals per column."""
+    last = max(open_columns)
+    cuts = [state[i].cuts() if i in open_columns else [] for i in range(last + 1)]
+    wanted = [sorted(state[i].wanted(cuts[i])) if i in open_columns else [] for i in range(last + 1)]
+    ends = ", ".join(f"CAST(array({', '.join(map(double_sql, c))}) AS array<double>)" for c in cuts)
+    codes = ", ".join(f"CAST(array({', '.join(map(str, w))}) AS array<int>)" for w in wanted)
+    rows = rows.where(F.col("c").isin(list(open_columns)) & F.col("x").isNotNull())
+    rows = rows.withColumn("cuts", F.get(F.expr(f"array({ends})"), F.col("c")))
+    x = F.col("x")
+    rows = rows.withColumn("below", F.aggregate("cuts", F.lit(0), lambda n, cut: n + (cut < x).cast("int")))
+    code = F.col("below") * 2 + F.when(F.get("cuts", "below") == x, 1).otherwise(0)
+    inside = F.array_contains(F.get(F.expr(f"array({codes})"), F.col("c")), F.col("code"))
+    return rows.select("c", code.alias("code"), "x").select("c", "code", F.when(inside, x).alias("v"))
+
+
+def _step(coded: DataFrame, open_columns: Mapping[int, str], state: Mapping[int, _Column]) -> None:
     if sum(state[i].expected() for i in open_columns) <= COLLECT_LIMIT:
         found = coded.groupBy("c", "code", "v").agg(F.count(F.lit(1)).alias("n"))
     else:
@@ -188,10 +208,15 @@ def _settle(column: _Column, table: pa.Table) -> None:
 
 
 def resolve_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], sketches: Mapping[str, Any]
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    sketches: Mapping[str, Any],
+    long: bool = False,
 ) -> dict[str, list[float] | None]:
     """Finish what ``sketch_aggregates`` began: column -> its exact quantiles, None for a
-    column without values. The columns must be doubles with null for missing."""
+    column without values. The columns must be doubles with null for missing; ``long``: df has
+    rows (c, x) of ``long_rows``."""
     state: dict[int, _Column] = {}
     for i, _ in enumerate(columns):
         n = sketches[f"__n{i}"]
@@ -201,7 +226,9 @@ def resolve_quantiles(
     for _ in range(_MAX_ROUNDS):
         if not any(s.brackets for s in state.values()):
             break
-        _step(df, {i: columns[i] for i in state}, state)
+        open_columns = {i: columns[i] for i in state if state[i].brackets}
+        coded = (_coded_long if long else _coded)(df, open_columns, state)
+        _step(coded, open_columns, state)
     else:
         raise RuntimeError("quantile search did not converge")
     out: dict[str, list[float] | None] = {}
@@ -224,10 +251,20 @@ def resolve_quantiles(
     return out
 
 
+def long_sketches(rows: DataFrame, probs: Sequence[float]) -> dict[str, Any]:
+    """What ``sketch_aggregates`` gives, from rows (c, x): one scan and a row per column."""
+    found = rows.groupBy("c").agg(*sketch_aggregates(["x"], probs)).collect()
+    return {f"{name[:-1]}{r['c']}": r[name] for r in found for name in r.asDict() if name != "c"}
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float] | None]:
-    """Quantiles with linear interpolation at (n-1)p, missing values left out."""
+    """Quantiles with linear interpolation at (n-1)p, missing values left out. More columns
+    than compiled code can hold are read as rows, so they share their scans too."""
+    if len(columns) > COLUMNS_PER_JOB:
+        rows = long_rows(df, columns)
+        return resolve_quantiles(rows, columns, probs, long_sketches(rows, probs), long=True)
     out: dict[str, list[float] | None] = {}
     for chunk in column_chunks(columns):
         part = df.select([as_double(df, name) for name in chunk])

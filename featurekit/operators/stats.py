@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.linear_algebra import inflation_factors
-from ..functions.quantiles import column_chunks, resolve_quantiles, sketch_aggregates
+from ..functions.quantiles import COLUMNS_PER_JOB, long_rows, long_sketches, resolve_quantiles, sketch_aggregates
 from ..schema import as_double, col, is_missing, type_name
 from .project import missing_count, numeric_columns, reject_missing, selected_features
 
@@ -92,37 +92,61 @@ def _numeric_statistics(row, i: int, quartiles: Sequence[float]) -> dict[str, fl
     return out
 
 
+def _wide_statistics(df: DataFrame, numeric: Sequence[str]) -> dict[str, dict]:
+    """Rows, known values and statistics per column: three compiled passes."""
+    if not numeric:
+        return {}
+    part = df.select([as_double(df, c) for c in numeric])
+    # The sketches are their own pass: next to them the moments would not be compiled.
+    row = part.agg(F.count(F.lit(1)).alias("rows"), *_moment_aggregates(numeric)).first().asDict()
+    row |= part.agg(*sketch_aggregates(numeric, QUARTILES)).first().asDict()
+    return _found_statistics(numeric, row, resolve_quantiles(part, numeric, QUARTILES, row), row["rows"])
+
+
+def _long_statistics(df: DataFrame, numeric: Sequence[str]) -> dict[str, dict]:
+    """The same for many columns: three passes over the table as rows of cells, each grouped by
+    column, so the number of scans does not grow with the columns."""
+    rows = long_rows(df, numeric)
+    moments = rows.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), *_moment_aggregates(["x"])).collect()
+    row = long_sketches(rows, QUARTILES)
+    row |= {f"{name[:-1]}{r['c']}": r[name] for r in moments for name in r.asDict() if name not in ("c", "rows")}
+    total = moments[0]["rows"] if moments else 0
+    row |= {f"__n{i}": 0 for i in range(len(numeric)) if f"__n{i}" not in row}
+    quartiles = resolve_quantiles(rows, numeric, QUARTILES, row, long=True)
+    return _found_statistics(numeric, row, quartiles, total)
+
+
+def _found_statistics(numeric, row, quartiles, rows: int) -> dict[str, dict]:
+    out = {}
+    for i, name in enumerate(numeric):
+        n = row[f"__n{i}"]
+        out[name] = {"rows": rows, "n": n}
+        if n:
+            out[name] |= _numeric_statistics(row, i, quartiles[name])
+    return out
+
+
 def table_statistics(df: DataFrame, feature_selects: Sequence[str] | None = ()) -> DataFrame:
     """One row per feature with its type, counts, moments and exact quartiles.
 
-    Missing values are left out; bool and text columns have counts only. Three
-    narrow passes over each column: moments, quantile sketch, exact quartiles.
+    Missing values are left out; bool and text columns have counts only. Three passes,
+    whatever the number of columns: moments, quantile sketch, exact quartiles (the last one
+    again where a bracket holds very many values), and one for text.
     """
     features = selected_features(df, feature_selects)
-    found: dict[str, dict] = {}
-    for chunk in column_chunks(features):
-        numeric = numeric_columns(df, chunk)
-        part = df.select(
-            [as_double(df, c) for c in numeric]
-            + [is_missing(df, c).alias(c) for c in chunk if c not in numeric]
-        )
-        others = [c for c in chunk if c not in numeric]
-        # The sketches are their own pass: next to them the moments would not be compiled.
-        row = part.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *_moment_aggregates(numeric),
-            *[F.count_if(col(c)).alias(f"missing{i}") for i, c in enumerate(others)],
-        ).first().asDict()
-        if numeric:
-            row |= part.agg(*sketch_aggregates(numeric, QUARTILES)).first().asDict()
-        quartiles = resolve_quantiles(part, numeric, QUARTILES, row)
-        for i, name in enumerate(numeric):
-            n = row[f"__n{i}"]
-            found[name] = {"rows": row["rows"], "n": n}
-            if n:
-                found[name] |= _numeric_statistics(row, i, quartiles[name])
+    numeric = numeric_columns(df, features)
+    if len(numeric) > COLUMNS_PER_JOB:
+        found = _long_statistics(df, numeric)
+    else:
+        found = _wide_statistics(df, numeric)
+    others = [c for c in features if c not in numeric]
+    if others:
+        flags = [is_missing(df, c).alias(f"m{i}") for i, c in enumerate(others)]
+        counted = df.select(flags).agg(
+            F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"m{i}")).alias(f"m{i}") for i in range(len(others))]
+        ).first()
         for i, name in enumerate(others):
-            found[name] = {"rows": row["rows"], "n": row["rows"] - row[f"missing{i}"]}
+            found[name] = {"rows": counted["rows"], "n": counted["rows"] - counted[f"m{i}"]}
     schema = T.StructType(
         [T.StructField("feature", T.StringType()), T.StructField("datatype", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in COUNTS]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featurekit import pearsonr, pearsonr_wide, table_statistics, vif
+from featurekit.functions.quantiles import exact_quantiles
 from featurekit.operators import stats
 
 
@@ -95,3 +96,34 @@ def test_many_columns_use_vectors(spark):
     wide = pearsonr_wide(df).toPandas().set_index("feature")
     want = pdf.corr().fillna(999.0)
     assert np.allclose(wide.to_numpy(), want.to_numpy(), atol=1e-9)
+
+
+def test_many_columns_share_their_scans(spark):
+    """Hundreds of columns in a handful of jobs, with the results of few columns."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({f"c{i}": np.round(rng.normal(size=400), i % 4) for i in range(300)})
+    pdf.loc[:50, "c7"], pdf["c8"], pdf["c9"] = np.nan, np.nan, 3.0
+    df = spark.createDataFrame(pdf).withColumn("word", F.expr("nullif(CAST(c9 AS STRING), 'x')")).repartition(5)
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # stages would count as jobs
+    spark.sparkContext.setJobGroup("wide", "wide")
+    try:
+        found = table_statistics(df)
+        jobs = len(tracker.getJobIdsForGroup("wide"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 5
+    got = found.toPandas().set_index("feature")
+    assert len(got) == 301 and got.loc["word", "count(non-NA count)"] == 400
+    few = [f"c{i}" for i in (0, 1, 2, 3, 7, 8, 9, 299)]
+    want = table_statistics(df, few).toPandas().set_index("feature")
+    for name in few:
+        for column in want.columns:
+            a, b = got.loc[name, column], want.loc[name, column]
+            assert a == b or (pd.isna(a) and pd.isna(b)) or a == pytest.approx(b, rel=1e-9, abs=1e-12), (name, column)
+    for q, column in ((0.25, "q1(first quartile)"), (0.5, "q2(second quartile, median)")):
+        assert got.loc["c3", column] == pdf["c3"].quantile(q)
+    edges = exact_quantiles(df, [c for c in pdf.columns if c != "c8"], [0.1, 0.9])
+    assert edges["c299"] == list(pdf["c299"].quantile([0.1, 0.9]))
+    assert table_statistics(df.limit(0)).count() == 301
