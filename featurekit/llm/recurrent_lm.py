@@ -30,16 +30,18 @@ from featurekit.llm.words import slices, words
 CLASS_SIZE, CLASSES = 64, 32
 HEAD = 100_000
 HIDDEN = 24
-#: Training: lanes of documents side by side, steps of a window, rate, passes of averaging,
+#: Training: lanes of text side by side at most, steps of a window, rate, passes of averaging,
 #: and the share of the training texts that a pass goes through (each pass takes others).
-LANES, WINDOW, RATE = 256, 24, 0.08
+LANES, WINDOW, RATE = 1024, 24, 0.08
+#: Tokens of a lane at least: a small group of texts takes fewer lanes, and more windows.
+STRETCH = 1200
 PASSES, SHARE = 1, 1
 #: Tokens of a training task on average at least: each task hands on a change of all weights.
 TASK_TOKENS = 4_000_000
 #: Numbers of a piece of the weights, as they are summed and sent to the driver.
 PIECE = 1 << 20
 #: Scoring: lanes, steps of a window, and bytes of text that are scored together.
-SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 128, 64, 12 << 20
+SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 512, 64, 12 << 20
 
 END = np.uint64(0xE0D0F7E87)
 #: Added to counts, and once more for all unknown words together.
@@ -225,6 +227,20 @@ def lanes_of(ids: np.ndarray, borders: np.ndarray, lanes: int, end_id: int) -> t
     return inputs, ids[place], fresh, place
 
 
+def stretches_of(ids: np.ndarray, borders: np.ndarray, end_id: int) -> tuple[np.ndarray, ...]:
+    """All tokens in equal stretches side by side, as :func:`lanes_of` has documents: each token
+    once, and only the last stretch may be shorter."""
+    n = len(ids)
+    lanes = max(1, min(LANES, n // STRETCH))
+    place = np.arange(lanes * -(-n // lanes)).reshape(lanes, -1).T
+    starts = np.zeros(place.size, bool)
+    starts[borders[:-1]] = True
+    inner = np.minimum(place, n - 1)
+    before = np.r_[end_id, ids[:-1]] if n else ids
+    fresh = starts[place]
+    return np.where(fresh, end_id, before[inner]), ids[inner], fresh, np.where(place < n, place, -1)
+
+
 def _forward(w: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States after each step of a window, and the last one."""
     gates = w["input"][inputs]
@@ -323,12 +339,13 @@ class Trainer:
         return after
 
     def learn(self, ids: np.ndarray, borders: np.ndarray, end_id: int) -> None:
-        inputs, targets, fresh, place = lanes_of(ids, borders, LANES, end_id)
+        """One step per window of all texts. Lanes are equally long, so every step rests on all of
+        them: a long text goes on in the next lane, from an empty state there."""
+        inputs, targets, fresh, place = stretches_of(ids, borders, end_id)
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for at in range(0, len(inputs), WINDOW):
             cut = slice(at, at + WINDOW)
-            active = int((place[at] >= 0).sum())  # lanes that have ended are last
-            h = self.window(h[:active], inputs[cut, :active], targets[cut, :active], fresh[cut, :active], place[cut, :active] >= 0)
+            h = self.window(h, inputs[cut], targets[cut], fresh[cut], place[cut] >= 0)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:

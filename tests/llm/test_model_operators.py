@@ -2,6 +2,7 @@
 on nulls, empty and long inputs, ties, repeated rows, empty tables and clashing columns."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -334,3 +335,34 @@ def test_the_softmax_covers_the_whole_head(spark):
 def test_classes_grow_with_the_root_of_the_head(n):
     classes, size = recurrent_lm.layout(n)
     assert classes * size >= n and (classes - 1) * size < max(n, 1) and abs(size - math.sqrt(n)) <= 1
+
+
+def test_stretches_hold_every_token_once():
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [5000, 1, 2], [1] * 7, [3] * 4000, [100_000], list(rng.integers(1, 900, 60))):
+        borders = np.r_[0, np.cumsum(sizes)]
+        ids = rng.integers(0, 99, borders[-1])
+        inputs, targets, fresh, place = recurrent_lm.stretches_of(ids, borders, 77)
+        at = place[place >= 0]
+        assert sorted(at) == list(range(len(ids))) and (targets[place >= 0] == ids[at]).all()
+        starts = np.isin(at, borders[:-1])
+        assert (fresh[place >= 0] == starts).all()
+        assert (inputs[place >= 0] == np.where(starts, 77, ids[at - 1])).all()
+        assert place.size - len(at) < place.shape[1]  # no lane runs dry
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "long"])
+def test_training_beats_counts_and_untrained_weights(spark, monkeypatch, table):
+    """Held-out log probability, also beside one very long text that is nothing like the others."""
+    path = f"/root/testdata/{'sf0.001' if table == 'long' else table}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables not present")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    if table == "long":
+        assert zlib.crc32(b"1000003") % 10
+        docs = docs.unionAll(spark.range(1).selectExpr("1000003L", "repeat('strange words without end ', 100000)"))
+    trained = recurrent_lm.score_texts(docs).where("held_out").toPandas()
+    monkeypatch.setattr(recurrent_lm, "train", lambda texts, vocabulary: recurrent_lm.first_weights(vocabulary))
+    first = recurrent_lm.score_texts(docs).where("held_out").toPandas()
+    score = trained["score"].sum()
+    assert score > first["score"].sum() and score > trained["base_score"].sum()
