@@ -23,14 +23,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurekit.llm.links import connect, pairs_between, shared_buckets
-from featurekit.llm.tables import id_and_text, written
+from featurekit.llm.tables import id_and_text, release, written
 from featurekit.llm.words import mix, shingles, slices, words
 
-SKETCH_BITS = 1024
+#: Bits of a sketch for each shingle in which alike sets of its size may differ; 64 at least, a power of two.
+BITS_PER_DIFFERENCE = 4
 #: Blocks beyond the pigeonhole's number, as a share of it.
 SPARE = 0.25
 
@@ -86,7 +87,7 @@ def block_keys(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
         empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[first])
         filled = np.r_[block[first], empty]
         parity, check, size = (np.r_[x, np.zeros(len(empty), np.uint64)] for x in (parity, check, size))
-        place = np.uint64(band) * np.uint64(0x9E3779B97F4A7C15) + filled
+        place = np.full(1, band, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + filled
         out.append(mix(mix(mix(place) + parity) + check + size))
         of_band.append(np.full(blocks, band, np.int32))
     return np.concatenate(out), np.concatenate(of_band)
@@ -103,19 +104,38 @@ def _sign(found: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def signed_sets(docs: DataFrame, k: int) -> DataFrame:
+def sketch_of(found: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Parity bits, as 64-bit words; more of them for sets that may differ in more shingles. A
+    sketch of half the bits is both halves' XOR."""
+    differ = int(2 * len(found) * (1 - similarity) / (1 + similarity))
+    bits = max(64, 1 << (BITS_PER_DIFFERENCE * differ - 1).bit_length()) if differ else 64
+    odd = np.bincount(((found >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def sketches_differ(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; the wider one is folded to the other's width. Sets of
+    sizes that can be alike have widths that differ by a factor of two at most."""
+
+    def folded(x: Column, width: Column) -> Column:
+        half = F.zip_with(F.slice(x, F.lit(1), width), F.slice(x, width + 1, width), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) == 2 * width, half).otherwise(x)
+
+    width = F.least(F.size(a), F.size(b))
+    xor = F.zip_with(folded(a, width), folded(b, width), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    return F.aggregate(xor, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def signed_sets(docs: DataFrame, k: int, similarity: Fraction) -> DataFrame:
     """Size, 128-bit sign and sketch of every document's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = _sets_of(batch, k)
             signs = [_sign(s) for s in sets]
-            sketches = np.zeros((len(sets), SKETCH_BITS // 64), np.int64)
-            for row, found in zip(sketches, sets, strict=True):
-                odd = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                row[:] = np.packbits(odd.astype(bool)).view(np.int64)
-            flat = pa.array(sketches.ravel())
-            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * sketches.shape[1])
+            sketches = [sketch_of(s, similarity) for s in sets]
+            flat = pa.array(np.concatenate(sketches))
+            ends = pa.array(np.cumsum([0, *map(len, sketches)], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -166,17 +186,43 @@ def _shared(blocks: DataFrame, similarity: Fraction) -> DataFrame:
     return written(ranked.where(F.col("rank") > F.get(spare, F.col("band"))).select("key", "id"))
 
 
-def _shingle_arrays(docs: DataFrame, k: int) -> DataFrame:
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, size, packed): texts compressed one by one, smaller than their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in slices(batches):
-            sets = _sets_of(batch, k)
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"]
-            )
+            data = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            columns = [pa.array([len(t) for t in data], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in data], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["id", "size", "packed"])
+
+    return docs.mapInArrow(run, "id long, size long, packed binary")
+
+
+def _verified(pairs: DataFrame, k: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets are alike, from rows with both packed texts. Rows come in
+    order of a, so its set is made once."""
+    top, whole = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, last = pa.Codec("zstd"), (None, None)
+
+        def set_of(size: int, packed: bytes) -> np.ndarray:
+            hashed, _ = words(pa.array([codec.decompress(packed, size, asbytes=True)], pa.binary()).cast(pa.string()))
+            return np.unique(shingles(hashed, k))
+
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            kept = []
+            for i in range(batch.num_rows):
+                if last[0] != a[i]:
+                    last = (a[i], set_of(batch.column("a_size")[i].as_py(), batch.column("a_packed")[i].as_py()))
+                one, other = last[1], set_of(batch.column("b_size")[i].as_py(), batch.column("b_packed")[i].as_py())
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                kept.append(common * whole >= (len(one) + len(other) - common) * top)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return pairs.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -192,7 +238,7 @@ def near_duplicates(
     doc_id one counts. Very long texts take part whole. No documents, no rows.
     """
     read = id_and_text(docs, doc_id, text).where("doc_id IS NOT NULL")
-    signed = written(signed_sets(read, k).dropDuplicates(["doc_id"]))
+    signed = written(signed_sets(read, k, similarity).dropDuplicates(["doc_id"]))
     equal = ["n_shingles", "sign_a", "sign_b"]
     firsts = signed.where("n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("first"), F.count("*").alias("_copies"))
     copies = signed.join(firsts.where("_copies > 1"), equal).select(F.col("doc_id").alias("id"), "first")
@@ -202,13 +248,13 @@ def near_duplicates(
     buckets = shared.join(copies, "id", "left").select("key", F.coalesce("first", "id").alias("id")).distinct()
     buckets = shared_buckets(buckets)
     involved = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(_shingle_arrays(read.join(involved, "doc_id", "left_semi"), k).dropDuplicates(["id"]))
+    texts = _packed(read).join(involved.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    texts = written(texts.dropDuplicates(["id"]))
     sketches = written(signed.join(involved, "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sketch"))
     top, whole = similarity.numerator, similarity.denominator
 
     total = F.col("a_n_shingles") + F.col("b_n_shingles")
-    xor = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-    differ = F.aggregate(xor, F.lit(0).cast("long"), lambda s, x: s + x)
+    differ = sketches_differ(F.col("a_sketch"), F.col("b_sketch"))
     sizes = F.least("a_n_shingles", "b_n_shingles") * whole >= F.greatest("a_n_shingles", "b_n_shingles") * top
     near = sizes & (differ * (whole + top) <= total * (whole - top))
 
@@ -219,12 +265,13 @@ def near_duplicates(
         close = written(pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(near).select("a", "b"))
         if not close.take(1):
             return close
-        common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
-        union = F.size("a_shingles") + F.size("b_shingles") - common
-        sets_of = close.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-        return sets_of.where(common * whole >= union * top).select("a", "b")
+        # A pair's texts move, not its sets; only the first of the two moves once per pair.
+        found = written(_verified(close.join(side(texts, "a"), "a").join(side(texts, "b"), "b"), k, similarity))
+        release(close)
+        return found
 
     linked = connect(buckets, alike, lambda rows: pairs_between(rows.join(sketches, "id"), near))
+    release(shared, buckets, texts, sketches)
     # Copies share the class of their first; a star each, not pairs.
     of_first = copies.join(linked.select(F.col("id").alias("first"), "component"), "first", "left")
     of_copies = of_first.select("id", F.coalesce("component", "first").alias("component"))

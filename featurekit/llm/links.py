@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurekit.llm.tables import written
+from featurekit.llm.tables import release, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.where("a != b").distinct())
-    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    older = labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         seen = labels.select(F.col("id").alias("b"), "label")
         near = edges.join(seen, "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
@@ -34,8 +34,10 @@ def components(links: DataFrame) -> DataFrame:
             "id", F.least("lower", "jump").alias("label"), (F.least("lower", "jump") < F.col("label")).alias("fell")
         )
         found = written(found)
-        labels = found.select("id", "label")
+        release(older)
+        older, labels = found, found.select("id", "label")
         if not found.where("fell").take(1):
+            release(edges)
             return labels.withColumnRenamed("label", "component")
 
 
@@ -90,12 +92,19 @@ def connect(
     more = apart.where("id_class != centre_class").select(F.col("centre").alias("a"), F.col("id").alias("b"))
     more = written(alike(more).select("a", "b"))
     if more.take(1):
-        links = written(links.union(more))
+        older, links = links, written(links.union(more))
+        release(older)
         found = components(links)
+    release(more)
 
     # What is left: pairs of a bucket in different classes, neither of them its centre.
     known = classes(members, "id").where("id != centre")
     mixed = known.withColumn("_mixed", F.min("id_class").over(of_key) < F.max("id_class").over(of_key))
     mixed = written(mixed.where("_mixed").select("key", "id", F.col("id_class").alias("class")))
+    release(members)
     rest = written(alike(between(mixed)).select("a", "b"))
-    return components(links.union(rest)) if rest.take(1) else found
+    release(mixed)
+    if rest.take(1):
+        found = components(links.union(rest))
+    release(links, rest)
+    return found

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurekit.session import shared_folder
+from featurekit.session import remove_folder, shared_folder
+
+
+#: Folders written while a list is recorded, innermost last.
+_records: list[list[str]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -16,7 +21,37 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path
+    for record in _records:
+        record.append(path)
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` has made and nothing reads any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table._folder)
+
+
+@contextmanager
+def recorded(folders: list[str]) -> Iterator[None]:
+    """Note the folders of all tables written meanwhile."""
+    _records.append(folders)
+    try:
+        yield
+    finally:
+        _records.remove(folders)
+
+
+def release_folders(spark: SparkSession, folders: list[str], kept: DataFrame) -> None:
+    """Delete noted folders, but not those that a table still reads; the others leave the list."""
+    read = kept.inputFiles()
+    for path in list(folders):
+        name = path.rsplit("/", 1)[-1]
+        if not any(name in file for file in read):
+            remove_folder(spark, path)
+            folders.remove(path)
 
 
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
