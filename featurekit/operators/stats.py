@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cross_products import correlation_array, correlation_blocks, correlation_rows
+from ..functions import cross_products
 from ..functions.linear_algebra import inflation_factors
 from ..functions.quantiles import COLUMNS_PER_JOB, long_rows, long_sketches, resolve_quantiles, sketch_aggregates
 from ..schema import as_double, col, is_missing, type_name
 from .project import missing_count, numeric_columns, reject_missing, selected_features
 
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(cross_products)
+
 # Names of the report's statistics: fixed values.
 COUNTS = ("total_count", "count(non-NA count)", "count_na(NA count)")
 STATISTICS = (
@@ -179,6 +185,8 @@ def correlation_matrix(
         *[col(c) for c in selected],
     )
     missing = missing_count(df, selected).alias("missing")
+    if k > cross_products.BLOCK:
+        return features, correlation_array(*_blocks(df, features, selected, operator))
     corr = np.full((k, k), np.nan)
     if k <= _PAIRWISE_COLUMNS:
         pairs = [(i, j) for i in range(k) for j in range(i)]
@@ -214,9 +222,22 @@ def correlation_matrix(
     return features, corr
 
 
+def _blocks(df: DataFrame, features: Sequence[str], selected: Sequence[str], operator: str):
+    """Correlations of more columns than one task should hold all pairs of."""
+    reject_missing(df.agg(missing_count(df, selected)).first()[0], operator)
+    cells = df.select(F.array(*[col(f).cast("double") for f in features]).alias("x"))
+    return correlation_blocks(cells, len(features))
+
+
 def pearsonr(df: DataFrame, feature_selects: Sequence[str] | None = ()) -> DataFrame:
     """Correlation of every pair of numeric features: (feature_a, feature_b, r), 999.0
-    where it is undefined."""
+    where it is undefined. Beyond some hundred features the rows are made in Spark from blocks
+    of columns."""
+    selected = selected_features(df, feature_selects)
+    features = numeric_columns(df, selected)
+    if len(features) > cross_products.BLOCK:
+        blocks, varies = _blocks(df, features, selected, "pearsonr")
+        return correlation_rows(blocks, varies, features, UNDEFINED_CORRELATION)
     features, corr = correlation_matrix(df, feature_selects, "pearsonr")
     rows = [
         (a, b, float(corr[i, j]) if corr[i, j] == corr[i, j] else UNDEFINED_CORRELATION)

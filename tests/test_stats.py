@@ -127,3 +127,25 @@ def test_many_columns_share_their_scans(spark):
     edges = exact_quantiles(df, [c for c in pdf.columns if c != "c8"], [0.1, 0.9])
     assert edges["c299"] == list(pdf["c299"].quantile([0.1, 0.9]))
     assert table_statistics(df.limit(0)).count() == 301
+
+
+def test_correlations_in_blocks_equal_those_in_one(spark, monkeypatch):
+    from featurekit.functions import cross_products
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 14)) @ rng.normal(size=(14, 14)) + 1e6
+    pdf = pd.DataFrame({f"c{i}": x[:, i] for i in range(14)})
+    pdf["flat"], pdf["tiny"] = 2.0, rng.normal(size=300) * 1e-9
+    df = spark.createDataFrame(pdf).repartition(3)
+    want = {(r["feature_a"], r["feature_b"]): r["r"] for r in pearsonr(df).collect()}
+    factors = {r["feature"]: r["vif"] for r in vif(df.drop("flat")).collect()}
+    for size in (4, 5, 15):
+        monkeypatch.setattr(cross_products, "BLOCK", size)
+        got = {(r["feature_a"], r["feature_b"]): r["r"] for r in pearsonr(df).collect()}
+        assert got.keys() == want.keys() and len(got) == 256
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+        assert got["c3", "c3"] == 1.0 and got["flat", "c1"] == got["flat", "flat"] == 999.0
+    again = {r["feature"]: r["vif"] for r in vif(df.drop("flat")).collect()}
+    assert all(again[k] == pytest.approx(factors[k], rel=1e-6) for k in factors)
+    with pytest.raises(ValueError, match="missing"):
+        pearsonr(df.withColumn("c0", F.expr("nullif(flat, 2)")))
