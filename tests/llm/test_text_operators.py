@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -363,3 +364,35 @@ def test_notices_and_odd_rows(spark):
     ]
     assert got == sorted(want, key=str)
     assert license_scan.scan_licenses(empty(spark)).count() == 0
+
+
+def test_sketches_bound_the_difference(spark):
+    """Of sets of any sizes whose sketches have the same width or the double."""
+    rng = np.random.default_rng(5)
+    rows, differ = [], []
+    for n in (1, 10, 80, 140, 150, 600, 700, 5000):
+        for swaps in (0, 1, n // 20, n // 8):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.r_[a[swaps:], rng.integers(0, 1 << 63, swaps * 2, dtype=np.uint64)])
+            sketches = [jaccard.sketch_of(s, Fraction(4, 5)).tolist() for s in (a, b)]
+            rows.append((len(rows), *sketches))
+            differ.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    got = [r.d for r in df.select("i", jaccard.sketches_differ(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()]
+    assert all(d <= true for d, true in zip(got, differ, strict=True)) and len({len(r[1]) for r in rows}) > 3
+    assert got[-1] > differ[-1] / 2  # wide enough to tell
+
+
+def test_tables_are_released_unless_read(spark):
+    from featurekit.llm import tables
+
+    folders = []
+    with tables.recorded(folders):
+        a = tables.written(spark.range(3))
+        b = tables.written(spark.range(4))
+    c = tables.written(spark.range(5))
+    assert folders == [a._folder, b._folder]
+    tables.release_folders(spark, folders, b.where("id > 0"))
+    assert folders == [b._folder] and b.count() == 4 and c.count() == 5
+    tables.release(b, c)
+    assert not (Path(b._folder).exists() or Path(c._folder).exists())
