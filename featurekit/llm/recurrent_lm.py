@@ -32,16 +32,18 @@ HEAD = 100_000
 HIDDEN = 24
 #: Training: lanes of text side by side at most, steps of a window, rate, passes of averaging,
 #: and the share of the training texts that a pass goes through (each pass takes others).
-LANES, WINDOW, RATE = 1024, 24, 0.08
+LANES, WINDOW, RATE = 512, 24, 0.08
 #: Tokens of a lane at least: a small group of texts takes fewer lanes, and more windows.
 STRETCH = 1200
 PASSES, SHARE = 1, 1
+#: Bytes of text that are dealt to the lanes together.
+TRAIN_BYTES = 4 << 20
 #: Tokens of a training task on average at least: each task hands on a change of all weights.
 TASK_TOKENS = 4_000_000
 #: Numbers of a piece of the weights, as they are summed and sent to the driver.
 PIECE = 1 << 20
 #: Scoring: lanes, steps of a window, and bytes of text that are scored together.
-SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 512, 64, 12 << 20
+SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 256, 64, 8 << 20
 
 END = np.uint64(0xE0D0F7E87)
 #: Added to counts, and once more for all unknown words together.
@@ -411,7 +413,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES, share:
             known = vocabulary_sent.value
             trainer = Trainer(unpack_weights(sent.value, known))
             seen, end_id = 0, known.end_id()
-            for group in _groups(batches, SCORE_BYTES):
+            for group in _groups(batches, TRAIN_BYTES):
                 token, borders = with_end(pa.Table.from_batches(group).combine_chunks().to_batches()[0])
                 trainer.learn(known.ids(*known.find(token)), borders, end_id)
                 seen += len(token)
