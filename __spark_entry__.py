@@ -291,6 +291,20 @@ def _gblinear_1f(spark, sf_dir):
     return found.withColumns({c: _digits(c) for c in ("coefficient", "intercept")})
 
 
+def _gblinear_steps(spark, sf_dir):
+    """Weights after one, two and seven rounds."""
+    items = _table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    rows = []
+    for rounds in (1, 2, 7):
+        model = fk.xgb_train(
+            items, "price", booster="gblinear", objective="reg:squarederror", linear_steps=True,
+            num_boost_round=rounds, **{"lambda": 0.5, "alpha": 2.0},
+        )
+        rows.append((rounds, model.coefficients[0], model.intercept))
+    found = spark.createDataFrame(rows, "rounds int, coefficient double, intercept double")
+    return found.withColumns({c: _digits(c) for c in ("coefficient", "intercept")})
+
+
 def _lr_linear_predict(spark, sf_dir):
     items = _table(spark, sf_dir, "lineitem")
     train = items.select("l_quantity", "l_extendedprice")
@@ -838,6 +852,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lr_linear_predict": _lr_linear_predict,
         "lr_logistic_predict": _predicted(fk.lr_predict, fk.lr_train, max_iter=20, **scaled),
         "gblinear_1f": _gblinear_1f,
+        "gblinear_steps": _gblinear_steps,
         "gblinear_predict": _predicted(
             fk.xgb_predict, fk.xgb_train, booster="gblinear", **{"lambda": 0.01}, **scaled
         ),
@@ -974,6 +989,14 @@ def _own_oracle_sql() -> dict[str, str]:
             {_digits_sql("sxy / (sxx + 0.5 * n)")} AS coefficient,
             {_digits_sql("my - sxy / (sxx + 0.5 * n) * mx")} AS intercept
             FROM ({regression}), (SELECT count(*) AS n FROM lineitem)""",
+        "gblinear_steps": f"""WITH RECURSIVE m AS (SELECT count(*) AS n, sum(l_quantity) AS sx, sum(l_extendedprice / 1000) AS sy,
+            sum(l_quantity * l_quantity) AS sxx, sum(l_quantity * l_extendedprice / 1000) AS sxy FROM lineitem),
+            r AS (SELECT 0 AS i, 0.5::DOUBLE AS b, 0.0::DOUBLE AS w UNION ALL
+                SELECT i + 1, nb, w + 0.3 * CASE WHEN w - pull / h >= 0 THEN greatest(-(pull + 2.0 * n) / h, -w)
+                    ELSE least(-(pull - 2.0 * n) / h, -w) END
+                FROM (SELECT *, nb * sx + w * sxx - sxy + 0.5 * n * w AS pull, sxx + 0.5 * n AS h
+                    FROM (SELECT *, b - 0.3 * (n * b + w * sx - sy) / n AS nb FROM r, m WHERE i < 7)))
+            SELECT i AS rounds, {_digits_sql("w")} AS coefficient, {_digits_sql("b")} AS intercept FROM r WHERE i IN (1, 2, 7)""",
         "lr_linear_predict": f"""SELECT
             round(round(my + sxy / (sxx + 1) * (l_quantity - mx), 6) + 1e-6, 3) AS pred,
             l_orderkey AS "order", l_extendedprice AS price, l_linenumber

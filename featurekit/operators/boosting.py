@@ -23,6 +23,7 @@ from .growth import Growth, TrainingTable, training_table
 from .linear import (
     LinearModel,
     binary_label,
+    boosted_linear,
     fit_linear,
     label_number,
     label_summary,
@@ -190,14 +191,15 @@ def _log_odds(share: float) -> float:
     return math.log(share / (1 - share))
 
 
-def xgb_train(df: DataFrame, label, ids=(), **attributes) -> TreeModel | LinearModel:
+def xgb_train(df: DataFrame, label, ids=(), linear_steps: bool = False, **attributes) -> TreeModel | LinearModel:
     """Level-wise boosted trees with second-order gains (Chen & Guestrin 2016), missing
     values sent to the better side; or a penalised linear model (booster gblinear).
 
     Gains carry no factor 1/2; splits need a gain of at least gamma. Tree methods differ
     only in the cut points: quantiles (hist, auto), quantiles weighted by curvature and
     proposed anew for each tree (approx), or every value (exact). Booster dart drops no trees,
-    as there is no attribute for a drop rate.
+    as there is no attribute for a drop rate. Booster gblinear solves its penalised problem;
+    with ``linear_steps`` it takes ``num_boost_round`` rounds of steps by ``learning_rate``.
     Attributes: those of level-wise boosting, with ``lambda`` passed as ``**{"lambda": v}``.
     """
     p = resolve("xgb_train", attributes)
@@ -209,6 +211,9 @@ def xgb_train(df: DataFrame, label, ids=(), **attributes) -> TreeModel | LinearM
     y = binary_label(df, label, 0.0, 1.0) if logistic else label_number(df, label)
     if p["booster"] == "gblinear":
         reject_missing(df.agg(missing_count(df, features)).first()[0], "gblinear")
+        if linear_steps:
+            base = _log_odds(p["base_score"]) if logistic else p["base_score"]
+            return boosted_linear(df, features, y, logistic, p, base, s["n"])
         reg = p["lambda"] + p["alpha"]
         return fit_linear(
             df, features, y, logistic, reg, p["alpha"] / reg if reg else 0.0,

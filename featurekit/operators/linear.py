@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.classification import LogisticRegression
@@ -13,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import double_array
+from ..functions.trees import gradients
 from ..params import column_list, resolve
 from ..schema import col, require_columns
 from .project import label_number, missing_count, numeric_columns, reject_missing, training_features
 
 # MLlib solves the normal equations up to so many features; both solvers give one answer.
 NORMAL_FEATURES = 4096
+# Columns whose products one scan sums for boosting in steps.
+STEP_COLUMNS = 512
 
 
 @dataclass(frozen=True)
@@ -133,6 +138,74 @@ def fit_linear(
     )
 
 
+def boosted_linear(
+    df: DataFrame, features: Sequence[str], y: Column, logistic: bool, p: dict, base: float, rows: int
+) -> LinearModel:
+    """``num_boost_round`` rounds of cyclic coordinate descent from zero weights: first the
+    intercept, then one feature after another takes ``learning_rate`` of the step that would be
+    best for it alone, with penalties of ``lambda`` and ``alpha`` times the rows.
+
+    A step changes all gradients linearly, so the products of some columns tell what every later
+    step of the round will meet: one scan per round and block of columns (one in all for
+    squared error and a single block), and the driver holds a block's products only.
+    """
+    k, rate = len(features), p["learning_rate"]
+    l2, l1 = p["lambda"] * rows, p["alpha"] * rows
+    cells = df.select(y.alias("y"), F.array(*[col(f).cast("double") for f in features]).alias("x"))
+    intercept, weights = base, np.zeros(k)
+    blocks = [np.arange(s, min(s + STEP_COLUMNS, k)) for s in range(0, k, STEP_COLUMNS)]
+    known = False
+    for _ in range(p["num_boost_round"]):
+        for i, block in enumerate(blocks):
+            if not known or logistic or len(blocks) > 1:  # else the gradient has followed every step
+                curvature, gradient = _products(cells, block, intercept, weights, logistic)
+                known = True
+            # Place 0 is the intercept, which takes its step at the start of the round.
+            steps = np.zeros(len(block) + 1)
+            if i == 0:
+                steps[0] = -rate * gradient[0] / curvature[0, 0] if curvature[0, 0] > 0 else 0.0
+                gradient = gradient + curvature[0] * steps[0]
+            for at, j in enumerate(block, start=1):
+                steps[at] = rate * _best_step(gradient[at], curvature[at, at], weights[j], l1, l2)
+                gradient = gradient + curvature[at] * steps[at]
+            intercept += steps[0]
+            weights[block] += steps[1:]
+    return LinearModel(tuple(features), tuple(map(float, weights)), float(intercept), logistic, "xgb")
+
+
+def _best_step(g: float, h: float, w: float, l1: float, l2: float) -> float:
+    """The change of one weight that is best for it alone; none across zero."""
+    if h + l2 <= 0:
+        return 0.0
+    pull = g + l2 * w
+    if w - pull / (h + l2) >= 0:
+        return max(-(pull + l1) / (h + l2), -w)
+    return min(-(pull - l1) / (h + l2), -w)
+
+
+def _products(cells: DataFrame, block: np.ndarray, intercept: float, weights: np.ndarray, logistic: bool):
+    """Sums over the rows of h z z' and g z, for z one and the block's columns."""
+    k, size = len(weights), len(block) + 1
+    upper = np.flatnonzero(np.triu(np.ones((size, size))))
+
+    def run(batches):
+        second, first = np.zeros((size, size)), np.zeros(size)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            g, h = gradients(intercept + x @ weights, batch.column("y").to_numpy(zero_copy_only=False), logistic)
+            z = np.column_stack([np.ones(len(x)), x[:, block]])
+            second += (z * h[:, None]).T @ z
+            first += z.T @ g
+        cell = np.r_[upper, size * size + np.arange(size)].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.r_[second.ravel()[upper], first])], names=["cell", "total"])
+
+    summed = cells.mapInArrow(run, "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
+    out = np.zeros(size * size + size)
+    out[summed["cell"].to_numpy()] = summed["total"].to_numpy()
+    second = out[: size * size].reshape(size, size)
+    return second + np.triu(second, 1).T, out[size * size :]
+
+
 def lr_train(df: DataFrame, label, ids=(), **attributes) -> LinearModel:
     """Train on all features but the ids and the label.
 

@@ -452,3 +452,42 @@ def test_large_and_small_models_add_in_one_order(spark, monkeypatch):
     small = [r[0] for r in df.select(model.score(df)).collect()]
     monkeypatch.setattr(boosting, "EXPRESSION_NODES", 0)
     assert small == [r[0] for r in df.select(model.score(df)).collect()]
+
+
+@pytest.mark.parametrize("objective", ["reg:squarederror", "binary:logistic"])
+def test_linear_booster_takes_steps(data, monkeypatch, objective):
+    """Rounds of coordinate descent by hand; blocks of columns change nothing."""
+    from featurekit.operators import linear
+
+    pdf, df = data
+    logistic = objective == "binary:logistic"
+    label = "y" if logistic else "v"
+    x, y = pdf[["a", "b", "c"]].to_numpy(), pdf[label].to_numpy().astype(float)
+    n, rate, l2, l1 = len(y), 0.4, 0.05 * len(y), 0.02 * len(y)
+    b, w, wanted = 0.0 if logistic else 0.5, np.zeros(3), {}
+    for rounds in range(1, 6):
+
+        def gradient(z=None):
+            margin = b + x @ w
+            p = 1 / (1 + np.exp(-margin)) if logistic else margin
+            return p - y, p * (1 - p) if logistic else np.ones(n)
+
+        g, h = gradient()
+        step = -rate * g.sum() / h.sum()
+        b, g = b + step, g + h * step  # within a round, gradients follow the steps
+        for j in range(3):
+            big_g, big_h = (g * x[:, j]).sum() + l2 * w[j], (h * x[:, j] ** 2).sum() + l2
+            sign = 1 if w[j] - big_g / big_h >= 0 else -1
+            best = -(big_g + sign * l1) / big_h
+            step = rate * (max(best, -w[j]) if sign > 0 else min(best, -w[j]))
+            w[j] += step
+            g = g + h * x[:, j] * step
+        wanted[rounds] = [b, *w]
+    settings = {"objective": objective, "booster": "gblinear", "linear_steps": True, "learning_rate": rate, "lambda": 0.05, "alpha": 0.02}
+    for rounds in (1, 2, 5):
+        model = xgb_train(df, label, num_boost_round=rounds, **settings)
+        assert [model.intercept, *model.coefficients] == pytest.approx(wanted[rounds], rel=1e-9, abs=1e-12)
+    monkeypatch.setattr(linear, "STEP_COLUMNS", 2)
+    model = xgb_train(df, label, num_boost_round=2, **settings)
+    # A later block of the logistic loss sees gradients made anew, so only squares agree exactly.
+    assert [model.intercept, *model.coefficients] == pytest.approx(wanted[2], rel=1e-9, abs=0.01 if logistic else 1e-12)
