@@ -30,8 +30,9 @@ from featurekit.llm.links import connect, pairs_between, shared_buckets
 from featurekit.llm.tables import id_and_text, release, written
 from featurekit.llm.words import mix, shingles, slices, words
 
-#: Bits of a sketch for each shingle in which alike sets of its size may differ; 64 at least, a power of two.
-BITS_PER_DIFFERENCE = 4
+#: Bits of a sketch: so many for each shingle in which alike sets of its size may differ, a power
+#: of two, and at least these. Narrow sketches of small sets that share a passage tell too little.
+BITS_PER_DIFFERENCE, LEAST_BITS = 8, 1024
 #: Blocks beyond the pigeonhole's number, as a share of it.
 SPARE = 0.25
 
@@ -108,7 +109,7 @@ def sketch_of(found: np.ndarray, similarity: Fraction) -> np.ndarray:
     """Parity bits, as 64-bit words; more of them for sets that may differ in more shingles. A
     sketch of half the bits is both halves' XOR."""
     differ = int(2 * len(found) * (1 - similarity) / (1 + similarity))
-    bits = max(64, 1 << (BITS_PER_DIFFERENCE * differ - 1).bit_length()) if differ else 64
+    bits = max(LEAST_BITS, 1 << (BITS_PER_DIFFERENCE * differ).bit_length())
     odd = np.bincount(((found >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
