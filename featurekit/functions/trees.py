@@ -81,6 +81,16 @@ def draws(row_id: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_DRAWS, _uniform(row_id, seed, tree) / 2.0**53, side="right").astype(np.float64)
 
 
+DRAWN = "code long, n double, y double"
+
+
+def drawn_batch(code: np.ndarray, n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Rows drawn and their labels' sum per code."""
+    found, place = np.unique(code, return_inverse=True)
+    sums = [np.bincount(place, weights, len(found)) for weights in (n, n * y)]
+    return pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["code", "n", "y"])
+
+
 class GradientSums:
     """Sums of gradient, curvature and rows per (node, feature, bin). Slot 0 of a feature
     holds its missing values (bin -1)."""
@@ -123,13 +133,13 @@ class GradientSums:
         return node, feature, np.ascontiguousarray(found)
 
 
-def gathered(parts: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row arrays of several batches put together, about ROWS_PER_SUM rows at a time."""
+def gathered(parts: Iterable[tuple[np.ndarray, ...]], size: int = ROWS_PER_SUM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row arrays of several batches put together, about ``size`` rows at a time."""
     held, rows = [], 0
     for part in parts:
         held.append(part)
         rows += len(part[0])
-        if rows >= ROWS_PER_SUM:
+        if rows >= size:
             yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
             held, rows = [], 0
     if rows:

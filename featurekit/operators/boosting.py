@@ -167,14 +167,14 @@ def _boost(trainer: _Trainer, rounds: int, grow, mode: str = "gbdt") -> list[dic
         if mode != "rf":
             now = [0.0 if i in dropped else w for i, w in enumerate(weights)]
             pending = [(t, a - b) for t, a, b in zip(trees, now, stored) if a != b]
-            folded = table.begin_tree(pending)
+            folded = table.begin_tree(pending, tree_no)
             if pending and not folded and tree_no % TREES_PER_TABLE == 0:
                 table.fold_margins(pending)
                 folded = True
             if folded:
                 pending, stored = [], now
         else:
-            table.begin_tree([])
+            table.begin_tree([], tree_no)
         tree = grow(pending, features, tree_no)
         trees.append(tree)
         finished.append(table.final(tree))

@@ -2,7 +2,10 @@
 
 Rows carry their label, margin and, in deep trees, the node they have reached, so no task
 walks earlier trees or a deep tree from its root. Three ways to search, one scan of the rows
-per level each; the driver sees one row per node:
+per level each; the driver sees one row per node. Where bins can differ in fewer ways than half
+the number of rows, ``hist`` keeps one row per combination of bins, with its number of rows and
+their mean label: rows of equal bins share every node and margin, and gradients are linear in the
+label, so all sums stay the same.
 
 ``hist``
     Tasks sum gradients per (node, feature, bin). In tables whose scan is dear, only the smaller
@@ -19,6 +22,7 @@ per level each; the driver sees one row per node:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -33,6 +37,7 @@ from ..functions.bins import distinct_edges, equal_frequency_probs, with_bin_num
 from ..functions.quantiles import column_chunks, exact_quantiles
 from ..functions.trees import (
     CUTS,
+    DRAWN,
     SUMS,
     GradientSums,
     Summaries,
@@ -40,6 +45,7 @@ from ..functions.trees import (
     cell_matrix,
     cells_of,
     cuts_batch,
+    drawn_batch,
     draws,
     gathered,
     gradients,
@@ -67,6 +73,10 @@ SMALL_ROWS, ROWS_PER_TASK = 4_000_000, 20_000
 TASKS_PER_CORE = 4
 # Cells (rows times features) from which on a scan costs more than keeping its sums as a table.
 KEEP_CELLS = 200_000_000
+# Rows per possible combination of bins from which on equal rows are put together.
+ROWS_PER_GROUP = 2
+# Rows whose draws are put together at a time.
+DRAWS_PER_SUM = 1 << 20
 # Bytes of sums that one task adds up.
 BYTES_PER_PARTITION = 32 << 20
 # Entries of a weighted summary per cut, and summaries that one task merges.
@@ -138,6 +148,8 @@ class TrainingTable:
 
     #: The column that trees are walked on: bin numbers or values.
     cells = "bins"
+    #: Whether a row stands for ``weight`` rows of equal bins, with their mean label.
+    grouped = False
 
     def __init__(self, df: DataFrame, features: Sequence[str], y: Column, base: float, logistic: bool, p: dict, rows: int):
         self.features, self.logistic, self.p = list(features), logistic, p
@@ -153,8 +165,10 @@ class TrainingTable:
         # Columns at f0, f1, …: the table's own names cannot clash.
         values = df.select(y.alias("y"), *[as_double(df, f).alias(f"f{i}") for i, f in enumerate(features)])
         binned = self.start(df, values)
-        if rows < SMALL_ROWS:
-            binned = binned.repartition(max(1, min(self.cores, -(-rows // ROWS_PER_TASK))))
+        if self.rows < SMALL_ROWS:
+            # Groups go by their key: their means may differ in the last bit when a task runs again.
+            keys = ["code"] if self.grouped else []
+            binned = binned.repartition(max(1, min(self.cores, -(-self.rows // ROWS_PER_TASK))), *keys)
         self.rewrite(
             binned.select(
                 F.monotonically_increasing_id().alias("row"), "y", F.lit(float(base)).alias("margin"),
@@ -225,7 +239,7 @@ class TrainingTable:
         self.rewrite(self.table.mapInArrow(move, self.table.schema))
         self.stored_for = tree_no
 
-    def begin_tree(self, pending: Sequence[tuple[dict, float]]) -> bool:
+    def begin_tree(self, pending: Sequence[tuple[dict, float]], tree_no: int) -> bool:
         """Called before a tree is grown; whether the pending trees were added to the margins."""
         self.steps = 0
         self.drop_sums()
@@ -268,12 +282,17 @@ class TrainingTable:
     def rows_of_nodes(self, growth: Growth, nodes: Sequence[int], pending, tree_no: int):
         """batch -> (leaf, cells, g, h, times drawn or None, batch) of the rows drawn for this tree."""
         tree, logistic, p = growth.arrays(), self.logistic, self.p
-        share, seed, bagging = p["subsample"], p["seed"], p.get("bagging", False)
+        share, seed, bagging, grouped = p["subsample"], p["seed"], p.get("bagging", False), self.grouped
         read = self.reader(pending, tree_no)
 
         def rows(batch):
             n = None
-            if bagging:
+            if grouped:
+                n = batch.column("weight").to_numpy()
+                keep = n > 0
+                n = n[keep]
+                batch = batch.filter(pa.array(keep))
+            elif bagging:
                 n = draws(batch.column("row").to_numpy(), seed, tree_no)
                 keep = n > 0
                 n = n[keep]
@@ -296,6 +315,9 @@ class TrainingTable:
 class BinnedTable(TrainingTable):
     """Cuts at quantiles, the same for all trees."""
 
+    #: All rows (row, y, code), where trees are grown on groups of the rows drawn for each.
+    drawn_from: DataFrame | None = None
+
     def start(self, df, values):
         bins = self.p["max_bin"]
         # The maximum splits nothing off; the minimum splits off the rows equal to it.
@@ -305,7 +327,48 @@ class BinnedTable(TrainingTable):
         for i, edges in enumerate(self.edges):
             values = with_bin_number(values, f"b{i}", f"f{i}", edges)
         numbers = [F.coalesce(F.col(f"b{i}"), F.lit(-1)).cast("short") for i in range(len(self.features))]
-        return values.select("y", F.array(*numbers).alias("bins"))
+        sizes = [len(e) + 2 for e in self.edges]  # with a place for missing values
+        cells = math.prod(sizes)
+        if cells * ROWS_PER_GROUP > self.rows:
+            return values.select("y", F.array(*numbers).alias("bins"))
+        self.grouped, self.rows = True, cells
+        code, places, step = F.lit(0).cast("long"), [], 1
+        for number, size in zip(numbers, sizes, strict=True):
+            code += (number.cast("long") + 1) * step
+            places.append(F.expr(f"CAST(code div {step} % {size} - 1 AS SMALLINT)"))
+            step *= size
+        coded = values.select("y", code.alias("code"))
+        if self.p.get("bagging", False) or self.p["subsample"] < 1:
+            # Each tree draws from the rows anew.
+            path = f"{self.folder}/rows"
+            coded.select(F.monotonically_increasing_id().alias("row"), "y", "code").write.parquet(path)
+            self.drawn_from = coded = self.spark.read.schema("row long, y double, code long").parquet(path)
+        groups = coded.groupBy("code").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("weight"))
+        return groups.select("y", "weight", "code", F.array(*places).alias("bins"))
+
+    def begin_tree(self, pending, tree_no):
+        super().begin_tree(pending, tree_no)
+        if self.drawn_from is None:
+            return False
+        share, seed, bagging = self.p["subsample"], self.p["seed"], self.p.get("bagging", False)
+
+        def draw(batches):
+            def parts():
+                for batch in batches:
+                    row = batch.column("row").to_numpy()
+                    n = draws(row, seed, tree_no) if bagging else sampled(row, seed, tree_no, share).astype(float)
+                    keep = n > 0
+                    yield batch.column("code").to_numpy()[keep], n[keep], batch.column("y").to_numpy()[keep]
+
+            for part in gathered(parts(), DRAWS_PER_SUM):
+                yield drawn_batch(*part)
+
+        found = self.drawn_from.mapInArrow(draw, DRAWN).groupBy("code")
+        found = found.agg(F.sum("n").alias("weight"), (F.sum("y") / F.sum("n")).alias("y"))
+        joined = self.table.drop("y", "weight").join(found, "code", "left")
+        self.rewrite(joined.select([F.coalesce(c, F.lit(0.0)).alias(c) if c in ("y", "weight") else c for c in self.table.columns]))
+        self.stored_for = -1
+        return False
 
     def search(self, growth, nodes, pending, features, tree_no, last):
         width = len(features) * (self.bins + 1)
@@ -414,8 +477,8 @@ class WeightedTable(BinnedTable):
         empty = F.array(*[F.lit(-1).cast("short") for _ in self.features])
         return values.select("y", F.array(*[f"f{i}" for i in range(len(self.features))]).alias("x"), empty.alias("bins"))
 
-    def begin_tree(self, pending):
-        super().begin_tree(pending)
+    def begin_tree(self, pending, tree_no):
+        super().begin_tree(pending, tree_no)
         read, width, logistic = self.reader(pending), len(self.features), self.logistic
         size = SUMMARY_ENTRIES * self.p["max_bin"]
 

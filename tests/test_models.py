@@ -424,6 +424,46 @@ def test_sibling_sums_and_stored_nodes_change_nothing(data, monkeypatch):
         assert list(a["cut"]) == list(b["cut"]) and np.allclose(a["value"], b["value"])
 
 
+@pytest.mark.parametrize("kind", ["gbdt", "dart", "rf", "levels", "sampled"])
+@pytest.mark.parametrize("logistic", [False, True])
+def test_rows_of_equal_bins_train_as_one(spark, monkeypatch, kind, logistic):
+    """A row per combination of bins gives the trees that the rows give, missing cells included."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, n) * 1.0, "b": rng.integers(0, 4, n) * 0.5})
+    pdf["v"] = pdf["a"] * pdf["b"] + np.where(pdf["a"] > 2, 1.5, 0) + rng.normal(size=n)
+    pdf["y"] = (pdf["v"] > pdf["v"].median()).astype(int)
+    pdf.loc[rng.random(n) < 0.1, "a"] = None
+    df = with_roles(spark.createDataFrame(pdf.drop(columns="v" if logistic else "y")), labels=["y" if logistic else "v"])
+    label = "y" if logistic else "v"
+    sizes, rewrite = [], growth.TrainingTable.rewrite
+
+    def counted(self, table):
+        rewrite(self, table)
+        sizes.append(self.table.count())
+
+    monkeypatch.setattr(growth.TrainingTable, "rewrite", counted)
+    monkeypatch.setattr(growth, "SMALL_ROWS", 0)  # rows keep their numbers, so draws are the same
+
+    def train():
+        if kind in ("levels", "sampled"):
+            objective = "binary:logistic" if logistic else "reg:squarederror"
+            share = 0.7 if kind == "sampled" else 1.0
+            return xgb_train(df, label, objective=objective, num_boost_round=3, max_depth=3, subsample=share)
+        objective = "binary" if logistic else "regression"
+        return lgbm_train(df, label, objective=objective, boosting_type=kind, n_estimators=4, num_leaves=8)
+
+    together = train()
+    assert sizes and max(sizes) <= 7 * 4
+    monkeypatch.setattr(growth, "ROWS_PER_GROUP", 10**9)
+    sizes.clear()
+    alone = train()
+    assert min(sizes) == n
+    for a, b in zip(together.trees, alone.trees, strict=True):
+        assert list(a["feature"]) == list(b["feature"]) and list(a["cut"]) == list(b["cut"])
+        assert list(a["default_left"]) == list(b["default_left"]) and np.allclose(a["value"], b["value"], rtol=1e-9, atol=1e-12)
+
+
 def test_forest_draws():
     from featurekit.functions.trees import draws
 
