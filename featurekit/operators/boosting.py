@@ -34,8 +34,9 @@ from .project import missing_count
 
 # Trees after which the margins in the table are brought up to date.
 TREES_PER_TABLE = 1
-# Up to here a model is scored by compiled comparisons, beyond by vectorised batches.
-EXPRESSION_NODES = 400
+# Up to here a model is scored by compiled comparisons, beyond by vectorised batches. A node takes
+# up to 90 bytes of code, and the JIT leaves methods of more than 8000 to the interpreter.
+EXPRESSION_NODES = 64
 
 # Defaults of the leaf-wise trainer that have no attribute: fixed values.
 LEAFWISE = {"max_bin": 255, "min_rows": 20, "min_child_weight": 1e-3}

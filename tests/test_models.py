@@ -531,3 +531,19 @@ def test_linear_booster_takes_steps(data, monkeypatch, objective):
     model = xgb_train(df, label, num_boost_round=2, **settings)
     # A later block of the logistic loss sees gradients made anew, so only squares agree exactly.
     assert [model.intercept, *model.coefficients] == pytest.approx(wanted[2], rel=1e-9, abs=0.01 if logistic else 1e-12)
+
+
+@pytest.mark.parametrize("trees,leaves", [(1, 32), (4, 8), (3, 50)])
+def test_scoring_code_fits_the_jit(spark, monkeypatch, trees, leaves):
+    """Methods of more than 8000 bytes are interpreted, so every row would be scored slowly."""
+    pdf = pd.DataFrame({"x": np.repeat(np.arange(50.0), 25)})
+    pdf["y"] = np.random.default_rng(3).random(50)[pdf["x"].astype(int)]
+    df = spark.createDataFrame(pdf).coalesce(1)
+    model = lgbm_train(with_roles(df, labels=["y"]), "y", objective="regression", n_estimators=trees, num_leaves=leaves)
+    seen = df.select(model.score(df).alias("pred"))._jdf.queryExecution().debug().codegenToSeq()
+    assert max(seen.apply(i)._3().maxMethodCodeSize() for i in range(seen.size())) <= 8000
+    found = []
+    for limit in (10_000, 0):
+        monkeypatch.setattr(boosting, "EXPRESSION_NODES", limit)
+        found.append([r[0] for r in df.select(model.score(df)).collect()])
+    assert found[0] == found[1]
