@@ -158,17 +158,23 @@ def _coded_long(rows: DataFrame, open_columns: Mapping[int, str], state: Mapping
     return rows.select("c", code.alias("code"), "x").select("c", "code", F.when(inside, x).alias("v"))
 
 
+def _sketched(coded: DataFrame) -> DataFrame:
+    """Rows per (c, code), with the range and a sketch of the values that were read. Sketches of
+    many groups sort their rows, so the rows without a value, most of them, are counted apart."""
+    n, read = F.count(F.lit(1)).alias("n"), F.col("v").isNotNull()
+    cells = [i / _CELLS for i in range(_CELLS + 1)]
+    inside = coded.where(read).groupBy("c", "code").agg(
+        n, F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", cells, ACCURACY).alias("grid")
+    )
+    outside = coded.where(~read).groupBy("c", "code").agg(n)
+    return inside.unionByName(outside, allowMissingColumns=True)
+
+
 def _step(coded: DataFrame, open_columns: Mapping[int, str], state: Mapping[int, _Column]) -> None:
     if sum(state[i].expected() for i in open_columns) <= COLLECT_LIMIT:
         found = coded.groupBy("c", "code", "v").agg(F.count(F.lit(1)).alias("n"))
     else:
-        cells = [i / _CELLS for i in range(_CELLS + 1)]
-        found = coded.groupBy("c", "code").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("low"),
-            F.max("v").alias("high"),
-            F.percentile_approx("v", cells, ACCURACY).alias("grid"),
-        )
+        found = _sketched(coded)
     table = found.toArrow()
     number = table["c"].to_numpy()
     for i in open_columns:

@@ -42,6 +42,19 @@ def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(spark.range(1), ["id"], [0.25, 1.0]) == {"id": [0.0, 0.0]}
 
 
+def test_only_values_that_were_read_are_sketched(spark):
+    """Rows between the brackets are counted by hash, whatever the number of groups."""
+    rows = [(0, 2 * i, None) for i in range(300) for _ in range(3)] + [(1, 7, float(i)) for i in range(50)]
+    coded = spark.createDataFrame(rows, "c int, code int, v double")
+    found = quantiles._sketched(coded)
+    got = {(r["c"], r["code"]): (r["n"], r["low"], r["high"]) for r in found.collect()}
+    assert got == {**{(0, 2 * i): (3, None, None) for i in range(300)}, (1, 7): (50, 0.0, 49.0)}
+    assert [r["grid"] and len(r["grid"]) for r in found.where("c = 1 OR code = 0").orderBy("c").collect()] == [None, 201]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sketched = plan[plan.index("percentile_approx") :]
+    assert "Filter isnotnull(v" in sketched[: sketched.index("Aggregate [", 1)]
+
+
 @pytest.mark.parametrize("right_closed", [True, False])
 @pytest.mark.parametrize("count", [1, 5, 300])
 def test_bin_numbers(spark, right_closed, count):
