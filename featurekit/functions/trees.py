@@ -81,14 +81,16 @@ def draws(row_id: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_DRAWS, _uniform(row_id, seed, tree) / 2.0**53, side="right").astype(np.float64)
 
 
-DRAWN = "code long, n double, y double"
+def drawn_fields(trees: int) -> str:
+    return ", ".join(["code long", *[f"n{i} double, y{i} double" for i in range(trees)]])
 
 
-def drawn_batch(code: np.ndarray, n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Rows drawn and their labels' sum per code."""
+def drawn_batch(code: np.ndarray, y: np.ndarray, *times: np.ndarray) -> pa.RecordBatch:
+    """Rows drawn and their labels' sum per code, for each of some trees."""
     found, place = np.unique(code, return_inverse=True)
-    sums = [np.bincount(place, weights, len(found)) for weights in (n, n * y)]
-    return pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["code", "n", "y"])
+    sums = [np.bincount(place, weights, len(found)) for n in times for weights in (n, n * y)]
+    names = [f"{c}{i}" for i in range(len(times)) for c in "ny"]
+    return pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["code", *names])
 
 
 class GradientSums:

@@ -221,7 +221,7 @@ def xgb_train(df: DataFrame, label, ids=(), linear_steps: bool = False, **attrib
             p["num_boost_round"], 1e-6, s["spread"] or 0.0, s["mean"], "xgb", s["n"],
         )
     base = _log_odds(p["base_score"]) if logistic else p["base_score"]
-    settings = {**p, "min_rows": 0}
+    settings = {**p, "min_rows": 0, "rounds": p["num_boost_round"]}
     table = training_table(p["tree_method"])(df, features, y, base, logistic, settings, s["n"])
     trainer = _Trainer(table, settings)
     try:
@@ -257,6 +257,7 @@ def lgbm_train(df: DataFrame, label, ids=(), seed: int = 42, **attributes) -> Tr
         "colsample_bytree": 1.0,
         "subsample": 1.0,
         "bagging": forest,
+        "rounds": p["n_estimators"],
         "seed": seed,
         **LEAFWISE,
     }

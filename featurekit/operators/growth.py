@@ -37,7 +37,6 @@ from ..functions.bins import distinct_edges, equal_frequency_probs, with_bin_num
 from ..functions.quantiles import column_chunks, exact_quantiles
 from ..functions.trees import (
     CUTS,
-    DRAWN,
     SUMS,
     GradientSums,
     Summaries,
@@ -46,6 +45,7 @@ from ..functions.trees import (
     cells_of,
     cuts_batch,
     drawn_batch,
+    drawn_fields,
     draws,
     gathered,
     gradients,
@@ -75,8 +75,8 @@ TASKS_PER_CORE = 4
 KEEP_CELLS = 200_000_000
 # Rows per possible combination of bins from which on equal rows are put together.
 ROWS_PER_GROUP = 2
-# Rows whose draws are put together at a time.
-DRAWS_PER_SUM = 1 << 20
+# Rows whose draws are put together at a time, and trees that share the scan of the rows.
+DRAWS_PER_SUM, TREES_PER_DRAW = 1 << 20, 4
 # Bytes of sums that one task adds up.
 BYTES_PER_PARTITION = 32 << 20
 # Entries of a weighted summary per cut, and summaries that one task merges.
@@ -317,6 +317,9 @@ class BinnedTable(TrainingTable):
 
     #: All rows (row, y, code), where trees are grown on groups of the rows drawn for each.
     drawn_from: DataFrame | None = None
+    #: What some trees draw from them, and its folder.
+    drawn: DataFrame | None = None
+    drawn_at: str | None = None
 
     def start(self, df, values):
         bins = self.p["max_bin"]
@@ -350,25 +353,39 @@ class BinnedTable(TrainingTable):
         super().begin_tree(pending, tree_no)
         if self.drawn_from is None:
             return False
+        at = tree_no % TREES_PER_DRAW
+        if at == 0:
+            # What a tree draws does not depend on the trees before it.
+            self.draw(range(tree_no, min(tree_no + TREES_PER_DRAW, self.p["rounds"])))
+        n, y = F.col(f"n{at}"), F.col(f"y{at}")
+        found = self.drawn.where(n > 0).select("code", n.alias("weight"), (y / n).alias("y"))
+        joined = self.table.drop("y", "weight").join(found, "code", "left")
+        self.rewrite(joined.select([F.coalesce(c, F.lit(0.0)).alias(c) if c in ("y", "weight") else c for c in self.table.columns]))
+        self.stored_for = -1
+        return False
+
+    def draw(self, trees: range) -> None:
+        """A table of the rows drawn and their labels' sums per code, for each of some trees."""
         share, seed, bagging = self.p["subsample"], self.p["seed"], self.p.get("bagging", False)
 
         def draw(batches):
             def parts():
                 for batch in batches:
                     row = batch.column("row").to_numpy()
-                    n = draws(row, seed, tree_no) if bagging else sampled(row, seed, tree_no, share).astype(float)
-                    keep = n > 0
-                    yield batch.column("code").to_numpy()[keep], n[keep], batch.column("y").to_numpy()[keep]
+                    times = [draws(row, seed, t) if bagging else sampled(row, seed, t, share).astype(float) for t in trees]
+                    keep = np.any(times, axis=0)
+                    yield batch.column("code").to_numpy()[keep], batch.column("y").to_numpy()[keep], *[n[keep] for n in times]
 
             for part in gathered(parts(), DRAWS_PER_SUM):
                 yield drawn_batch(*part)
 
-        found = self.drawn_from.mapInArrow(draw, DRAWN).groupBy("code")
-        found = found.agg(F.sum("n").alias("weight"), (F.sum("y") / F.sum("n")).alias("y"))
-        joined = self.table.drop("y", "weight").join(found, "code", "left")
-        self.rewrite(joined.select([F.coalesce(c, F.lit(0.0)).alias(c) if c in ("y", "weight") else c for c in self.table.columns]))
-        self.stored_for = -1
-        return False
+        found = self.drawn_from.mapInArrow(draw, drawn_fields(len(trees))).groupBy("code")
+        found = found.agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in range(len(trees)) for c in "ny"])
+        if self.drawn_at:
+            self.passed.append(self.drawn_at)
+        self.drawn_at = f"{self.folder}/drawn-{trees.start}"
+        found.write.parquet(self.drawn_at)
+        self.drawn = self.spark.read.schema(found.schema).parquet(self.drawn_at)
 
     def search(self, growth, nodes, pending, features, tree_no, last):
         width = len(features) * (self.bins + 1)

@@ -547,3 +547,26 @@ def test_scoring_code_fits_the_jit(spark, monkeypatch, trees, leaves):
         monkeypatch.setattr(boosting, "EXPRESSION_NODES", limit)
         found.append([r[0] for r in df.select(model.score(df)).collect()])
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("forest", [True, False])
+def test_trees_share_the_scan_of_drawn_rows(spark, monkeypatch, forest):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 8, 600) * 1.0})
+    pdf["v"] = pdf["a"] ** 2 + rng.normal(size=600)
+    df = with_roles(spark.createDataFrame(pdf), labels=["v"])
+    scans, draw = [], growth.BinnedTable.draw
+    monkeypatch.setattr(growth.BinnedTable, "draw", lambda self, trees: (scans.append(len(trees)), draw(self, trees)))
+
+    def train():
+        if forest:
+            return lgbm_train(df, "v", objective="regression", boosting_type="rf", n_estimators=5, num_leaves=3)
+        return xgb_train(df, "v", objective="reg:squarederror", num_boost_round=5, max_depth=1, subsample=0.6)
+
+    together = train()
+    assert scans == [4, 1]
+    monkeypatch.setattr(growth, "TREES_PER_DRAW", 1)
+    for a, b in zip(together.trees, train().trees, strict=True):
+        assert list(a["feature"]) == list(b["feature"]) and list(a["cut"]) == list(b["cut"])
+        assert np.allclose(a["value"], b["value"], rtol=1e-9)
+    assert scans == [4, 1, 1, 1, 1, 1, 1]
