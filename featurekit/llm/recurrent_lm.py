@@ -4,7 +4,8 @@ The head of the training texts' words forms classes of equal size, about as many
 has words, so that both grow with the root of the head. One more class holds all other words
 (and another those of the head that a smaller layout of classes leaves out). A word's
 probability is its class's, given the state, times its own within the class: a softmax for
-the head, smoothed counts for the others. Training is truncated backpropagation through windows that carry
+the head, smoothed counts for the others. The softmax of the classes, and that of the first class,
+which holds about a third of the tokens, goes in two steps: a group of places, then the place. Training is truncated backpropagation through windows that carry
 the state on, by tasks that start from the same weights and whose results are averaged.
 Scoring carries the state through a whole document.
 
@@ -44,6 +45,8 @@ TASK_TOKENS = 4_000_000
 PIECE = 1 << 20
 #: Scoring: lanes, steps of a window, and bytes of text that are scored together.
 SCORE_LANES, SCORE_WINDOW, SCORE_BYTES = 256, 64, 8 << 20
+#: Tokens at least, short of the last, whose probabilities are looked up together, class by class.
+SCORE_TOKENS = 1 << 16
 
 END = np.uint64(0xE0D0F7E87)
 #: Added to counts, and once more for all unknown words together.
@@ -172,32 +175,118 @@ def first_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     out = {k: rng.standard_normal(s, np.float32) * np.float32(0.1) for k, s in shapes(*vocabulary.frequent.shape).items()}
     out["members"] *= 0.1
-    share = vocabulary.class_counts + 0.5
-    out["class_bias"] = np.log(share / share.sum()).astype(np.float32)
+    out["class_bias"] = _two_step_bias(vocabulary.class_counts + 0.5).astype(np.float32)
     member = vocabulary.frequent + SMOOTH
     member.ravel()[len(vocabulary.hashes) :] = 1e-9  # no words: the last class may not be full
-    out["member_bias"] = np.log(member / member.sum(axis=1, keepdims=True)).astype(np.float32)
+    bias = np.log(member / member.sum(axis=1, keepdims=True))
+    bias[0] = _two_step_bias(member[0])
+    out["member_bias"] = bias.astype(np.float32)
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """The rows' shares, in place of x."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+# A softmax over K places in two steps takes a weight column per place, like a plain one: that of
+# a group's first place is the group's logit, and the first place's own, inside its group, is 0.
+
 
+def _group_size(places: int) -> int:
+    return math.isqrt(max(places - 1, 0)) + 1
 
-def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax of one place of each row; x is lost."""
-    rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    own = x[rows, at]
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+def _two_step_bias(share: np.ndarray) -> np.ndarray:
+    size = _group_size(len(share))
+    heads = np.arange(0, len(share), size)
+    out = np.log(share / share[heads].repeat(size)[: len(share)])
+    out[heads] = np.log(np.add.reduceat(share, heads) / share.sum())
+    return out
+
+
+def _exps(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, pinned: bool = False, at: np.ndarray | None = None) -> tuple:
+    """exp of the rows' logits, their sums, and the logits at ``at``. ``pinned``: one place more,
+    before the others, has the logit 0. Rows are shifted by their greatest logit only where
+    exp would leave the range of floats."""
+    x = states @ weights
+    x += bias
+    own = None
+    if at is not None:
+        own = np.where(at < 0, 0, x[np.arange(len(x)), at]) if pinned else x[np.arange(len(x)), at]
+    ones = np.ones(x.shape[1], x.dtype)
+    total = np.exp(x, out=x) @ ones
+    if pinned:
+        total += 1
+    if not (total.min() > 1e-20 and total.max() < 1e30):
+        x = states @ weights + bias
+        top = x.max(axis=1)
+        if pinned:
+            top = np.maximum(top, 0)
+        x -= top[:, None]
+        total = np.exp(x, out=x) @ ones
+        if pinned:
+            total += np.exp(-top)
+        if own is not None:
+            own = own - top
+    return x, total, own
+
+
+def _groups_of(places: int, at: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Columns of each group but its first, and the rows (sorted by place) that are in the group."""
+    size = _group_size(places)
+    ends = np.searchsorted(at, np.arange(0, places + size, size))
+    for g in range(len(ends) - 1):
+        columns = slice(g * size + 1, min(g * size + size, places))
+        if ends[g] < ends[g + 1] and columns.start < columns.stop:
+            yield columns, slice(ends[g], ends[g + 1])
+
+
+def _log_share(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of one place of each row."""
+    _, total, own = _exps(states, weights, bias, at=at)
+    return own - np.log(total)
+
+
+def _two_step_log_share(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same in two steps; rows are sorted by place."""
+    size = _group_size(weights.shape[1])
+    out = _log_share(states, weights[:, ::size], bias[::size], at // size)
+    for columns, rows in _groups_of(weights.shape[1], at):
+        _, total, own = _exps(states[rows], weights[:, columns], bias[columns], True, at[rows] - columns.start)
+        out[rows] += own - np.log(total)
+    return out
+
+
+def _gradient(states: np.ndarray, scaled: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, pinned: bool = False) -> tuple:
+    """Of the summed -log softmax: by states (to be scaled), by weights and by bias; ``scaled`` are
+    the states times the scale."""
+    found, total, _ = _exps(states, weights, bias, pinned)
+    if pinned:
+        inner = np.flatnonzero(at >= 0)
+        found[inner, at[inner]] -= total[inner]
+    else:
+        found[np.arange(len(at)), at] -= total
+    inverse = 1 / total  # found are the softmax's gradients times total
+    by_states = found @ weights.T
+    by_states *= inverse[:, None]
+    return by_states, (scaled * inverse[:, None]).T @ found, inverse @ found
+
+
+def _two_step_gradient(states: np.ndarray, scaled: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple:
+    """The same in two steps; rows are sorted by place."""
+    size = _group_size(weights.shape[1])
+    by_weights, by_bias = np.zeros_like(weights), np.zeros_like(bias)
+    out, by_weights[:, ::size], by_bias[::size] = _gradient(states, scaled, weights[:, ::size], bias[::size], at // size)
+    for columns, rows in _groups_of(weights.shape[1], at):
+        found = _gradient(states[rows], scaled[rows], weights[:, columns], bias[columns], at[rows] - columns.start, True)
+        out[rows] += found[0]
+        by_weights[:, columns], by_bias[columns] = found[1:]
+    return out, by_weights, by_bias
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place of x."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def lanes_of(ids: np.ndarray, borders: np.ndarray, lanes: int, end_id: int) -> tuple[np.ndarray, ...]:
@@ -244,31 +333,34 @@ def stretches_of(ids: np.ndarray, borders: np.ndarray, end_id: int) -> tuple[np.
 
 
 def _forward(w: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window, and the last one."""
-    gates = w["input"][inputs]
-    out = np.empty((*inputs.shape, HIDDEN), np.float32)
+    """States after each step of a window, and the last one. A step's numbers lie lane by lane."""
+    gates = np.ascontiguousarray(w["input"][inputs].transpose(0, 2, 1))
+    out = np.empty((len(inputs), HIDDEN, inputs.shape[1]), np.float32)
+    h = np.ascontiguousarray(h.T)
     for t in range(len(inputs)):
         if fresh[t].any():
-            h = h * ~fresh[t][:, None]
-        rz = _sigmoid(gates[t, :, : 2 * HIDDEN] + h @ w["gates"])
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + (r * h) @ w["state"])
+            h = h * ~fresh[t]
+        rz = w["gates"].T @ h
+        rz += gates[t, : 2 * HIDDEN]
+        r, z = _sigmoid(rz)[:HIDDEN], rz[HIDDEN:]
+        n = w["state"].T @ (r * h)
+        n += gates[t, 2 * HIDDEN :]
+        np.tanh(n, out=n)
         if keep is not None:
             keep.append((h, rz, n))
-        h = h + z * (n - h)
-        out[t] = h
-    return out, h
+        np.subtract(n, h, out=out[t])
+        out[t] *= z
+        out[t] += h
+        h = out[t]
+    return out.transpose(0, 2, 1), h.T
 
 
-def _by_class(w: dict, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of targets of each class that has a softmax."""
+def _classes(w: dict, sorted_targets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The rows of each class that has a softmax."""
     n, _, size = w["members"].shape
-    classes = targets // size
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(n + 1))
-    for c in range(n):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+    ends = np.searchsorted(sorted_targets, np.arange(0, (n + 1) * size, size))
+    for c in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        yield c, slice(ends[c], ends[c + 1])
 
 
 def class_of(w: dict, targets: np.ndarray) -> np.ndarray:
@@ -278,68 +370,130 @@ def class_of(w: dict, targets: np.ndarray) -> np.ndarray:
 
 def log_probability(w: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target's class and, in a frequent class, of the word."""
-    out = _log_share(states @ w["classes"] + w["class_bias"], class_of(w, targets)).astype(np.float64)
-    for c, at in _by_class(w, targets):
-        out[at] += _log_share(states[at] @ w["members"][c] + w["member_bias"][c], targets[at] % w["members"].shape[2])
+    order = np.argsort(targets, kind="stable")
+    states, targets = states[order], targets[order]
+    out = np.empty(len(targets))
+    with np.errstate(over="ignore"):
+        found = _two_step_log_share(states, w["classes"], w["class_bias"], class_of(w, targets)).astype(np.float64)
+        for c, rows in _classes(w, targets):
+            share = _log_share if c else _two_step_log_share
+            found[rows] += share(states[rows], w["members"][c], w["member_bias"][c], targets[rows] - c * w["members"].shape[2])
+    out[order] = found
     return out
 
 
+#: Classes whose weights are changed together.
+CLASS_BLOCK = 8
+
+
 class Trainer:
-    """Adagrad on windows of truncated backpropagation."""
+    """Adagrad on windows of truncated backpropagation. The members' weights and biases lie in one
+    array, a class after another, and so do their gradients."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+        members = np.concatenate([weights["members"], weights["member_bias"][:, None]], axis=1)
+        self.members, self.by_members = members, np.zeros_like(members)
+        self.w = {**weights, "members": members[:, :HIDDEN], "member_bias": members[:, HIDDEN]}
         self.squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in weights.items()}
 
     def _apply(self, name: str, g: np.ndarray, at=...) -> None:
-        self.squares[name][at] += g * g
-        self.w[name][at] -= RATE * g / np.sqrt(self.squares[name][at])
+        squares = self.squares[name][at]
+        squares += g * g
+        if isinstance(at, np.ndarray):  # squares are a copy, no view
+            self.squares[name][at] = squares
+        step = np.sqrt(squares)
+        np.divide(g, step, out=step)
+        step *= np.float32(RATE)
+        self.w[name][at] -= step
 
     def window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray) -> np.ndarray:
         w, kept = self.w, []
         states, after = _forward(w, h, inputs, fresh, kept)
-        flat, want = states[real], targets[real]
+        places = np.flatnonzero(real)
+        want = targets.ravel()[places]
+        order = np.argsort(want, kind="stable")
+        places, want = places[order], want[order]
+        steps, lane = np.divmod(places, inputs.shape[1])
+        flat = states[steps, lane]
         scale = np.float32(1 / inputs.shape[1])
-        top = _softmax(flat @ w["classes"] + w["class_bias"])
-        top[np.arange(len(want)), class_of(w, want)] -= 1
-        top *= scale
-        d_flat = top @ w["classes"].T
-        for c, at in _by_class(w, want):
-            inner = _softmax(flat[at] @ w["members"][c] + w["member_bias"][c])
-            inner[np.arange(len(at)), want[at] % w["members"].shape[2]] -= 1
-            inner *= scale
-            d_flat[at] += inner @ w["members"][c].T
-            self._apply("members", flat[at].T @ inner, c)
-            self._apply("member_bias", inner.sum(axis=0), c)
-        self._apply("classes", flat.T @ top)
-        self._apply("class_bias", top.sum(axis=0))
-
-        d_states = np.zeros_like(states)
-        d_states[real] = d_flat
-        d_gates = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
+        scaled = flat * scale
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            d_flat, by_weights, by_bias = _two_step_gradient(flat, scaled, w["classes"], w["class_bias"], class_of(w, want))
+            more, total = self._learn_members(flat, scale, want, False)
+            if len(total) and not (total.min() > 1e-20 and total.max() < 1e30):
+                more, total = self._learn_members(flat, scale, want, True)
+        d_flat[: len(more)] += more
+        for c in range(0, len(self.members), CLASS_BLOCK):
+            block = slice(c, c + CLASS_BLOCK)
+            self._apply("members", self.by_members[block, :HIDDEN], block)
+            self._apply("member_bias", self.by_members[block, HIDDEN], block)
+        self._apply("classes", by_weights)
+        self._apply("class_bias", by_bias * scale)
+
+        d_flat *= scale
+        d_states = np.zeros((inputs.size, HIDDEN), np.float32)
+        d_states[places] = d_flat
+        d_states = np.ascontiguousarray(d_states.reshape(*inputs.shape, HIDDEN).transpose(0, 2, 1))
+        d_gates = np.zeros((len(inputs), 3 * HIDDEN, inputs.shape[1]), np.float32)
         d_u, d_s = np.zeros_like(w["gates"]), np.zeros_like(w["state"])
-        d_h = np.zeros_like(h)
+        d_h = np.zeros_like(d_states[0])
         for t in range(len(inputs) - 1, -1, -1):
             before, rz, n = kept[t]
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
+            r, z = rz[:HIDDEN], rz[HIDDEN:]
             d_h = d_h + d_states[t]
-            d_n = d_h * z * (1 - n * n)
-            d_rh = d_n @ w["state"].T
-            d_rz = np.concatenate([d_rh * before, d_h * (n - before)], axis=1) * rz * (1 - rz)
-            d_s += (r * before).T @ d_n
-            d_u += before.T @ d_rz
-            d_h = d_h * (1 - z) + d_rh * r + d_rz @ w["gates"].T
-            d_h = d_h * ~fresh[t][:, None]
-            d_gates[t, :, : 2 * HIDDEN], d_gates[t, :, 2 * HIDDEN :] = d_rz, d_n
+            d_rz, d_n = d_gates[t, : 2 * HIDDEN], d_gates[t, 2 * HIDDEN :]
+            np.multiply(d_h * z, 1 - n * n, out=d_n)
+            d_rh = w["state"] @ d_n
+            np.multiply(d_rh, before, out=d_rz[:HIDDEN])
+            np.multiply(d_h, n - before, out=d_rz[HIDDEN:])
+            d_rz *= rz * (1 - rz)
+            d_s += (r * before) @ d_n.T
+            d_u += before @ d_rz.T
+            d_h *= 1 - z
+            d_h += d_rh * r
+            d_h += w["gates"] @ d_rz
+            if fresh[t].any():
+                d_h *= ~fresh[t]
         self._apply("gates", np.clip(d_u, -1, 1))
         self._apply("state", np.clip(d_s, -1, 1))
         used = inputs.ravel()
         order = np.argsort(used, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(used[order]) > 0])
-        summed = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        self._apply("input", np.clip(summed, -1, 1), used[order][first])
+        rows = d_gates.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+        summed = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+        self._apply("input", np.clip(summed, -1, 1, out=summed), used[order][first])
         return after
 
+    def _learn_members(self, flat: np.ndarray, scale: np.float32, want: np.ndarray, shifted: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Fills the gradients by the members' weights; those by the states (to be scaled), and the
+        sums of exp, for the first of the sorted rows: all whose class has a softmax. ``shifted``:
+        by each row's greatest logit, for sums beyond the range of floats."""
+        w, size = self.w, self.members.shape[2]
+        n = int(np.searchsorted(want, len(self.members) * size))
+        local, index, ones = want[:n] % size, np.arange(n), np.ones(size, flat.dtype)
+        with_one = np.concatenate([flat[:n], np.ones((n, 1), flat.dtype)], axis=1)
+        scaled = with_one * scale
+        out, totals = np.empty((n, HIDDEN), flat.dtype), np.ones(n, flat.dtype)
+        touched = np.zeros(len(self.members), bool)
+        for c, rows in _classes(w, want):
+            touched[c] = True
+            by = self.by_members[c]
+            if c == 0:
+                out[rows], by[:HIDDEN], by[HIDDEN] = _two_step_gradient(flat[rows], scaled[rows, :HIDDEN], w["members"][0], w["member_bias"][0], local[rows])
+                by[HIDDEN] *= scale
+                continue
+            x = with_one[rows] @ self.members[c]
+            if shifted:
+                x -= x.max(axis=1)[:, None]
+            np.exp(x, out=x)
+            total = np.matmul(x, ones, out=totals[rows])
+            x[index[: len(x)], local[rows]] -= total  # the softmax's gradients times total
+            np.matmul(x, w["members"][c].T, out=out[rows])
+            np.matmul((scaled[rows] / total[:, None]).T, x, out=by)
+        self.by_members[~touched] = 0
+        out /= totals[:, None]
+        return out, totals
+
     def learn(self, ids: np.ndarray, borders: np.ndarray, end_id: int) -> None:
         """One step per window of all texts. Lanes are equally long, so every step rests on all of
         them: a long text goes on in the next lane, from an empty state there."""
@@ -447,12 +601,17 @@ def _head_scores(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.
         model = np.where(ids == known.middle, np.log10((count + SMOOTH) / known.middle_total), 0.0)
         inputs, targets, fresh, at = lanes_of(ids, borders, SCORE_LANES, known.end_id())
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+        waiting: list[tuple[np.ndarray, ...]] = []
         for step in range(0, len(inputs), SCORE_WINDOW):
             cut = slice(step, step + SCORE_WINDOW)
             n = int((at[step] >= 0).sum())
             real = at[cut, :n] >= 0
             states, h = _forward(w, h[:n], inputs[cut, :n], fresh[cut, :n])
-            model[at[cut, :n][real]] += log_probability(w, states[real], targets[cut, :n][real]) / math.log(10)
+            waiting.append((states[real], targets[cut, :n][real], at[cut, :n][real]))
+            if step + SCORE_WINDOW >= len(inputs) or sum(len(x) for x, _, _ in waiting) >= SCORE_TOKENS:
+                states, wanted, places = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                model[places] += log_probability(w, states, wanted) / math.log(10)
+                waiting.clear()
 
         def sums(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, borders[:-1])  # every text has its end

@@ -296,6 +296,74 @@ def test_probabilities_sum_to_one():
     assert math.isclose(middle, 1) and math.isclose(vocabulary.rare_total, rest + 0.1 * (kinds + 1))
 
 
+def _plain_window_gradients(w, states, targets, scale):
+    """Of the summed -log probability, place by place, in double precision."""
+    w = {k: v.astype(float) for k, v in w.items()}
+    out = {k: np.zeros(v.shape) for k, v in w.items()}
+
+    def step(h, weights, bias, columns, at, first):
+        x = np.r_[0.0, h @ weights[:, columns[1:]] + bias[columns[1:]]] if first else h @ weights[:, columns] + bias[columns]
+        e = np.exp(x - x.max())
+        g = e / e.sum()
+        g[at] -= 1
+        return [(c, v) for i, (c, v) in enumerate(zip(columns, g, strict=True)) if i or not first]
+
+    def softmax(h, name, bias_name, where, at, two_steps):
+        weights, bias = w[name][where], w[bias_name][where]
+        k = weights.shape[1]
+        size = math.isqrt(max(k - 1, 0)) + 1
+        found = [(list(range(k)), at, False)]
+        if two_steps:
+            group = list(range(at // size * size, min(at // size * size + size, k)))
+            found = [(list(range(0, k, size)), at // size, False), (group, at % size, True)]
+        for columns, place, first in found:
+            for c, v in step(h, weights, bias, columns, place, first):
+                out[name][where][:, c] += scale * v * h
+                out[bias_name][where][c] += scale * v
+
+    n, _, size = w["members"].shape
+    for h, t in zip(states.astype(float), targets, strict=True):
+        softmax(h, "classes", "class_bias", ..., int(t // size if t < n * size else n + (t > n * size)), True)
+        if t < n * size:
+            softmax(h, "members", "member_bias", t // size, int(t % size), t < size)
+    return out
+
+
+@pytest.mark.parametrize("bias", [0.0, 200.0, -300.0])
+def test_softmax_gradients_equal_plain_ones(bias):
+    """Also where exp of a logit is beyond the range of floats."""
+    vocabulary = recurrent_lm.Vocabulary(np.arange(10, 100, dtype=np.uint64), np.arange(90, 0, -1), 5000, 95, 10, 9)
+    w = recurrent_lm.first_weights(vocabulary)
+    w["member_bias"] += np.float32(bias)
+    w["class_bias"] += np.float32(bias)
+    rng = np.random.default_rng(5)
+    targets = rng.integers(0, 92, (6, 20))
+    inputs, fresh, real = rng.integers(0, 92, (6, 20)), np.zeros((6, 20), bool), rng.random((6, 20)) < 0.9
+    start = np.zeros((20, recurrent_lm.HIDDEN), np.float32)
+    states, _ = recurrent_lm._forward(w, start, inputs, fresh)
+    want = _plain_window_gradients(w, states[real], targets[real], 1 / 20)
+    trainer, seen = recurrent_lm.Trainer({k: v.copy() for k, v in w.items()}), {}
+
+    def keep(name, g, at=...):
+        seen.setdefault(name, np.zeros(w[name].shape))[at] += g
+
+    trainer._apply = keep
+    trainer.window(start, inputs, targets, fresh, real)
+    for name in ("classes", "class_bias", "members", "member_bias"):
+        assert np.allclose(seen[name], want[name], rtol=1e-3, atol=2e-5), name
+    assert np.isfinite(recurrent_lm.log_probability(w, states[real], targets[real])).all()
+
+
+def test_tail_class_costs_no_more_calls_than_needed(monkeypatch):
+    """A window updates the members in blocks of classes, not class by class."""
+    vocabulary = recurrent_lm.Vocabulary(np.arange(10, 10_010, dtype=np.uint64), np.full(10_000, 5), 50_000, 10_000, *recurrent_lm.layout(10_000))
+    trainer, calls = recurrent_lm.Trainer(recurrent_lm.first_weights(vocabulary)), Counter()
+    monkeypatch.setattr(trainer, "_apply", lambda name, g, at=...: calls.update([name]))
+    ids = np.arange(10_000).reshape(20, 500)
+    trainer.window(np.zeros((500, recurrent_lm.HIDDEN), np.float32), ids, ids, np.zeros(ids.shape, bool), np.ones(ids.shape, bool))
+    assert calls["members"] == -(-100 // recurrent_lm.CLASS_BLOCK) == calls["member_bias"]
+
+
 def test_language_model_on_odd_rows(spark):
     docs = frame(spark, [(1, "a b a"), (1, "a b a"), (2, None), (3, ""), (None, "a"), (4, "long " * 100_000)])
     got = recurrent_lm.score_texts(docs).collect()
